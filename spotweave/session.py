@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import importlib.util
+import os
+import shutil
 import tempfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +36,26 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def planned_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan, from the file sizes it reads."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
+@functools.lru_cache(maxsize=1)
+def _archive(package: str) -> str:
+    """A zip of the package, for the executors."""
+    root = Path(importlib.util.find_spec(package).origin).parent
+    stage = Path(tempfile.mkdtemp(prefix="spotweave-code-"))
+    shutil.copytree(root, stage / "code" / package, ignore=shutil.ignore_patterns("__pycache__"))
+    return shutil.make_archive(str(stage / package), "zip", stage / "code")
+
+
+def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, after its code has been sent to the executors (once for each application)."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        context = spark.sparkContext
+        path = _archive(__name__.partition(".")[0])
+        if os.path.basename(path) not in {os.path.basename(f) for f in context._python_includes}:
+            context.addPyFile(path)
+        return query(spark, sf_dir)
+
+    return run
