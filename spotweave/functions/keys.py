@@ -20,7 +20,7 @@ def finite(column: Column | str) -> Column:
 def present(column: Column | str) -> Column:
     """True for numbers that are neither null nor NaN."""
     c = (F.col(column) if isinstance(column, str) else column).cast("double")
-    return F.coalesce(~F.isnan(c), F.lit(False))
+    return c.isNotNull() & ~F.isnan(c)  # isnan(null) is false
 
 
 def null_if_bad(column: Column | str) -> Column:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from spotweave.plans import problems
+from spotweave.plans import matrix_queries, problems
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+_MODULES = (problems, matrix_queries)
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
 FLAGSHIP = problems.p2_key_profile
