@@ -18,13 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cells(x, y, side: float, radius: float, forward_of=None):
-    """Cells of side ``side`` within ``radius`` of (x, y): array of (cx, cy, inside)."""
+def _cells(x, y, side: float, radius: float, forward: bool = False):
+    """Cells of side ``side`` within ``radius`` of (x, y): array of (cx, cy, inside); ``forward``: none behind the point's own."""
     reach = math.ceil(radius / side)
     cx, cy = F.floor(x / side), F.floor(y / side)
     found = []
     for dx in range(-reach, reach + 1):
         for dy in range(-reach, reach + 1):
+            if forward and (dx, dy) < (0, 0):
+                continue
             low_x, low_y = (cx + dx) * side, (cy + dy) * side
             near_x = F.greatest(low_x - x, x - (low_x + side), F.lit(0.0))
             near_y = F.greatest(low_y - y, y - (low_y + side), F.lit(0.0))
@@ -32,7 +34,7 @@ def _cells(x, y, side: float, radius: float, forward_of=None):
             far_y = F.greatest(F.abs(low_y - y), F.abs(low_y + side - y))
             cell = F.struct((cx + dx).alias("cx"), (cy + dy).alias("cy"), (far_x * far_x + far_y * far_y <= radius * radius).alias("inside"))
             found.append(F.when(near_x * near_x + near_y * near_y <= radius * radius, cell))
-    return F.filter(F.array(*found), lambda c: c.isNotNull())
+    return F.array_compact(F.array(*found))
 
 
 def close_pairs(points: DataFrame, partition: str, id_: str, x: str, y: str, owner: str, radius: float, crowded: int = 64) -> DataFrame:
@@ -50,8 +52,7 @@ def close_pairs(points: DataFrame, partition: str, id_: str, x: str, y: str, own
     p = p.withColumn("gx", F.floor(F.col("x") / big)).withColumn("gy", F.floor(F.col("y") / big)).persist(StorageLevel.MEMORY_AND_DISK)
     hot = p.groupBy("part", "gx", "gy").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowded).select("part", "gx", "gy", F.lit(True).alias("hot"))
 
-    ahead = lambda cx, cy, ox, oy: (cx > ox) | ((cx == ox) & (cy >= oy))
-    cover = F.filter(_cells(F.col("x"), F.col("y"), big, radius), lambda c: ahead(c["cx"], c["cy"], F.col("gx"), F.col("gy")))
+    cover = _cells(F.col("x"), F.col("y"), big, radius, forward=True)
     left = p.select("part", "id", "x", "y", "own", F.col("gx").alias("ox"), F.col("gy").alias("oy"), F.explode(cover).alias("c")).select("part", "id", "x", "y", "own", "ox", "oy", F.col("c.cx").alias("gx"), F.col("c.cy").alias("gy"), F.col("c.inside").alias("inside"))
 
     def matched(l: DataFrame, r: DataFrame, on: list[str]) -> DataFrame:
