@@ -136,8 +136,7 @@ def zscores(values: DataFrame, by: list[str], cell: str, gene: str, x: str, limi
 
 def pearson_residuals(counts: DataFrame, by: list[str], cell: str, gene: str, theta: float = 100.0) -> DataFrame:
     """Residuals of the non-zero entries under a negative binomial with mean row * column / total, clipped at sqrt(cells)."""
-    row, column, total = (F.sum("n").over(Window.partitionBy(*by, *k)) for k in ([cell], [gene], []))
-    del total
+    row, column = (F.sum("n").over(Window.partitionBy(*by, k)) for k in (cell, gene))
     t = counts.groupBy(*by).agg(F.sum("n").alias("t"), F.countDistinct(cell).alias("m"))
     mu = F.col("r") * F.col("c") / F.col("t")
     value = (F.col("n") - mu) / F.sqrt(mu + mu * mu / theta)

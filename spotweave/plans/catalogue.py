@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spotweave.plans import matrix_queries, problems
+from spotweave.plans import cluster_queries, marker_queries, matrix_queries, problems, spatial_queries
 
-_MODULES = (problems, matrix_queries)
+_MODULES = (problems, matrix_queries, marker_queries, spatial_queries, cluster_queries)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
-FLAGSHIP = problems.p2_key_profile
+FLAGSHIP = marker_queries.fast_markers
