@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spotweave.session import checkpoint
 
-def knn_plane(points: DataFrame, by: list[str], id_: str, x: str, y: str, k: int, include_self: bool = False, per_cell: float = 4.0) -> DataFrame:
+
+def knn_plane(points: DataFrame, by: list[str], id_: str, x: str, y: str, k: int, include_self: bool = False) -> DataFrame:
     """(by, src, dst, rank, dist): the ``k`` nearest points of the same dataset, ties to the smaller id.
 
-    Points of a dataset lie in a grid with about ``per_cell`` points in a cell; each looks into its 3 x 3 cells by an equi-join. Its neighbours are
+    Points of a dataset lie in a grid with about 0.75 k points in a cell (4 at least); each looks into its 3 x 3 cells by an equi-join. Its neighbours are
     certain once the k-th is no farther than the edge of that square; the points for which it is not look again in cells of twice the side,
     until their square holds the whole dataset. Self is excluded by id, not by position, so points on one spot find each other. Points with
-    null, NaN or infinite coordinates have no edges; a dataset with fewer than k + 1 points gives all it has. Ids are unique within a dataset.
+    null, NaN or infinite coordinates have no edges; each round is checkpointed; a dataset with fewer than k + 1 points gives all it has. Ids are unique within a dataset.
     """
     key = [F.col(c) for c in by]
     p = points.select(*key, F.col(id_).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
@@ -23,8 +24,8 @@ def knn_plane(points: DataFrame, by: list[str], id_: str, x: str, y: str, k: int
     box = p.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
     wide = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1e-9))
     thin = F.greatest(F.least(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")), wide / F.col("n"))
-    side = F.greatest(F.sqrt(wide * thin * per_cell / F.col("n")), wide / 1e6)
-    p = p.join(box.withColumn("side", side), by).persist(StorageLevel.MEMORY_AND_DISK)
+    side = F.greatest(F.sqrt(wide * thin * max(4.0, 0.75 * k) / F.col("n")), wide / 1e6)
+    p = checkpoint(p.join(box.withColumn("side", side), by))
     levels = int(p.agg(F.max(F.ceil(F.log2(wide / F.col("side"))))).first()[0] or 0) + 1
     open_, found = p, None
     for level in range(levels + 1):
@@ -38,23 +39,23 @@ def knn_plane(points: DataFrame, by: list[str], id_: str, x: str, y: str, k: int
         if not include_self:
             both = both.filter("id <> dst")
         d2 = (F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2"))
-        edge = F.least(F.col("x") - F.col("x0") - (F.col("ox") - 1) * s, F.col("x0") + (F.col("ox") + 2) * s - F.col("x"), F.col("y") - F.col("y0") - (F.col("oy") - 1) * s, F.col("y0") + (F.col("oy") + 2) * s - F.col("y"))
+        # Distance to the sides of the 3 x 3 square behind which there may be points.
+        far = F.lit(float("inf"))
+        sides = [(F.when(F.col(o) > 1, F.col(c) - F.col(lo) - (F.col(o) - 1) * s).otherwise(far), F.when(F.col(lo) + (F.col(o) + 2) * s <= F.col(hi), F.col(lo) + (F.col(o) + 2) * s - F.col(c)).otherwise(far)) for c, o, lo, hi in (("x", "ox", "x0", "x1"), ("y", "oy", "y0", "y1"))]
+        edge = F.least(*sides[0], *sides[1])
         w = Window.partitionBy(*by, "id").orderBy("d2", "dst")
         near = both.select(*by, "id", "dst", d2.alias("d2"), edge.alias("edge")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-        if level == levels:
-            done = near.withColumn("sure", F.lit(True))
-        else:
-            own = Window.partitionBy(*by, "id")
-            sure = (F.max("rank").over(own) == k) & (F.sqrt(F.max("d2").over(own)) < F.col("edge"))
-            done = near.withColumn("sure", sure).persist(StorageLevel.MEMORY_AND_DISK)
+        own = Window.partitionBy(*by, "id")
+        sure = (F.col("edge") == float("inf")) | ((F.max("rank").over(own) == k) & (F.sqrt(F.max("d2").over(own)) < F.col("edge")))
+        done = checkpoint(near.withColumn("sure", sure | F.lit(level == levels)))
         part = done.filter("sure").select(*by, F.col("id").alias("src"), "dst", F.col("rank").cast("long").alias("rank"), F.sqrt("d2").alias("dist"))
         found = part if found is None else found.unionByName(part)
         if level == levels:
             break
-        open_ = open_.join(part.select(*by, F.col("src").alias("id")).distinct(), [*by, "id"], "left_anti").persist(StorageLevel.MEMORY_AND_DISK)
+        open_ = open_.join(part.select(*by, F.col("src").alias("id")).distinct(), [*by, "id"], "left_anti")
         if open_.isEmpty():
             break
-    return found.persist(StorageLevel.MEMORY_AND_DISK)
+    return found
 
 
 def knn_vectors(vectors: DataFrame, queries: DataFrame, id_: str, v: str, k: int, cosine: bool = False, block: int = 4096) -> DataFrame:
