@@ -103,7 +103,7 @@ def parts(text: str) -> list[str]:
         if part is message or part.get_content_type() == "message/rfc822" or part.get("Subject"):
             if part.get("Subject") is not None:
                 out.append(_subject(part["Subject"]))
-        if part.get_content_maintype() in ("text", "multipart", "message") or part is message:
+        if part.get_content_maintype() in ("text", "multipart", "message"):
             if body := _leaf(part):
                 out.append(body)
     return out
