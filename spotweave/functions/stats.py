@@ -48,11 +48,16 @@ def neg_log10(p: Column) -> Column:
     return -F.log10(F.greatest(p, F.lit(1e-300)))
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def softmax(v: Column, sharpen: float = 1.0) -> Column:
     """Softmax of an array; with ``sharpen`` its powers are normalised again."""
-    top = F.array_max(v)
-    powers = F.transform(v, lambda x: F.exp((x - top) * sharpen))
-    return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
+    share = lambda powers: bind(F.aggregate(powers, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(powers, lambda x: x / total))
+    raised = lambda v, top: F.transform(v, lambda x: F.exp((x - top) * sharpen))
+    return bind(v, lambda v: bind(F.array_max(v), lambda top: bind(raised(v, top), share)))
 
 
 def entropy(p: Column) -> Column:
@@ -67,7 +72,7 @@ def squared_distance(a: Column, b: Column) -> Column:
 def unit(v: Column) -> Column:
     """The array divided by its Euclidean length; a zero array stays zero."""
     length = F.sqrt(F.aggregate(v, F.lit(0.0).cast("double"), lambda s, x: s + x * x))
-    return F.transform(v, lambda x: F.when(length > 0, x / length).otherwise(0.0))
+    return bind(length, lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
 
 
 def sigmoid(x: Column) -> Column:

@@ -36,44 +36,45 @@ def sample_points(points: DataFrame, by: list[str], id_: str, limit: int, seed:
     return points.withColumn("__r", r).filter(F.col("__r") <= limit).drop("__r")
 
 
-def silhouettes(points: DataFrame, by: list[str], id_: str, label: str, v: str, limit: int = 10_000) -> DataFrame:
+def silhouettes(points: DataFrame, by: list[str], id_: str, label: str, v: str, limit: int = 10_000, block: int = 512) -> DataFrame:
     """(by, id_, label, silhouette) by Euclidean distance, exact among at most ``limit`` points of a dataset.
 
-    Larger datasets are sampled first (the operator's documented bound). Each point is compared with its dataset's sampled points, which travel as one array
-    of at most ``limit`` vectors, in numpy blocks; no pairs are emitted. A point alone in its cluster has 0; a dataset with one label has null.
+    Larger datasets are sampled first (the operator's documented bound). A dataset's points are cut into blocks of about ``block``, and each block
+    is compared with the dataset's at most ``limit`` points in one task, by numpy; no pairs are emitted. A point alone in its cluster has 0; a dataset with one label has null.
     """
     p = sample_points(points.select(*by, F.col(id_).alias("id"), F.col(label).cast("string").alias("label"), F.col(v).cast("array<double>").alias("v")).filter("label is not null and v is not null"), by, "id", limit)
-    all_ = p.groupBy(*by).agg(F.collect_list(F.struct("label", "v")).alias("all"))
-    salted = p.join(all_, by)
-
-    def compare(batches):
-        held = (None, None, None)
-        for b in batches:
-            out = []
-            keys = list(zip(*[b[c] for c in by])) if by else [()] * len(b)
-            for key, label, v, points in zip(keys, b["label"], b["v"], b["all"]):
-                if held[0] != key:
-                    labels = np.array([q["label"] for q in points])
-                    held = (key, labels, np.array([q["v"] for q in points], dtype=float))
-                labels, m = held[1:]
-                d = np.sqrt(((m - np.asarray(v)) ** 2).sum(1))
-                names, code = np.unique(labels, return_inverse=True)
-                total, size = np.bincount(code, d), np.bincount(code)
-                own = int(np.flatnonzero(names == label)[0])
-                if len(names) < 2:
-                    out.append(None)
-                elif size[own] == 1:
-                    out.append(0.0)
-                else:
-                    a = total[own] / (size[own] - 1)
-                    other = np.delete(total / size, own).min()
-                    out.append((other - a) / max(a, other) if max(a, other) > 0 else 0.0)
-            yield pd.DataFrame({**{c: b[c] for c in by}, "id": b["id"], "label": b["label"], "silhouette": pd.Series(out, index=b.index, dtype=float)})
+    blocks = p.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    mine = p.join(blocks, by).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    every = p.join(blocks, by).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    columns = [*by, "block", "id", "label", "v"]
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame(columns=[*by, "id", "label", "silhouette"])
+        q, m = np.stack(left["v"].to_numpy()), np.stack(right["r_v"].to_numpy())
+        names, code = np.unique(right["r_label"].to_numpy(dtype=str), return_inverse=True)
+        one = np.eye(len(names))[code]
+        total = np.concatenate([np.sqrt(((row - m) ** 2).sum(-1))[None] @ one for row in q])
+        size = one.sum(0)
+        own = np.searchsorted(names, left["label"].to_numpy(dtype=str))
+        at = np.arange(len(left))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            a = total[at, own] / (size[own] - 1)
+            mean = total / size
+            mean[at, own] = np.inf
+            b = mean.min(1)
+            top = np.maximum(a, b)
+            s = np.where(size[own] == 1, 0.0, np.where(top > 0, (b - a) / top, 0.0))
+        if len(names) < 2:
+            s = np.full(len(left), np.nan)
+        return left[[*by, "id", "label"]].assign(silhouette=s)
 
     kinds = {f.name: f.dataType.simpleString() for f in p.schema}
     schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], f"id {kinds['id']}", "label string", "silhouette double"])
-    small = salted.select(*by, "id", "label", "v", "all")
-    return small.mapInPandas(compare, schema).withColumn("silhouette", F.when(~F.isnan("silhouette"), F.col("silhouette"))).withColumnsRenamed({"id": id_, "label": label})
+    key = [*by, "block"]
+    right = every.select(*columns).toDF(*[f"r_{c}" for c in columns])
+    out = mine.select(*columns).groupBy(*key).cogroup(right.groupBy(*[f"r_{c}" for c in key])).applyInPandas(compare, schema)
+    return out.withColumn("silhouette", F.when(~F.isnan("silhouette"), F.col("silhouette"))).withColumnsRenamed({"id": id_, "label": label})
 
 
 def separability(points: DataFrame, by: list[str], id_: str, label: str, v: str) -> DataFrame:
