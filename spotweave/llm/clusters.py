@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotweave.operators.graph import connected_components
+from spotweave.session import checkpoint
 
 
 def plane_points(df: DataFrame, group: str, id_: str, x: str, y: str) -> DataFrame:
@@ -61,24 +62,26 @@ def _leaf_links(points: DataFrame, leaves: DataFrame, step: float, side: float)
     sure = pairs.filter(F.col("far") <= s2).select(leaf("a").alias("u"), leaf("b").alias("v"))
 
     fine_side = side / 16
-    fine = leaf_features(points, fine_side).withColumn("lx", F.floor(F.col("cx") * fine_side / side + 1e-9)).withColumn("ly", F.floor(F.col("cy") * fine_side / side + 1e-9))
-    fine = fine.select("grp", "lx", "ly", F.struct("cx", "cy", *bounds).alias("f"))
-    open_ = pairs.filter(F.col("far") > s2).select("grp", "a", "b")
+    at = lambda c, s: F.floor(F.col(c) / s)
+    inner = points.select("grp", at("x", side).alias("lx"), at("y", side).alias("ly"), at("x", fine_side).alias("fx"), at("y", fine_side).alias("fy"), "x", "y")
+    place = ["grp", "lx", "ly", "fx", "fy"]
+    fine = inner.groupBy(*place).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    fine = fine.select("grp", "lx", "ly", F.struct("fx", "fy", *bounds).alias("f"))
+    open_ = pairs.filter(F.col("far") > s2).select("grp", "a", "b", F.col("a.cx").alias("lx"), F.col("a.cy").alias("ly"))
     # Only fine squares near the other leaf's bounds can hold the closest points.
-    left = open_.join(fine.withColumnRenamed("f", "fa"), [F.col("a.cx") == F.col("lx"), F.col("a.cy") == F.col("ly"), open_["grp"] == fine["grp"]]).select(open_["grp"], "a", "b", "fa")
-    left = left.filter(near_far("fa", "b")[0] <= s2)
-    right = fine.select(F.col("grp").alias("g2"), "lx", "ly", F.col("f").alias("fb"))
-    both = left.join(right, [left["grp"] == right["g2"], F.col("b.cx") == F.col("lx"), F.col("b.cy") == F.col("ly")]).select("grp", "a", "b", "fa", "fb")
+    left = open_.join(fine.withColumnRenamed("f", "fa"), ["grp", "lx", "ly"]).filter(near_far("fa", "b")[0] <= s2)
+    left = left.select("grp", "a", "b", "fa", F.col("b.cx").alias("lx"), F.col("b.cy").alias("ly"))
+    both = left.join(fine.withColumnRenamed("f", "fb"), ["grp", "lx", "ly"])
     near, far = near_far("fa", "fb")
-    both = both.select("grp", "a", "b", "fa", "fb", near.alias("near"), (far <= s2).alias("sure")).filter(F.col("near") <= s2)
-    both = both.persist(StorageLevel.MEMORY_AND_DISK)
-    by_fine = both.filter("sure").select(leaf("a").alias("u"), leaf("b").alias("v")).distinct()
-    unsure = both.filter("not sure").select(leaf("a").alias("u"), leaf("b").alias("v"), "grp", "fa.cx", "fa.cy", F.col("fb.cx").alias("bx"), F.col("fb.cy").alias("by"))
-    unsure = unsure.join(by_fine, ["u", "v"], "left_anti")
-    at = points.select("grp", F.floor(F.col("x") / fine_side).alias("cx"), F.floor(F.col("y") / fine_side).alias("cy"), "x", "y").distinct()
-    to = at.select("grp", F.col("cx").alias("bx"), F.col("cy").alias("by"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    both = checkpoint(both.select("grp", leaf("a").alias("u"), leaf("b").alias("v"), "fa", "fb", near.alias("near"), (far <= s2).alias("sure")).filter(F.col("near") <= s2))
+    by_fine = both.filter("sure").select("u", "v").distinct()
+    unsure = both.filter("not sure").join(by_fine, ["u", "v"], "left_anti")
+    ends = unsure.select("u", "v", "grp", *[F.col(f"{k}.{c}").alias(f"{k}{c}") for k in ("u", "v") for c in ("cx", "cy")], *[F.col(f"{k}.{c}").alias(f"{k}{c}") for k in ("fa", "fb") for c in ("fx", "fy")])
+    spots = inner.distinct()
+    one = spots.toDF("grp", "ucx", "ucy", "fafx", "fafy", "x", "y")
+    two = spots.toDF("grp", "vcx", "vcy", "fbfx", "fbfy", "x2", "y2")
     d2 = (F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2"))
-    by_point = unsure.join(at, ["grp", "cx", "cy"]).join(to, ["grp", "bx", "by"]).filter(d2 <= s2).select("u", "v").distinct()
+    by_point = ends.join(one, ["grp", "ucx", "ucy", "fafx", "fafy"]).join(two, ["grp", "vcx", "vcy", "fbfx", "fbfy"]).filter(d2 <= s2).select("u", "v").distinct()
     return sure.unionByName(by_fine).unionByName(by_point)
 
 
@@ -90,8 +93,8 @@ def linked_sets(df: DataFrame, group: str, id_: str, x: str, y: str, step: float
     set. Coordinates that are null, NaN or infinite have no set; repeated points count once.
     """
     side = step / math.sqrt(2) * (1 - 1e-9)
-    p = plane_points(df, group, id_, x, y).persist(StorageLevel.MEMORY_AND_DISK)
-    leaves = leaf_features(p, side).persist(StorageLevel.MEMORY_AND_DISK)
+    p = checkpoint(plane_points(df, group, id_, x, y))
+    leaves = checkpoint(leaf_features(p, side))
     comp = connected_components(_leaf_links(p, leaves, step, side), "u", "v")
     nodes = leaves.select(F.struct("grp", "cx", "cy").alias("node"), "n", "head").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sets = nodes.groupBy("component").agg(F.sum("n").alias("size"), F.min("head").alias("set_head")).filter(F.col("size") >= least)

@@ -56,22 +56,32 @@ class Bins:
 
 
 def _stream(items: DataFrame, streams: int, capacity: int, limit: int) -> DataFrame:
-    """(key, size, stream, bin, is_open): each stream packed in hash order, in constant memory."""
+    """(key, size, stream, bin, last): each stream packed in hash order, in constant memory; rows marked ``last`` name the bins still open.
+
+    A partition may hold several streams; they come one after the other.
+    """
     kind = items.schema["key"].dataType.simpleString()
 
     def pack(batches):
         bins, place = Bins(capacity, limit), None
-        for b in batches:
-            place = int(b["stream"].iloc[0]) if len(b) else place
-            yield pd.DataFrame({"key": b["key"], "size": b["size"], "stream": b["stream"], "bin": [bins.add(int(s)) for s in b["size"]], "last": False})
+
+        def left() -> pd.DataFrame:
+            open_ = bins.still_open()
+            return pd.DataFrame({"key": [None] * len(open_), "size": 0, "stream": place, "bin": open_, "last": True}).astype({"bin": "int64"})
+
+        for batch in batches:
+            for stream, b in batch.groupby("stream", sort=False):
+                if stream != place:
+                    if place is not None:
+                        yield left()
+                    bins, place = Bins(capacity, limit), int(stream)
+                yield pd.DataFrame({"key": b["key"], "size": b["size"], "stream": b["stream"], "bin": [bins.add(int(s)) for s in b["size"]], "last": False})
         if place is not None:
-            left = bins.still_open()
-            yield pd.DataFrame({"key": [None] * len(left), "size": 0, "stream": place, "bin": left, "last": True}).astype({"bin": "int64"})
+            yield left()
 
     order = F.xxhash64("key")
     salted = items.withColumn("o", order).withColumn("stream", F.pmod("o", F.lit(streams)).cast("int"))
     out = salted.repartitionByRange(streams, "stream").sortWithinPartitions("stream", "o", "key", "size").select("key", "size", "stream")
-    # A range partition may hold more than one stream when the sampled bounds fall so; the packer then treats them as one.
     return out.mapInPandas(pack, f"key {kind}, size long, stream int, bin long, last boolean")
 
 
