@@ -117,4 +117,13 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_stale_lists, p4_found, p4_clusters, p4_members, p6_containers, p6_fill, p7_found, p7_spans, p7_decisions, p8_pieces)}
-SQL = {"p3_found": P3_FOUND, "p3_stale_lists": P3_STALE_LISTS}
+P4_FOUND = """
+with recursive p0 as (select run_id, cell_id, max(struct_pack(x := umap1::double, y := umap2::double)) as p from umap_clusters_final
+             where umap1 is not null and umap2 is not null and not isnan(umap1) and not isnan(umap2) group by all),
+pts as (select run_id, cell_id, p.x as x, p.y as y from p0),
+near as (select a.run_id, a.cell_id as a, b.cell_id as b from pts a join pts b on a.run_id = b.run_id and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.30 * 0.30::double),
+reach(run_id, a, b) as (select run_id, cell_id, cell_id from pts union select r.run_id, r.a, n.b from reach r join near n on n.run_id = r.run_id and n.a = r.b)
+select run_id, b as cell_id, min(a) as head_cell_id from reach group by all having count(*) >= 5
+"""
+
+SQL = {"p3_found": P3_FOUND, "p4_found": P4_FOUND, "p3_stale_lists": P3_STALE_LISTS}
