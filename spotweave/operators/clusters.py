@@ -128,8 +128,8 @@ def label_changes(df: DataFrame, by: list[str], before: str, after: str) -> Data
 
 def small_to_noise(df: DataFrame, by: list[str], label: str, least: int = 25) -> DataFrame:
     """Labels of fewer than ``least`` points become ``noise``."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by, label))
-    return df.withColumn(label, F.when(n < least, F.lit("noise")).otherwise(F.col(label)))
+    small = df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") < least).select(*by, label, F.lit(True).alias("__small"))
+    return df.join(small, [*by, label], "left").withColumn(label, F.when(F.col("__small"), F.lit("noise")).otherwise(F.col(label))).select(*df.columns)
 
 
 def set_overlap(a: DataFrame, b: DataFrame, by: list[str], key: str) -> DataFrame:
@@ -181,12 +181,17 @@ def refine_labels(posterior: DataFrame, by: list[str], id_: str, least: float =
     At most ``most`` of a dataset's points change, the most confident first (ties: smaller id). If more than ``revert`` would change, the dataset keeps its labels.
     """
     flag = (F.round("confidence", 9) > least) & (F.round("gain", 9) > 0) & (F.col("candidate") != F.col("label"))
-    w = Window.partitionBy(*by)
-    t = posterior.withColumn("__f", flag).withColumn("__n", F.count(F.lit(1)).over(w))
-    t = t.withColumn("__r", F.row_number().over(Window.partitionBy(*by, "__f").orderBy(F.desc(F.round("confidence", 9)), id_)))
-    t = t.withColumn("__ok", F.col("__f") & (F.col("__r") <= F.floor(F.col("__n") * most)))
-    t = t.withColumn("__share", F.avg(F.col("__ok").cast("double")).over(w))
-    return t.select(*by, id_, "label", F.when(F.col("__ok") & (F.col("__share") <= revert), F.col("candidate")).otherwise(F.col("label")).alias("refined"))
+    from spotweave.operators.skew import number_rows
+
+    t = posterior.select(*by, F.col(id_).alias("__id"), "label", "candidate", "confidence", "gain")
+    wish = t.filter(flag).select(*by, "__id", (-F.round("confidence", 9)).alias("__o"))
+    room = t.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    taken = number_rows(wish, by, ["__o", "__id"], "__r").join(room, by).filter(F.col("__r") <= F.floor(F.col("__n") * most))
+    # A dataset that would change too much keeps all its labels.
+    sane = taken.groupBy(*by, "__n").agg(F.count(F.lit(1)).alias("__k")).filter(F.col("__k") / F.col("__n") <= revert).select(*by)
+    taken = taken.join(sane, by, "left_semi").select(*by, "__id", F.lit(True).alias("__ok"))
+    out = t.join(taken, [*by, "__id"], "left")
+    return out.select(*by, F.col("__id").alias(id_), "label", F.when(F.col("__ok"), F.col("candidate")).otherwise(F.col("label")).alias("refined"))
 
 
 def uncertain_regions(posterior: DataFrame, edges: DataFrame, by: list[str], id_: str, quantile: float = 0.75, budget: float = 0.25) -> DataFrame:

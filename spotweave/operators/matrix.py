@@ -40,8 +40,8 @@ def top_genes(counts: DataFrame, by: list[str], gene: str, n: int) -> DataFrame:
 def min_counts(counts: DataFrame, by: list[str], cell: str, least: int) -> DataFrame:
     """Cells with at least ``least`` counts; a dataset that would be emptied keeps all its cells."""
     m = cell_metrics(counts, by, cell).select(*by, cell, "n_counts")
-    top = F.max("n_counts").over(Window.partitionBy(*by))
-    keep = m.withColumn("top", top).filter((F.col("n_counts") >= least) | (F.col("top") < least))
+    low = m.groupBy(*by).agg(F.max("n_counts").alias("top")).filter(F.col("top") < least).select(*by, F.lit(True).alias("emptied"))
+    keep = m.join(low, by, "left").filter((F.col("n_counts") >= least) | F.col("emptied"))
     return counts.join(keep.select(*by, cell), [*by, cell], "left_semi")
 
 
