@@ -110,7 +110,9 @@ def cover_polygons(regions: DataFrame, partition: str, id_: str, vertices: str,
             yield pd.DataFrame(out, columns=["part", "region", "level", "cx", "cy", "inside", "ax", "ay"])
 
     narrow = regions.select(F.col(partition).alias("part"), F.col(id_).alias("region"), F.col(vertices).alias("corners"))
-    return narrow.mapInPandas(sweep, schema)
+    # Regions are few bytes each but take a while: a stated number of partitions is not coalesced by size.
+    tasks = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return narrow.repartition(tasks, "part", "region").mapInPandas(sweep, schema)
 
 
 def points_in_regions(points: DataFrame, partition: str, id_: str, x: str, y: str, regions: DataFrame, region_id: str, vertices: str, side: float, depth: int = 2) -> DataFrame:
