@@ -148,7 +148,9 @@ def ward_clusters(df: DataFrame, group: str, id_: str, x: str, y: str, clusters:
         s = s.sort_values(["n", "x", "y"], ascending=[False, True, True])
         return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "xs": [s["x"].tolist()], "ys": [s["y"].tolist()]})
 
-    centres = chosen.groupBy("grp").applyInPandas(agglomerate, f"grp {kind}, xs array<double>, ys array<double>")
+    # Summaries are small but agglomeration takes a while: a stated number of partitions is not coalesced by size.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    centres = checkpoint(chosen.repartition(tasks, "grp").groupBy("grp").applyInPandas(agglomerate, f"grp {kind}, xs array<double>, ys array<double>"))
     far = F.zip_with("xs", "ys", lambda a, b: F.sqrt((F.col("x") - a) * (F.col("x") - a) + (F.col("y") - b) * (F.col("y") - b)))
     out = p.join(centres, "grp").withColumn("d", far).withColumn("distance", F.array_min("d"))
     return out.select(F.col("grp").alias(group), F.col("id").alias(id_), F.array_position("d", F.col("distance")).cast("int").alias("cluster_no"), "distance")
