@@ -190,8 +190,11 @@ def repair_geometry(pixels: DataFrame, by: list[str], label: str, min_area: int
         mask = np.zeros((int(pdf["y"].max()) - y0 + 2, int(pdf["x"].max()) - x0 + 2), dtype=bool)
         mask[pdf["y"] - y0, pdf["x"] - x0] = True
         keep = max(parts(mask), key=lambda p: (len(p), [-p[0][0], -p[0][1]]))
-        mask[:] = False
-        mask[tuple(np.array(keep).T)] = True
+        keep = np.array(keep)
+        corner = keep.min(0) - 1
+        mask = np.zeros(keep.max(0) - corner + 2, dtype=bool)  # only the part that stays, with a rim of background
+        mask[tuple((keep - corner).T)] = True
+        y0, x0 = y0 + int(corner[0]), x0 + int(corner[1])
         for hole in parts(~mask):
             if len(hole) < fill and (0, 0) not in hole:
                 mask[tuple(np.array(hole).T)] = True
@@ -202,4 +205,6 @@ def repair_geometry(pixels: DataFrame, by: list[str], label: str, min_area: int
         return out[[*by, "y", "x", label]] if min_area <= len(out) <= max_area else out[[*by, "y", "x", label]].iloc[:0]
 
     schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], "y long", "x long", f"{label} {kinds[label]}"])
-    return relabel_dense(sane.groupBy(*by, label).applyInPandas(mend, schema), by, label)
+    # Labels are few bytes each but take a while: a stated number of partitions is not coalesced by size.
+    tasks = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return relabel_dense(sane.repartition(tasks, *by, label).groupBy(*by, label).applyInPandas(mend, schema), by, label)
