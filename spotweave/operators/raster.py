@@ -185,26 +185,27 @@ def repair_geometry(pixels: DataFrame, by: list[str], label: str, min_area: int
             out.append(part)
         return out
 
-    def mend(pdf: pd.DataFrame) -> pd.DataFrame:
-        y0, x0 = int(pdf["y"].min()) - 1, int(pdf["x"].min()) - 1
-        mask = np.zeros((int(pdf["y"].max()) - y0 + 2, int(pdf["x"].max()) - x0 + 2), dtype=bool)
-        mask[pdf["y"] - y0, pdf["x"] - x0] = True
-        keep = max(parts(mask), key=lambda p: (len(p), [-p[0][0], -p[0][1]]))
-        keep = np.array(keep)
+    def mended(spots: np.ndarray) -> list[dict]:
+        origin = spots.min(0)
+        mask = np.zeros(spots.max(0) - origin + 1, dtype=bool)
+        mask[tuple((spots - origin).T)] = True
+        keep = np.array(max(parts(mask), key=lambda p: (len(p), [-p[0][0], -p[0][1]])))
         corner = keep.min(0) - 1
         mask = np.zeros(keep.max(0) - corner + 2, dtype=bool)  # only the part that stays, with a rim of background
         mask[tuple((keep - corner).T)] = True
-        y0, x0 = y0 + int(corner[0]), x0 + int(corner[1])
         for hole in parts(~mask):
             if len(hole) < fill and (0, 0) not in hole:
                 mask[tuple(np.array(hole).T)] = True
-        ys, xs = np.nonzero(mask)
-        out = pd.DataFrame({"y": ys + y0, "x": xs + x0})
-        for c in [*by, label]:
-            out[c] = pdf[c].iloc[0]
-        return out[[*by, "y", "x", label]] if min_area <= len(out) <= max_area else out[[*by, "y", "x", label]].iloc[:0]
+        out = np.argwhere(mask) + origin + corner
+        return [{"y": int(y), "x": int(x)} for y, x in out] if min_area <= len(out) <= max_area else []
 
-    schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], "y long", "x long", f"{label} {kinds[label]}"])
+    def mend(batches):
+        for b in batches:
+            yield b[[*by, label]].assign(spots=[mended(np.array([(s["y"], s["x"]) for s in spots])) for spots in b["spots"]])
+
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], f"{label} {kinds[label]}", "spots array<struct<y long, x long>>"])
     # Labels are few bytes each but take a while: a stated number of partitions is not coalesced by size.
     tasks = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return relabel_dense(sane.repartition(tasks, *by, label).groupBy(*by, label).applyInPandas(mend, schema), by, label)
+    objects = sane.groupBy(*by, label).agg(F.array_sort(F.collect_list(F.struct("y", "x"))).alias("spots"))
+    out = objects.repartition(tasks, *by, label).mapInPandas(mend, schema).select(*by, label, F.explode("spots").alias("s"))
+    return relabel_dense(out.select(*by, "s.y", "s.x", label), by, label)
