@@ -38,7 +38,7 @@ def _cells(x, y, side: float, radius: float, forward: bool = False):
 
 
 def close_pairs(points: DataFrame, partition: str, id_: str, x: str, y: str, owner: str, radius: float, crowded: int = 64) -> DataFrame:
-    """Pairs (a < b by ``id_``) of one partition with different owners, at most ``radius`` apart.
+    """Pairs (partition, a, b, owner_a, owner_b), a < b by ``id_``, of one partition with different owners, at most ``radius`` apart.
 
     Each disc is covered by cells of twice its radius. Cells holding more than ``crowded`` points are
     split into cells of radius/4 on both sides of the join; there most of the disc is interior, and its
@@ -60,7 +60,9 @@ def close_pairs(points: DataFrame, partition: str, id_: str, x: str, y: str, own
         far = (F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2"))
         own_cell = (F.col("ox") == F.col("gx")) & (F.col("oy") == F.col("gy"))
         both = l.join(r, on).filter((F.col("own") != F.col("own2")) & (~own_cell | (F.col("id") < F.col("id2"))) & (F.col("inside") | (far <= radius * radius)))
-        return both.select(F.col("part").alias(partition), F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+        turned = F.col("id") > F.col("id2")
+        own = [F.when(turned, F.col(x)).otherwise(F.col(y)) for x, y in (("own2", "own"), ("own", "own2"))]
+        return both.select(F.col("part").alias(partition), F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), own[0].alias("owner_a"), own[1].alias("owner_b"))
 
     if hot.isEmpty():
         return matched(left, p, ["part", "gx", "gy"])

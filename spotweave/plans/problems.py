@@ -150,11 +150,10 @@ where a.id < b.id and a.cell_id <> b.cell_id and (a.x - b.x) * (a.x - b.x) + (a.
 
 def p5_neighbour_counts(spark: SparkSession, d: str) -> DataFrame:
     """Per run and pair of cells: how many molecules of the two lie close to each other."""
-    m = owned_molecules(spark, d)
-    pairs = close_pairs(m, "run_id", "transcript_id", "x_location", "y_location", "cell_id", CLOSE_UM)
-    ends = F.explode(F.array("a", "b")).alias("transcript_id")
-    per = pairs.select("run_id", ends).groupBy("run_id", "transcript_id").agg(F.count(F.lit(1)).alias("n"))
-    return per.join(m.select("transcript_id", "cell_id"), "transcript_id").groupBy("run_id", "cell_id").agg(F.count(F.lit(1)).alias("n_molecules"), F.sum("n").alias("n_close"))
+    pairs = close_pairs(owned_molecules(spark, d), "run_id", "transcript_id", "x_location", "y_location", "cell_id", CLOSE_UM)
+    ends = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("owner_a").alias("cell_id")), F.struct(F.col("b").alias("id"), F.col("owner_b").alias("cell_id")))).alias("e")
+    per = pairs.select("run_id", ends).groupBy("run_id", "e.cell_id", "e.id").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("run_id", "cell_id").agg(F.count(F.lit(1)).alias("n_molecules"), F.sum("n").alias("n_close"))
 
 
 P5_NEIGHBOUR_COUNTS = "with pairs as (" + P5_FOUND + "), " + P5_OWNED.strip()[len("with "):] + """

@@ -34,7 +34,7 @@ def test_close_pairs_bad_rows_and_clashing_columns(spark):
     nan, inf = float("nan"), float("inf")
     data = [("A", 1, 0.0, 0.0, "p", 9), ("A", 2, 0.75, 0.0, "q", 9), ("A", 3, nan, 0.0, "r", 9), ("A", 4, inf, 0.0, "r", 9), ("A", 5, None, 0.0, "r", 9), ("A", 6, 0.0, 0.0, None, 9), (None, 7, 0.0, 0.0, "r", 9), ("A", 8, -0.5, -0.5, "s", 9)]
     df = spark.createDataFrame(data, "run string, id long, x double, y double, own string, gx long")
-    assert {tuple(r)[1:] for r in close_pairs(df, "run", "id", "x", "y", "own", 0.75).collect()} == {(1, 2), (1, 8)}
+    assert {tuple(r)[1:] for r in close_pairs(df, "run", "id", "x", "y", "own", 0.75).collect()} == {(1, 2, "p", "q"), (1, 8, "p", "s")}
     assert close_pairs(df.limit(0), "run", "id", "x", "y", "own", 0.75).count() == 0
 
 
