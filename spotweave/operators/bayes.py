@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spotweave.session import checkpoint
+
 #: Clamps of the prior and eigenvalues counted as zero.
 PRIOR_FLOOR, ZERO_EIGENVALUE = 1e-4, 1e-8
 
@@ -21,20 +23,14 @@ def symmetric_edges(edges: DataFrame, by: list[str]) -> DataFrame:
     return e.unionByName(e.select(*by, F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def spatial_basis(edges: DataFrame, by: list[str], m: int = 100, normalise: bool = True, most: int = 3000) -> DataFrame:
-    """(by, cell, u, gamma): per cell its entries of the ``m`` smoothest non-constant Laplacian eigenvectors, and their eigenvalues.
+def spatial_basis(edges: DataFrame, by: list[str], m: int = 100, normalise: bool = True, dense: int = 3000) -> DataFrame:
+    """(by, cell, u, gamma): per cell its entries of the ``m`` smoothest non-constant Laplacian eigenvectors, and their eigenvalues, over all cells.
 
-    Dense eigenvectors are found in one task per dataset, for at most ``most`` cells: of a larger dataset the ``most`` cells with the smallest portable hash are
-    taken, edges among them only. This bound is the operator's documented limit.
+    A dataset of at most ``dense`` cells (or few for ``m``) is solved by dense eigenvectors in one task, a larger one by ``iterated_basis``. Both give the same vectors.
     """
-    from spotweave.functions.stats import portable_hash
-    from pyspark.sql import Window
-
-    e = symmetric_edges(edges, by)
-    cells = e.select(*by, F.col("src").alias("cell")).distinct()
-    r = F.row_number().over(Window.partitionBy(*by).orderBy(portable_hash(F.lit("basis"), F.col("cell").cast("string")), "cell"))
-    keep = cells.withColumn("r", r).filter(F.col("r") <= most).drop("r")
-    e = e.join(keep.withColumnRenamed("cell", "src"), [*by, "src"], "left_semi").join(keep.withColumnRenamed("cell", "dst"), [*by, "dst"], "left_semi")
+    e = checkpoint(symmetric_edges(edges, by))
+    large = e.groupBy(*by).agg(F.countDistinct("src").alias("n")).filter(F.col("n") > max(dense, 4 * m + 64)).select(*by)
+    large = checkpoint(large)
     kinds = {f.name: f.dataType.simpleString() for f in e.schema}
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -58,7 +54,142 @@ def spatial_basis(edges: DataFrame, by: list[str], m: int = 100, normalise: bool
         return out[[*by, "cell", "u", "gamma"]]
 
     keys = ", ".join(f"{c} {kinds[c]}" for c in by)
-    return e.groupBy(*by).applyInPandas(solve, f"{keys}, cell {kinds['src']}, u array<double>, gamma array<double>")
+    schema = f"{keys}, cell {kinds['src']}, u array<double>, gamma array<double>"
+    if large.isEmpty():
+        return e.groupBy(*by).applyInPandas(solve, schema)
+    small = e.join(large, by, "left_anti").groupBy(*by).applyInPandas(solve, schema)
+    return small.unionByName(iterated_basis(e.join(large, by, "left_semi"), by, m, normalise))
+
+
+def iterated_basis(e: DataFrame, by: list[str], m: int, normalise: bool = True, tolerance: float = 1e-7, rounds: int = 60, block: int = 8192, width: int = 8) -> DataFrame:
+    """The columns of ``spatial_basis`` for large datasets, by subspace iteration with a Chebyshev filter; ``e`` holds symmetric edges.
+
+    Cells are numbered and lie in blocks. In each round a task filters ``width`` of the 1.25 * ``m`` vectors, holding the dataset's neighbour lists (4 bytes an edge) and
+    those columns only; then each block of cells adds its part to the Gram matrices, the small problem they form is solved once for a dataset, and
+    the blocks are turned to its solution. The null space is known (constant on connected parts) and taken out of every vector. A round's
+    result is checkpointed; a dataset is done when all residuals are below ``tolerance`` times the last eigenvalue. It fails if that takes over ``rounds``.
+    """
+    from spotweave.operators.skew import number_rows
+
+    kinds = {f.name: f.dataType.simpleString() for f in e.schema}
+    keys = ", ".join(f"{c} {kinds[c]}" for c in by)
+    groups = -(-5 * m // (4 * width))
+    p = groups * width
+    cells = checkpoint(number_rows(e.select(*by, F.col("src").alias("cell")).distinct(), by, ["cell"], "i").select(*by, "cell", (F.col("i") - 1).cast("long").alias("i")))
+    a, b = (cells.select(*by, F.col("cell").alias(k), F.col("i").alias(f"{k}_i")) for k in ("src", "dst"))
+    pairs = e.join(a, [*by, "src"]).join(b, [*by, "dst"]).select(*by, F.floor(F.col("src_i") / block).cast("int").alias("block"), "src_i", "dst_i")
+
+    def keyed(pdf: pd.DataFrame, **columns) -> pd.DataFrame:
+        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in by}, **columns})
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["src_i", "dst_i"])
+        at = int(pdf["block"].iloc[0])
+        degree = np.bincount(pdf["src_i"] - at * block).astype(np.int32)
+        return keyed(pdf, block=[at], n=[len(degree)], degree=[degree.tobytes()], near=[pdf["dst_i"].to_numpy(dtype=np.int32).tobytes()])
+
+    graph = checkpoint(pairs.groupBy(*by, "block").applyInPandas(pack, f"{keys}, block int, n int, degree binary, near binary"))
+    every = graph.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+
+    def begin(batches):
+        for x in batches:
+            yield x[[*by, "g", "block"]].assign(u=[np.random.default_rng([g, k]).standard_normal((n, width)).tobytes() for g, k, n in zip(x["g"], x["block"], x["n"])], cut=-1.0)
+
+    def smooth(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):  # the dataset is done
+            return pd.DataFrame(columns=[*by, "g", "block", "u", "lu"])
+        left, right = left.sort_values("block"), right.sort_values("block")
+        count, near = (np.concatenate([np.frombuffer(x, dtype=np.int32) for x in right[c]]) for c in ("degree", "near"))
+        n, first = len(count), np.concatenate(([0], np.cumsum(count, dtype=np.int64)))
+        degree = count.astype(float)[:, None]
+        s = 1 / np.sqrt(degree) if normalise else np.ones((n, 1))
+
+        def lap(u: np.ndarray) -> np.ndarray:
+            v, out = s * u, np.empty_like(u)
+            for i in range(0, n, block):
+                k = min(i + block, n)
+                out[i:k] = np.add.reduceat(v[near[first[i] : first[k]]], first[i:k] - first[i], axis=0)
+            return u - s * out if normalise else degree * u - out
+
+        part, before = np.arange(n), None
+        while before is None or (part != before).any():
+            before = part
+            part = np.minimum(part, np.minimum.reduceat(part[near], first[:-1]))
+            part = part[part]
+        part = np.unique(part, return_inverse=True)[1]
+        flat = np.sqrt(degree[:, 0]) if normalise else np.ones(n)
+        size = np.bincount(part, flat * flat)
+
+        def centred(u: np.ndarray) -> np.ndarray:
+            return np.column_stack([c - flat * (np.bincount(part, flat * c) / size)[part] for c in u.T])
+
+        u = centred(np.concatenate([np.frombuffer(x).reshape(-1, width) for x in left["u"]]))
+        high = 2.0 if normalise else 2 * float(degree.max())
+        cut = float(left["cut"].iloc[0])
+        cut = high / 4 if cut < 0 else min(cut, high / 2)
+        middle, half = (high + cut) / 2, (high - cut) / 2
+        old, u = u, (lap(u) - middle * u) / half
+        for _ in range(int(np.ceil(5 * np.sqrt(high / cut))) - 1):
+            old, u = u, 2 * (lap(u) - middle * u) / half - old
+        u = centred(u)
+        lu, ends = lap(u), np.cumsum(right["n"])
+        return left[[*by, "g", "block"]].assign(u=[u[z - n : z].tobytes() for z, n in zip(ends, right["n"])], lu=[lu[z - n : z].tobytes() for z, n in zip(ends, right["n"])])
+
+    def wide(pdf: pd.DataFrame, c: str) -> np.ndarray:
+        return np.hstack([np.frombuffer(x).reshape(-1, width) for x in pdf.sort_values("g")[c]])
+
+    def grams(pdf: pd.DataFrame) -> pd.DataFrame:
+        u, lu = wide(pdf, "u"), wide(pdf, "lu")
+        return keyed(pdf, gram=[np.stack([u.T @ u, u.T @ lu]).tobytes()])
+
+    def ritz(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = sum(np.frombuffer(x) for x in pdf["gram"]).reshape(2, p, p)
+        d = 1 / np.sqrt(np.maximum(np.diag(g[0]), 1e-300))
+        w, q = np.linalg.eigh(d[:, None] * g[0] * d)
+        keep = w > 1e-12 * w[-1]
+        q = d[:, None] * q[:, keep] / np.sqrt(w[keep])
+        theta, y = np.linalg.eigh(q.T @ (g[1] + g[1].T) / 2 @ q)
+        turn = np.zeros((p, p))  # a vector that was lost starts anew
+        turn[:, : len(theta)] = q @ y
+        return keyed(pdf, theta=[np.concatenate([theta, np.full(p - len(theta), theta[-1])])], turn=[turn.tobytes()], kept=[len(theta)])
+
+    def rotate(pdf: pd.DataFrame) -> pd.DataFrame:
+        turn, theta, kept, at = np.frombuffer(pdf["turn"].iloc[0]).reshape(p, p), np.asarray(pdf["theta"].iloc[0]), int(pdf["kept"].iloc[0]), int(pdf["block"].iloc[0])
+        u = wide(pdf, "u") @ turn
+        rest = ((wide(pdf, "lu") @ turn - u * theta) ** 2).sum(0)
+        rest[kept:] = np.inf
+        u[:, kept:] = np.random.default_rng([kept, at, 1]).standard_normal((len(u), p - kept))
+        cut = [slice(g * width, (g + 1) * width) for g in range(groups)]
+        return keyed(pdf, g=range(groups), block=at, u=[np.ascontiguousarray(u[:, c]).tobytes() for c in cut], rest=[rest[c] for c in cut])
+
+    def rows(pdf: pd.DataFrame) -> pd.DataFrame:
+        u = wide(pdf, "u")[:, :m]
+        return keyed(pdf, i=np.arange(len(u)) + int(pdf["block"].iloc[0]) * block, u=list(u))
+
+    state, done = every.mapInPandas(begin, f"{keys}, g int, block int, u binary, cut double"), []
+    for _ in range(rounds):
+        f = checkpoint(state.groupBy(*by, "g").cogroup(every.select(*by, "g", "block", "n", "degree", "near").groupBy(*by, "g")).applyInPandas(smooth, f"{keys}, g int, block int, u binary, lu binary"))
+        gram = f.groupBy(*by, "block").applyInPandas(grams, f"{keys}, gram binary")
+        solved = checkpoint(gram.groupBy(*by).applyInPandas(ritz, f"{keys}, theta array<double>, turn binary, kept int"))
+        new = checkpoint(f.join(solved, by).groupBy(*by, "block").applyInPandas(rotate, f"{keys}, g int, block int, u binary, rest array<double>"))
+        worst = new.select(*by, "g", F.posexplode("rest").alias("k", "r")).filter(F.col("g") * width + F.col("k") < m).groupBy(*by, "g", "k").agg(F.sqrt(F.sum("r")).alias("r")).groupBy(*by).agg(F.max("r").alias("r"))
+        state = solved.join(worst, by).select(*by, F.slice("theta", 1, m).alias("gamma"), F.element_at("theta", p).alias("cut"), (F.col("r") <= tolerance * F.element_at("theta", m)).alias("done"))
+        state = checkpoint(new.drop("rest").join(state, by))
+        done.append(state.filter("done").select(*by, "g", "block", "u", "gamma"))
+        state = state.filter("not done").select(*by, "g", "block", "u", "cut")
+        if state.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"the basis has not converged after {rounds} rounds")
+    found = done[0]
+    for x in done[1:]:
+        found = found.unionByName(x)
+    u = found.groupBy(*by, "block").applyInPandas(rows, f"{keys}, i long, u array<double>")
+    sign = u.select(*by, "i", F.posexplode("u").alias("k", "x")).groupBy(*by, "k").agg(F.max(F.struct(F.abs("x"), -F.col("i"), F.signum("x").alias("s"))).alias("t"))
+    sign = sign.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("k", F.col("t.s").alias("s")))).alias("s"))
+    gamma = found.filter("g = 0 and block = 0").select(*by, "gamma")
+    u = u.join(cells, [*by, "i"]).join(gamma, by).join(sign, by)
+    return u.select(*by, "cell", F.zip_with("u", "s", lambda x, t: x * t["s"]).alias("u"), "gamma")
 
 
 def gene_fits(values: DataFrame, basis: DataFrame, by: list[str], cell: str, gene: str, x: str) -> DataFrame:

@@ -68,7 +68,7 @@ def label_modularity(s, d):
 
 
 def _posterior(s, d):
-    basis = b.spatial_basis(_edges(s, d, 15), RUN, 60)
+    basis = b.spatial_basis(_edges(s, d, 15), RUN)
     return checkpoint(b.posteriors(b.gene_fits(normalised(counts(s, d), RUN, CELL), basis, RUN, CELL, GENE, "x"), RUN, GENE))
 
 

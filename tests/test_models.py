@@ -94,6 +94,22 @@ def test_spatial_genes_are_found_and_a_null_is_not(spark):
     assert modularity(edges, c, ["run"]).first()["modularity"] > 0.5
 
 
+def test_iterated_basis_equals_dense_and_keeps_all_cells(spark):
+    g = np.random.default_rng(3)
+    # Two runs; run B consists of two parts far from each other.
+    xy = [("A", f"a{i:03d}", float(x), float(y)) for i, (x, y) in enumerate(g.uniform(size=(400, 2)))]
+    xy += [("B", f"b{i:03d}", float(x + 9 * (i % 2)), float(y)) for i, (x, y) in enumerate(g.uniform(size=(300, 2)))]
+    edges = knn_plane(spark.createDataFrame(xy, "run string, cell string, x double, y double"), ["run"], "cell", "x", "y", 6)
+    for normalise in (True, False):
+        want, got = ({(r["run"], r["cell"]): (r["u"], r["gamma"]) for r in bayes.spatial_basis(edges, ["run"], 12, normalise, dense).collect()} for dense in (3000, 120))
+        assert want.keys() == got.keys() == {t[:2] for t in xy}
+        for run in "AB":
+            at = sorted(k for k in want if k[0] == run)
+            u, v = np.array([want[k][0] for k in at]), np.array([got[k][0] for k in at])
+            assert v.shape == (len(at), 12) and np.allclose(want[at[0]][1], got[at[0]][1], rtol=1e-9)
+            assert np.abs(u - v).max() < 1e-4
+
+
 def test_p_values(spark):
     df = spark.createDataFrame([("g", "a", 0.0), ("g", "b", 3.0), ("g", "c", None)], "k string, gene string, score double").withColumn("pval", two_sided_p("score"))
     r = {x["gene"]: x for x in adjust_bh(df.filter("pval is not null"), ["k"], "pval", "pval_adj", "gene").selectExpr("*", "1.0D as logfoldchange").collect()}
