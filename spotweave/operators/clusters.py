@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spotweave.functions.stats import entropy, portable_hash, softmax, squared_distance
+from spotweave.functions.stats import entropy, softmax, squared_distance
 
 
 def vector_means(points: DataFrame, groups: list[str], v: str) -> DataFrame:
@@ -30,34 +30,47 @@ def centre_distances(points: DataFrame, by: list[str], label: str, v: str) -> Da
     return a.join(b, by).filter("a <> b").select(*by, "a", "b", F.sqrt(squared_distance(F.col("ca"), F.col("cb"))).alias("distance"))
 
 
-def sample_points(points: DataFrame, by: list[str], id_: str, limit: int, seed: int = 0) -> DataFrame:
-    """At most ``limit`` points of each dataset, those with the smallest portable hash; the same on any partitioning."""
-    r = F.row_number().over(Window.partitionBy(*by).orderBy(portable_hash(F.lit(str(seed)), F.col(id_).cast("string")), id_))
-    return points.withColumn("__r", r).filter(F.col("__r") <= limit).drop("__r")
+def silhouettes(points: DataFrame, by: list[str], id_: str, label: str, v: str, block: int = 4096, chunk: int = 8) -> DataFrame:
+    """(by, id_, label, silhouette) by Euclidean distance, exact among all points of a dataset.
 
-
-def silhouettes(points: DataFrame, by: list[str], id_: str, label: str, v: str, limit: int = 10_000, block: int = 512) -> DataFrame:
-    """(by, id_, label, silhouette) by Euclidean distance, exact among at most ``limit`` points of a dataset.
-
-    Larger datasets are sampled first (the operator's documented bound). A dataset's points are cut into blocks of about ``block``, and each block
-    is compared with the dataset's at most ``limit`` points in one task, by numpy; no pairs are emitted. A point alone in its cluster has 0; a dataset with one label has null.
+    A dataset's points are cut into blocks of about ``block``. A task compares one block with ``chunk`` blocks and gives each point's sum of distances
+    and count for each label, no pairs; these are added up by block. The work grows with the square of a dataset's points. A point alone in its
+    cluster has 0; a dataset with one label has null.
     """
-    p = sample_points(points.select(*by, F.col(id_).alias("id"), F.col(label).cast("string").alias("label"), F.col(v).cast("array<double>").alias("v")).filter("label is not null and v is not null"), by, "id", limit)
+    p = points.select(*by, F.col(id_).alias("id"), F.col(label).cast("string").alias("label"), F.col(v).cast("array<double>").alias("v")).filter("label is not null and v is not null")
     blocks = p.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    mine = p.join(blocks, by).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    every = p.join(blocks, by).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    columns = [*by, "block", "id", "label", "v"]
+    t = p.join(blocks, by).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("part", F.floor(F.col("block") / chunk).cast("int"))
+    kinds = {f.name: f.dataType.simpleString() for f in p.schema}
+    keys = ", ".join(f"{c} {kinds[c]}" for c in by)
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("label", kind="stable")
+        names, size = np.unique(pdf["label"].to_numpy(dtype=str), return_counts=True)
+        m = np.stack(pdf["v"].to_numpy()).astype(float)
+        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in [*by, "blocks", "part"]}, "names": [names.tolist()], "size": [size.tolist()], "d": [m.shape[1]], "v": [m.tobytes()]})
+
+    def hold(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.stack(pdf["v"].to_numpy()).astype(float)
+        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in [*by, "blocks", "block"]}, "ids": [pdf["id"].tolist()], "own": [pdf["label"].tolist()], "v": [m.tobytes()]})
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return pd.DataFrame(columns=[*by, "id", "label", "silhouette"])
-        q, m = np.stack(left["v"].to_numpy()), np.stack(right["r_v"].to_numpy())
-        names, code = np.unique(right["r_label"].to_numpy(dtype=str), return_inverse=True)
-        one = np.eye(len(names))[code]
-        total = np.concatenate([np.sqrt(((row - m) ** 2).sum(-1))[None] @ one for row in q])
-        size = one.sum(0)
-        own = np.searchsorted(names, left["label"].to_numpy(dtype=str))
-        at = np.arange(len(left))
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=[*by, "block", "names", "size", "total"])
+        r = right.iloc[0]
+        q, m = (np.frombuffer(x).reshape(-1, r["d"]) for x in (left["v"].iloc[0], r["v"]))
+        first, m = np.concatenate(([0], np.cumsum(r["size"])[:-1])), np.ascontiguousarray(m.T)
+        total = np.stack([np.add.reduceat(np.sqrt(((m - row[:, None]) ** 2).sum(0)), first) for row in q])
+        return left[[*by, "block"]].assign(names=[r["names"]], size=[r["size"]], total=[total.tobytes()])
+
+    def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        ids, label = left["ids"].iloc[0], np.asarray(left["own"].iloc[0], dtype=str)
+        names = np.unique(np.concatenate([np.asarray(x, dtype=str) for x in right["names"]]))
+        size, total = np.zeros(len(names)), np.zeros((len(label), len(names)))
+        for n, k, x in zip(right["names"], right["size"], right["total"]):
+            i = np.searchsorted(names, np.asarray(n, dtype=str))
+            size[i] += k
+            total[:, i] += np.frombuffer(x).reshape(len(label), -1)
+        own, at = np.searchsorted(names, label), np.arange(len(label))
         with np.errstate(divide="ignore", invalid="ignore"):
             a = total[at, own] / (size[own] - 1)
             mean = total / size
@@ -66,14 +79,16 @@ def silhouettes(points: DataFrame, by: list[str], id_: str, label: str, v: str,
             top = np.maximum(a, b)
             s = np.where(size[own] == 1, 0.0, np.where(top > 0, (b - a) / top, 0.0))
         if len(names) < 2:
-            s = np.full(len(left), np.nan)
-        return left[[*by, "id", "label"]].assign(silhouette=s)
-
-    kinds = {f.name: f.dataType.simpleString() for f in p.schema}
-    schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], f"id {kinds['id']}", "label string", "silhouette double"])
-    key = [*by, "block"]
-    right = every.select(*columns).toDF(*[f"r_{c}" for c in columns])
-    out = mine.select(*columns).groupBy(*key).cogroup(right.groupBy(*[f"r_{c}" for c in key])).applyInPandas(compare, schema)
+            s = np.full(len(label), np.nan)
+        return pd.DataFrame({**{c: left[c].iloc[0] for c in by}, "id": ids, "label": label, "silhouette": s})
+
+    held = t.groupBy(*by, "block").applyInPandas(hold, f"{keys}, blocks int, block int, ids array<{kinds['id']}>, own array<string>, v binary")
+    right = t.groupBy(*by, "part").applyInPandas(pack, f"{keys}, blocks int, part int, names array<string>, size array<long>, d int, v binary")
+    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    mine = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("blocks") - 1) / chunk).cast("int")))).select(*by, "block", "part", "v")
+    sums = mine.groupBy(*by, "block", "part").cogroup(right.groupBy(*by, "block", "part")).applyInPandas(compare, f"{keys}, block int, names array<string>, size array<long>, total binary")
+    schema = f"{keys}, id {kinds['id']}, label string, silhouette double"
+    out = held.select(*by, "block", "ids", "own").groupBy(*by, "block").cogroup(sums.groupBy(*by, "block")).applyInPandas(finish, schema)
     return out.withColumn("silhouette", F.when(~F.isnan("silhouette"), F.col("silhouette"))).withColumnsRenamed({"id": id_, "label": label})
 
 

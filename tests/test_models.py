@@ -7,7 +7,7 @@ from pathlib import Path
 import numpy as np
 
 from spotweave.operators import bayes, factor, raster
-from spotweave.operators.clusters import silhouettes
+from spotweave.operators.clusters import separability, silhouettes
 from spotweave.operators.community import communities, modularity
 from spotweave.operators.knn import knn_plane
 from spotweave.operators.markers import adjust_bh, significant, two_sided_p
@@ -61,6 +61,19 @@ def test_silhouette_equals_brute_force(spark):
         assert abs(got[name] - (b - a) / max(a, b)) < 1e-9
 
 
+def test_silhouettes_and_separability_keep_every_point(spark):
+    t = spark.range(10_050).selectExpr("1 as run", "concat('p', id) as id", "concat('l', id % 3) as label", "array(id % 3 + (id * 37 % 101) / 100D, (id * 53 % 97) / 100D) as v")
+    got = {r["id"]: r["silhouette"] for r in silhouettes(t, ["run"], "id", "label", "v", block=700, chunk=4).collect()}
+    assert len(got) == 10_050
+    rows = t.collect()
+    m, l = np.array([r["v"] for r in rows]), np.array([r["label"] for r in rows])
+    for r in rows[::500]:
+        d, own = np.sqrt(((m - np.array(r["v"])) ** 2).sum(-1)), l == r["label"]
+        a, b = d[own].sum() / (own.sum() - 1), min(d[l == o].mean() for o in set(l) - {r["label"]})
+        assert abs(got[r["id"]] - (b - a) / max(a, b)) < 1e-9
+    assert {r["label"]: r["n"] for r in separability(t, ["run"], "id", "label", "v").collect()} == {"l0": 3350, "l1": 3350, "l2": 3350}
+
+
 def test_pca_equals_numpy(spark):
     m = np.random.default_rng(0).normal(size=(60, 5)) * [5, 3, 1, 1, 1] + 2
     df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(m)], "id long, v array<double>").repartition(4)
