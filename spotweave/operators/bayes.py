@@ -279,7 +279,20 @@ def cluster_bayes_markers(posterior: DataFrame, contrast: DataFrame, by: list[st
     return best_per_group(raised, [*by, "cluster"], F.col("posterior"), gene, 2**31 - 1).select(*by, "cluster", "rank", gene, "posterior")
 
 
+def scaled_features(values: DataFrame, by: list[str], cell: str, gene: str, x: str) -> DataFrame:
+    """values with ``z`` = x over the gene's deviation among all cells of the dataset (a deviation of 0 counts as 1), so that absent entries stay 0.
+
+    These are the standardised values but for the mean, which a centred analysis takes out.
+    """
+    from spotweave.operators.matrix import gene_moments
+
+    n = F.col("n_cells")
+    sd = F.sqrt(F.greatest(F.col("variance") * (n - 1) / n, F.lit(0.0)))
+    m = gene_moments(values, by, cell, gene, x).select(*by, gene, F.when(sd > 1e-12, sd).otherwise(1.0).alias("__sd"))
+    return values.join(m, [*by, gene]).withColumn("z", F.col(x) / F.col("__sd")).drop("__sd")
+
+
 def weighted_features(z: DataFrame, posterior: DataFrame, by: list[str], gene: str) -> DataFrame:
-    """Standardised values weighted by the root of the gene's posterior, clipped to [0, 1]."""
+    """Values of ``scaled_features`` weighted by the root of the gene's posterior, clipped to [0, 1]."""
     weight = F.sqrt(F.greatest(F.least("posterior", F.lit(1.0)), F.lit(0.0)))
-    return z.join(posterior.select(*by, gene, "posterior"), [*by, gene]).withColumn("z", F.col("z") * weight).drop("posterior")
+    return z.join(posterior.select(*by, gene, "posterior"), [*by, gene], "left").withColumn("z", F.col("z") * F.coalesce(weight, F.lit(0.0))).drop("posterior")

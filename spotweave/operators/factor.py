@@ -52,44 +52,83 @@ def vector_pca(vectors: DataFrame, id_: str, v: str, k: int, whiten: bool = Fals
     return rows.mapInPandas(project, f"id {kind}, scores array<double>").withColumnRenamed("id", id_), values
 
 
-def count_pca(values: DataFrame, by: list[str], cell: str, gene: str, x: str, genes: DataFrame, k: int) -> DataFrame:
+def count_pca(values: DataFrame, by: list[str], cell: str, gene: str, x: str, genes: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """(by, cell, scores): principal components of sparse values over each dataset's chosen ``genes`` (by, gene), absent entries being zeros.
 
-    The Gram matrix is a sum over a cell's own gene pairs; a dataset's genes are a bounded choice (a few hundred to thousands), so the pairs of one
-    cell are bounded and sums aggregate before the shuffle. Each dataset's d x d matrix goes to one task for its eigenproblem, and the
-    loadings come back to the entries by a join on (by, gene). Scores are centred. Signs: the loading of largest absolute value is positive.
+    Every cell of ``values`` has scores, also one without any chosen gene. A dataset of up to ``block`` cells is solved in one task. Of a larger one each
+    block of cells gives its part of the Gram matrix (a dataset's genes are bounded by its panel), one task solves the sum, and the loadings come back
+    to the blocks. Scores are centred. Signs: the loading of largest absolute value is positive.
     """
-    v = values.join(genes.select(*by, gene), [*by, gene], "left_semi").select(*by, cell, gene, F.col(x).cast("double").alias("x"))
-    n = values.select(*by, cell).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    a, b = v.select(*by, cell, F.col(gene).alias("g1"), F.col("x").alias("x1")), v.select(*by, cell, F.col(gene).alias("g2"), F.col("x").alias("x2"))
-    gram = a.join(b, [*by, cell]).filter("g1 <= g2").groupBy(*by, "g1", "g2").agg(F.sum(F.col("x1") * F.col("x2")).alias("s"))
-    mean = v.groupBy(*by, gene).agg(F.sum("x").alias("s"))
-    m = mean.select(*by, F.col(gene).alias("g1"), F.lit(None).cast("string").alias("g2"), "s").unionByName(gram).join(n, by)
+    from spotweave.session import checkpoint
+
+    chosen = genes.select(*by, gene).distinct().withColumn("__use", F.lit(True))
+    v = values.select(*by, cell, gene, F.col(x).cast("double").alias("x")).join(chosen, [*by, gene], "left").select(*by, F.col(cell).alias("cell"), F.when(F.col("__use"), F.col(gene)).alias("gene"), "x")
+    sizes = checkpoint(values.groupBy(*by).agg(F.countDistinct(cell).alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")))
     kinds = {f.name: f.dataType.simpleString() for f in v.schema}
+    keys = ", ".join(f"{c} {kinds[c]}" for c in by)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, one = int(pdf["n"].iloc[0]), pdf[pdf["g2"].isna()].sort_values("g1")
-        names = one["g1"].to_numpy()
-        at = {g: i for i, g in enumerate(names)}
-        mean, g = one["s"].to_numpy() / n, np.zeros((len(names), len(names)))
-        two = pdf[pdf["g2"].notna()]
-        i, j = two["g1"].map(at).to_numpy(), two["g2"].map(at).to_numpy()
-        g[i, j] = g[j, i] = two["s"].to_numpy()
-        values, axes = np.linalg.eigh((g - n * np.outer(mean, mean)) / max(n - 1, 1))
-        keep = max(1, min(k, n - 1, len(names)))
-        values, axes = values[::-1][:keep], axes[:, ::-1][:, :keep]
+    def dense(pdf: pd.DataFrame, names: np.ndarray | None = None):
+        cells, i = np.unique(pdf["cell"].to_numpy(), return_inverse=True)
+        given = pdf["gene"].notna().to_numpy() & pdf["x"].notna().to_numpy()
+        g = pdf["gene"].to_numpy()[given].astype(str)
+        names = np.unique(g) if names is None else names
+        m = np.zeros((len(cells), len(names)))
+        np.add.at(m, (i[given], np.searchsorted(names, g)), pdf["x"].to_numpy()[given])
+        return cells, names, m
+
+    def solve(n: int, total: np.ndarray, gram: np.ndarray):
+        mean = total / n
+        values, axes = np.linalg.eigh((gram - n * np.outer(mean, mean)) / max(n - 1, 1))
+        keep = max(1, min(k, n - 1, len(total)))
+        axes = axes[:, ::-1][:, :keep]
         axes = axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(keep)])
-        out = pd.DataFrame({gene: names, "w": list(axes), "c": list(np.outer(mean, np.ones(keep)) * axes)})
-        for c in by:
-            out[c] = pdf[c].iloc[0]
-        return out[[*by, gene, "w", "c"]]
-
-    keys = ", ".join(f"{c} {kinds[c]}" for c in by)
-    loads = m.groupBy(*by).applyInPandas(solve, f"{keys}, {gene} string, w array<double>, c array<double>")
-    offset = loads.select(*by, F.posexplode("c").alias("i", "c")).groupBy(*by, "i").agg(F.sum("c").alias("c"))
-    part = v.join(loads.select(*by, gene, "w"), [*by, gene]).select(*by, cell, F.posexplode("w").alias("i", "w"), "x").groupBy(*by, cell, "i").agg(F.sum(F.col("w") * F.col("x")).alias("s"))
-    part = part.join(offset, [*by, "i"]).select(*by, cell, "i", (F.col("s") - F.col("c")).alias("s"))
-    return part.groupBy(*by, cell).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda t: t["s"]).alias("scores"))
+        return axes, mean @ axes
+
+    def keyed(pdf: pd.DataFrame, **columns) -> pd.DataFrame:
+        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in by}, **columns})
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        cells, names, m = dense(pdf)
+        if not len(names):
+            return pd.DataFrame(columns=[*by, "cell", "scores"])
+        w, c = solve(len(m), m.sum(0), m.T @ m)
+        return keyed(pdf, cell=cells, scores=list(m @ w - c))
+
+    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+        cells, names, m = dense(pdf)
+        return keyed(pdf, n=[len(cells)], names=[names.tolist()], total=[m.sum(0).tobytes()], gram=[(m.T @ m).tobytes()])
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = np.unique(np.concatenate([np.asarray(x, dtype=str) for x in pdf["names"]]))
+        total, gram = np.zeros(len(names)), np.zeros((len(names), len(names)))
+        if not len(names):
+            return pd.DataFrame(columns=[*by, "names", "w", "c"])
+        for own, t, g in zip(pdf["names"], pdf["total"], pdf["gram"]):
+            i = np.searchsorted(names, np.asarray(own, dtype=str))
+            total[i] += np.frombuffer(t)
+            gram[np.ix_(i, i)] += np.frombuffer(g).reshape(len(i), len(i))
+        w, c = solve(int(pdf["n"].sum()), total, gram)
+        return keyed(pdf, names=[names.tolist()], w=[w.tobytes()], c=[c.tobytes()])
+
+    def project(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=[*by, "cell", "scores"])
+        r = right.iloc[0]
+        c = np.frombuffer(r["c"])
+        cells, _, m = dense(left, np.asarray(r["names"], dtype=str))
+        return keyed(left, cell=cells, scores=list(m @ np.frombuffer(r["w"]).reshape(-1, len(c)) - c))
+
+    schema = f"{keys}, cell {kinds['cell']}, scores array<double>"
+    large = sizes.filter("blocks > 1")
+    if large.isEmpty():
+        return v.groupBy(*by).applyInPandas(whole, schema).withColumnRenamed("cell", cell)
+    out = v.join(large.select(*by), by, "left_anti").groupBy(*by).applyInPandas(whole, schema)
+    cut = v.join(large, by).withColumn("block", F.pmod(F.xxhash64("cell"), "blocks").cast("int")).select(*by, "block", "cell", "gene", "x")
+    sums = cut.groupBy(*by, "block").applyInPandas(part, f"{keys}, n int, names array<string>, total binary, gram binary")
+    loads = sums.groupBy(*by).applyInPandas(merge, f"{keys}, names array<string>, w binary, c binary")
+    loads = loads.join(large.select(*by, "blocks"), by).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    scores = cut.groupBy(*by, "block").cogroup(loads.groupBy(*by, "block")).applyInPandas(project, schema)
+    return out.unionByName(scores).withColumnRenamed("cell", cell)
 
 
 def elbow(values: DataFrame, by: list[str], order: str, value: str, least: int = 5, most: int = 50) -> DataFrame:

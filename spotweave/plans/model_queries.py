@@ -10,7 +10,7 @@ from spotweave.operators import factor as f
 from spotweave.operators.clusters import spatial_posterior
 from spotweave.operators.knn import knn_plane
 from spotweave.operators.markers import contrasts
-from spotweave.operators.matrix import normalised, top_genes
+from spotweave.operators.matrix import normalised, variable_genes
 from spotweave.plans.base import RUN, centroids, counts, labels
 from spotweave.session import checkpoint, table
 
@@ -39,9 +39,7 @@ def pca_whitened(s, d):
 
 def _count_pca(s, d):
     n = counts(s, d)
-    v = normalised(n, RUN, CELL)
-    genes = top_genes(n, RUN, GENE, 60).select(*RUN, GENE).distinct()
-    return f.count_pca(v, RUN, CELL, GENE, "x", genes, 8)
+    return f.count_pca(normalised(n, RUN, CELL), RUN, CELL, GENE, "x", variable_genes(n, RUN, CELL, GENE, 2000), 50)
 
 
 def count_pca(s, d):
@@ -84,10 +82,9 @@ def cluster_bayes_markers(s, d):
 
 def coupled_posterior(s, d):
     """Entropy and confidence of each cell's label in the space of posterior-weighted expression."""
-    n = counts(s, d)
-    weighted = b.weighted_features(normalised(n, RUN, CELL).withColumn("z", F.col("x")), _posterior(s, d), RUN, GENE)
-    genes = top_genes(n, RUN, GENE, 60).select(*RUN, GENE).distinct()
-    space = f.count_pca(weighted, RUN, CELL, GENE, "z", genes, 8).join(labels(s, d), [*RUN, CELL])
+    posterior = _posterior(s, d)
+    weighted = b.weighted_features(b.scaled_features(normalised(counts(s, d), RUN, CELL), RUN, CELL, GENE, "x"), posterior, RUN, GENE)
+    space = f.count_pca(weighted, RUN, CELL, GENE, "z", posterior, 50).join(labels(s, d), [*RUN, CELL])
     return spatial_posterior(space, _edges(s, d, 12), RUN, CELL, "cluster", "scores").select(*RUN, CELL, "label", "candidate", *r6("confidence", "entropy"))
 
 

@@ -86,6 +86,22 @@ def test_pca_equals_numpy(spark):
     assert np.allclose(np.abs(got), np.abs((u * s)[:, :3]))
 
 
+def test_weighted_pca_standardises_and_uses_every_gene_and_cell(spark):
+    g = np.random.default_rng(6)
+    m = g.poisson(0.8, size=(130, 70)) * g.uniform(0.1, 9, size=70)
+    m[5] = 0
+    m[5, 69] = 2.0  # a cell with nothing but the gene that has no posterior
+    p = g.uniform(size=69)
+    n = spark.createDataFrame([("A", f"c{i:03d}", f"g{j:02d}", float(v)) for i, row in enumerate(m) for j, v in enumerate(row) if v], "run string, cell string, gene string, x double")
+    post = spark.createDataFrame([("A", f"g{j:02d}", float(v)) for j, v in enumerate(p)], "run string, gene string, posterior double")
+    z = bayes.weighted_features(bayes.scaled_features(n, ["run"], "cell", "gene", "x"), post, ["run"], "gene")
+    w = (m[:, :69] - m[:, :69].mean(0)) / m[:, :69].std(0) * np.sqrt(p)
+    u, d, _ = np.linalg.svd(w, full_matrices=False)
+    for block in (4096, 40):
+        rows = factor.count_pca(z, ["run"], "cell", "gene", "z", post, 50, block).orderBy("cell").collect()
+        assert len(rows) == 130 and np.allclose(np.abs([r["scores"] for r in rows]), np.abs((u * d)[:, :50]))
+
+
 def test_spatial_genes_are_found_and_a_null_is_not(spark):
     g = np.random.default_rng(1)
     xy = g.uniform(size=(300, 2))
