@@ -192,60 +192,81 @@ def iterated_basis(e: DataFrame, by: list[str], m: int, normalise: bool = True,
     return u.select(*by, "cell", F.zip_with("u", "s", lambda x, t: x * t["s"]).alias("u"), "gamma")
 
 
-def gene_fits(values: DataFrame, basis: DataFrame, by: list[str], cell: str, gene: str, x: str) -> DataFrame:
+def profile_fits(n: int, s: np.ndarray, ss: np.ndarray, p: np.ndarray, us: np.ndarray, gamma: np.ndarray) -> tuple[np.ndarray, pd.DataFrame]:
+    """(genes with variance, their log_bf, fsv, sigma_s2, sigma_e2) from sums, sums of squares and projections (genes x vectors) over ``n`` cells."""
+    mean = s / n
+    var = (ss - n * mean * mean) / max(n - 1, 1)
+    use = np.flatnonzero(var > 1e-12)
+    y2 = (p[use] - mean[use, None] * us) ** 2 / var[use, None]
+    total = float(n - 1)
+    rest = np.maximum(total - y2.sum(1), 1e-10)
+
+    def cost(log_r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        c = np.exp(log_r)[:, None] / gamma + 1
+        e2 = np.maximum(((y2 / c).sum(1) + rest) / n, 1e-10)
+        return 0.5 * (n + np.log(c).sum(1) + n * np.log(e2) + n * np.log(2 * np.pi)), e2
+
+    grid = np.linspace(-14, 14, 60)
+    at = np.argmin([cost(np.full(len(use), g))[0] for g in grid], axis=0)
+    low, high = grid[np.maximum(at - 1, 0)], grid[np.minimum(at + 1, len(grid) - 1)]
+    step = (np.sqrt(5) - 1) / 2
+    for _ in range(40):
+        a, b = high - step * (high - low), low + step * (high - low)
+        left = cost(a)[0] <= cost(b)[0]
+        low, high = np.where(left, low, a), np.where(left, b, high)
+    best, e2 = cost((low + high) / 2)
+    ratio = np.exp((low + high) / 2)
+    null = 0.5 * (n + n * np.log(max(total / n, 1e-10)) + n * np.log(2 * np.pi))
+    return use, pd.DataFrame({"log_bf": null - best - 0.5 * np.log(n), "fsv": ratio / (1 + ratio), "sigma_s2": ratio * e2, "sigma_e2": e2})
+
+
+def gene_fits(values: DataFrame, basis: DataFrame, by: list[str], cell: str, gene: str, x: str, block: int = 4096) -> DataFrame:
     """(by, gene, log_bf, fsv, sigma_s2, sigma_e2): evidence of a spatial part of each gene's standardised values.
 
-    Only sufficient statistics travel: for each gene its projections on the basis (sums over non-zero entries), from which the profile likelihood in the
-    variance ratio is minimised on a grid and by golden section. Genes without variance among the basis cells are left out.
+    A dataset's cells are cut into blocks of about ``block``; a block meets its part of the basis in one task and gives each gene's sums and projections
+    on the basis, which are added up. From these the profile likelihood in the variance ratio is minimised on a grid and by golden section;
+    a dataset of one block is fitted where it is summed. Genes without variance among the basis cells are left out.
     """
-
-    b = basis.select(*by, F.col("cell").alias(cell), "u")
-    n = basis.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.first("gamma").alias("gamma"))
-    total = basis.select(*by, F.posexplode("u").alias("i", "w")).groupBy(*by, "i").agg(F.sum("w").alias("us"))
-    v = values.select(*by, cell, gene, F.col(x).cast("double").alias("x")).join(b, [*by, cell])
-    s = v.groupBy(*by, gene).agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"))
-    proj = v.select(*by, gene, "x", F.posexplode("u").alias("i", "w")).groupBy(*by, gene, "i").agg(F.sum(F.col("x") * F.col("w")).alias("p"))
-    proj = proj.join(total, [*by, "i"]).groupBy(*by, gene).agg(F.array_sort(F.collect_list(F.struct("i", "p", "us"))).alias("p"))
-    t = s.join(proj, [*by, gene]).join(n, by).select(*by, gene, "n", "s", "ss", "gamma", F.transform("p", lambda q: q["p"]).alias("p"), F.transform("p", lambda q: q["us"]).alias("us"))
-    kinds = {f.name: f.dataType.simpleString() for f in t.schema}
-
-    def fit(batches):
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                r = row._asdict()
-                n, mean = r["n"], r["s"] / r["n"]
-                var = (r["ss"] - n * mean * mean) / max(n - 1, 1)
-                if var <= 1e-12:
-                    continue
-                gamma = np.asarray(r["gamma"], dtype=float)
-                y2 = ((np.asarray(r["p"]) - mean * np.asarray(r["us"])) ** 2) / var
-                ss = float(n - 1)
-                rest = max(ss - y2.sum(), 1e-10)
-
-                def cost(log_r: float, y2=y2, gamma=gamma, rest=rest, n=n) -> tuple[float, float]:
-                    c = np.exp(log_r) / gamma + 1
-                    e2 = max(((y2 / c).sum() + rest) / n, 1e-10)
-                    return 0.5 * (n + np.log(c).sum() + n * np.log(e2) + n * np.log(2 * np.pi)), e2
-
-                grid = np.linspace(-14, 14, 60)
-                at = int(np.argmin([cost(g)[0] for g in grid]))
-                low, high = grid[max(at - 1, 0)], grid[min(at + 1, len(grid) - 1)]
-                step = (np.sqrt(5) - 1) / 2
-                for _ in range(40):
-                    a, b = high - step * (high - low), low + step * (high - low)
-                    if cost(a)[0] <= cost(b)[0]:
-                        high = b
-                    else:
-                        low = a
-                best, e2 = cost((low + high) / 2)
-                ratio = float(np.exp((low + high) / 2))
-                null = 0.5 * (n + n * np.log(max(ss / n, 1e-10)) + n * np.log(2 * np.pi))
-                out.append((*[r[c] for c in by], r[gene], float(null - best - 0.5 * np.log(n)), ratio / (1 + ratio), ratio * e2, e2))
-            yield pd.DataFrame(out, columns=[*by, gene, "log_bf", "fsv", "sigma_s2", "sigma_e2"])
-
+    v = values.select(*by, F.col(cell).alias("cell"), F.col(gene).alias("gene"), F.col(x).cast("double").alias("x"))
+    sizes = checkpoint(values.groupBy(*by).agg(F.ceil(F.countDistinct(cell) / block).cast("int").alias("blocks")))
+    kinds = {f.name: f.dataType.simpleString() for f in v.schema}
     keys = ", ".join(f"{c} {kinds[c]}" for c in by)
-    return t.mapInPandas(fit, f"{keys}, {gene} string, log_bf double, fsv double, sigma_s2 double, sigma_e2 double")
+    blocked = lambda df: df.join(sizes, by).withColumn("block", F.pmod(F.xxhash64("cell"), "blocks").cast("int"))
+    names = ["log_bf", "fsv", "sigma_s2", "sigma_e2"]
+
+    def add(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(right):
+            return pd.DataFrame(columns=[*by, "n", "genes", "s", "ss", "p", "us", "gamma", *names])
+        u, gamma, n = np.stack(right["u"].to_numpy()), np.asarray(right["gamma"].iloc[0], dtype=float), len(right)
+        i = pd.Index(right["cell"]).get_indexer(left["cell"])
+        genes, j = np.unique(left["gene"].to_numpy(dtype=str)[i >= 0], return_inverse=True)
+        m = np.zeros((n, len(genes)))
+        np.add.at(m, (i[i >= 0], j), left["x"].to_numpy()[i >= 0])
+        s, ss, p, us = m.sum(0), (m * m).sum(0), m.T @ u, u.sum(0)
+        key = {c: right[c].iloc[0] for c in by}
+        if right["blocks"].iloc[0] == 1:
+            use, fit = profile_fits(n, s, ss, p, us, gamma)
+            return pd.DataFrame({**key, "n": None, "genes": [genes[use].tolist()], "s": None, "ss": None, "p": None, "us": None, "gamma": None, **{c: [fit[c].tolist()] for c in names}})
+        return pd.DataFrame({**key, "n": n, "genes": [genes.tolist()], "s": [s.tolist()], "ss": [ss.tolist()], "p": [p.tobytes()], "us": [us.tolist()], "gamma": [gamma.tolist()], **dict.fromkeys(names)})
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        genes = np.unique(np.concatenate([np.asarray(g, dtype=str) for g in pdf["genes"]]))
+        gamma = np.asarray(pdf["gamma"].iloc[0], dtype=float)
+        s, ss, p = np.zeros(len(genes)), np.zeros(len(genes)), np.zeros((len(genes), len(gamma)))
+        for r in pdf.itertuples(index=False):
+            i = np.searchsorted(genes, np.asarray(r.genes, dtype=str))
+            s[i] += r.s
+            ss[i] += r.ss
+            p[i] += np.frombuffer(r.p).reshape(len(i), -1)
+        use, fit = profile_fits(int(pdf["n"].sum()), s, ss, p, np.stack(pdf["us"].to_numpy()).sum(0), gamma)
+        return fit.assign(**{c: pdf[c].iloc[0] for c in by}, **{gene: genes[use]})[[*by, gene, *names]]
+
+    part = blocked(v).groupBy(*by, "block").cogroup(blocked(basis.select(*by, "cell", "u", "gamma")).groupBy(*by, "block"))
+    floats = lambda *c: ", ".join(f"{x} array<double>" for x in c)
+    part = checkpoint(part.applyInPandas(add, f"{keys}, n int, genes array<string>, {floats('s', 'ss')}, p binary, {floats('us', 'gamma', *names)}"))
+    one = part.filter("n is null").select(*by, F.explode(F.arrays_zip(F.col("genes").alias(gene), *names)).alias("t")).select(*by, f"t.{gene}", *[f"t.{c}" for c in names])
+    more = part.filter("n is not null").groupBy(*by).applyInPandas(fold, f"{keys}, {gene} string, " + ", ".join(f"{c} double" for c in names))
+    return one.unionByName(more)
 
 
 def posteriors(fits: DataFrame, by: list[str], gene: str, rounds: int = 100, tolerance: float = 1e-4) -> DataFrame:

@@ -139,6 +139,15 @@ def test_iterated_basis_equals_dense_and_keeps_all_cells(spark):
             assert np.abs(u - v).max() < 1e-4
 
 
+def test_gene_fits_by_blocks_equal_those_of_the_whole(spark):
+    g = np.random.default_rng(8)
+    cells = spark.createDataFrame([("A", f"c{i:03d}", float(a), float(b)) for i, (a, b) in enumerate(g.uniform(size=(200, 2)))], "run string, cell string, x double, y double")
+    basis = bayes.spatial_basis(knn_plane(cells, ["run"], "cell", "x", "y", 15), ["run"], 20)
+    values = spark.createDataFrame([("A", f"c{i:03d}", f"g{j}", float(g.poisson(2) + 1)) for i in range(200) for j in range(6) if (i + j) % 3], "run string, cell string, gene string, x double")
+    whole, cut = ({r["gene"]: r["log_bf"] for r in bayes.gene_fits(values, basis, ["run"], "cell", "gene", "x", k).collect()} for k in (4096, 50))
+    assert len(whole) == 6 and whole.keys() == cut.keys() and all(abs(whole[x] - cut[x]) < 1e-6 for x in whole)
+
+
 def test_p_values(spark):
     df = spark.createDataFrame([("g", "a", 0.0), ("g", "b", 3.0), ("g", "c", None)], "k string, gene string, score double").withColumn("pval", two_sided_p("score"))
     r = {x["gene"]: x for x in adjust_bh(df.filter("pval is not null"), ["k"], "pval", "pval_adj", "gene").selectExpr("*", "1.0D as logfoldchange").collect()}
