@@ -48,12 +48,26 @@ def _boundaries(raw: bytes, ends: np.ndarray) -> np.ndarray:
     return level
 
 
+#: Marks that end something without white space behind them.
+MARKS = {"。": SENTENCE, "！": SENTENCE, "？": SENTENCE, "、": WORD, "，": WORD, ">": WORD, "&nbsp;": WORD}
+
+
+def _marks(raw: bytes, ends: np.ndarray) -> np.ndarray:
+    """SENTENCE or WORD where a token ends behind one of MARKS, 0 elsewhere; for use where no white space is in reach."""
+    b = np.concatenate((np.zeros(6, dtype=np.uint8), np.frombuffer(raw, dtype=np.uint8)))
+    level = np.zeros(len(ends), dtype=np.int8)
+    for mark, worth in MARKS.items():
+        m = mark.encode()
+        level[np.all([b[ends + 6 - len(m) + k] == x for k, x in enumerate(m)], axis=0)] = worth
+    return level
+
+
 class Cutter:
     """Cuts of one text's tokens.
 
     A rolling hash of the last WINDOW tokens marks landmarks. Of the positions between ``least`` new tokens and the room that the overlap
     leaves, the first landmark is taken (without one, that with the smallest hash) and moved to the best natural boundary within SNAP
-    tokens, the nearer of equals; without any there, to the best one in reach. A cut is preferred whose overlap begins at a word, too.
+    tokens, the nearer of equals; without any there, to the best one in reach, and without white space in reach likewise to MARKS. A cut is preferred whose overlap begins at a word, too.
     Landmarks depend on nearby tokens alone, so an edit moves the cuts around it and the later ones fall in step again.
     """
 
@@ -62,6 +76,7 @@ class Cutter:
         self.room, self.overlap, self.least = limit - overlap, overlap, least
         self.at = np.concatenate(([0], np.cumsum(lengths[tokens])))
         self.level = _boundaries(raw, self.at[1:])
+        self.mark = _marks(raw, self.at[1:])
         self.aligned = (np.frombuffer(raw + b" ", dtype=np.uint8)[self.at[1:]] & 0xC0) != 0x80
         value, h = gear[tokens], np.zeros(n, dtype=np.uint64)
         for k in range(min(WINDOW, n)):
@@ -81,14 +96,21 @@ class Cutter:
         low, high = start + self.least - 1, start + self.room  # the last token i of the piece: low <= i < high
         k = np.searchsorted(self.landmarks, low)
         at = int(self.landmarks[k]) if k < len(self.landmarks) and self.landmarks[k] < high else low + int(self.hash[low:high].argmin())
-        for a, z, worth in ((max(low, at - SNAP), min(high, at + SNAP + 1), SENTENCE), (low, high, WORD)):
-            score = self.score[a:z]
-            if (best := score.max()) >= worth:
-                near = a + np.flatnonzero(score == best)
-                return int(near[np.abs(near - at).argmin()]) + 1
+        for level in (self.score, self.mark):
+            for a, z, worth in ((max(low, at - SNAP), min(high, at + SNAP + 1), SENTENCE), (low, high, WORD)):
+                score = level[a:z]
+                if (best := score.max()) >= worth:
+                    near = a + np.flatnonzero(score == best)
+                    return int(near[np.abs(near - at).argmin()]) + 1
         near = low + np.flatnonzero(self.aligned[low:high])
         return (int(near[np.abs(near - at).argmin()]) if len(near) else at) + 1
 
+    def before(self, start: int, end: int) -> int:
+        """An earlier end of a piece that is too long: the last boundary or mark up to SNAP tokens before, else 8 tokens less."""
+        low = max(start + self.least, end - SNAP)
+        found = np.flatnonzero((self.level[low - 1 : end - 1] > 0) | (self.mark[low - 1 : end - 1] > 0)) if low < end else ()
+        return low + int(found[-1]) if len(found) else end - 8
+
 
 def pieces(text: str, tokenizer, lengths: np.ndarray, gear: np.ndarray, limit: int, overlap: int, least: int):
     """(start_token, n_tokens, overlap_tokens, text) of each piece, nothing for a text up to the limit."""
@@ -106,7 +128,7 @@ def pieces(text: str, tokenizer, lengths: np.ndarray, gear: np.ndarray, limit: i
         if begin and not cutter.level[begin - 1] and end - begin > limit - 16:
             # The piece starts inside a word: alone it may have a few more tokens.
             while end - start > 8 and len(tokenizer.encode_ordinary(piece)) > limit:
-                end -= 8
+                end = cutter.before(start, end)
                 piece = said(begin, end)
         yield begin, end - begin, start - begin, piece
         start = end

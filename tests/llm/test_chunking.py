@@ -37,6 +37,14 @@ def test_pieces_alone_stay_under_the_limit_and_end_naturally():
     assert sum(p[3][-1] in ".," or p[3][-1].isalnum() for p in got[:-1]) == len(got) - 1
 
 
+@pytest.mark.parametrize("words, mark", [("日本語 文章 東京 天気 私は 学校 行く 見る", "。"), ("中文 句子 北京 天气 我们 学校 今天 学习", "！"), ("alpha beta gamma delta", "&nbsp;")])
+def test_texts_without_white_space_are_cut_behind_marks(words, mark):
+    r = random.Random(8)
+    text = "".join("".join(r.choice(words.split()) for _ in range(r.randint(1, 5))) + mark for _ in range(600))
+    got = cut(text)
+    assert len(got) > 3 and all(p[3].endswith(mark) for p in got) and all(len(enc.encode_ordinary(p[3])) <= 256 for p in got)
+
+
 def test_an_edit_changes_only_pieces_nearby():
     text = prose(5, 20_000)
     a = {p[3] for p in cut(text)}
