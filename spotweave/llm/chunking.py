@@ -73,7 +73,7 @@ class Cutter:
 
     def __init__(self, tokens: np.ndarray, raw: bytes, lengths: np.ndarray, gear: np.ndarray, limit: int, overlap: int, least: int):
         n = len(tokens)
-        self.room, self.overlap, self.least = limit - overlap, overlap, least
+        self.limit, self.overlap, self.least = limit, overlap, least
         self.at = np.concatenate(([0], np.cumsum(lengths[tokens])))
         self.level = _boundaries(raw, self.at[1:])
         self.mark = _marks(raw, self.at[1:])
@@ -90,10 +90,10 @@ class Cutter:
 
     def after(self, start: int) -> int:
         """Where the piece whose new tokens begin at ``start`` ends."""
-        n = len(self.level)
-        if n - start <= self.room:
+        n, room = len(self.level), self.limit - min(start, self.overlap)
+        if n - start <= room:
             return n
-        low, high = start + self.least - 1, start + self.room  # the last token i of the piece: low <= i < high
+        low, high = start + self.least - 1, start + room  # the last token i of the piece: low <= i < high
         k = np.searchsorted(self.landmarks, low)
         at = int(self.landmarks[k]) if k < len(self.landmarks) and self.landmarks[k] < high else low + int(self.hash[low:high].argmin())
         for level in (self.score, self.mark):
@@ -106,14 +106,19 @@ class Cutter:
         return (int(near[np.abs(near - at).argmin()]) if len(near) else at) + 1
 
     def before(self, start: int, end: int) -> int:
-        """An earlier end of a piece that is too long: the last boundary or mark up to SNAP tokens before, else 8 tokens less."""
+        """An earlier end of a piece that is too long: the last boundary or mark up to SNAP tokens before, else the last landmark, else the last token that ends a character."""
         low = max(start + self.least, end - SNAP)
-        found = np.flatnonzero((self.level[low - 1 : end - 1] > 0) | (self.mark[low - 1 : end - 1] > 0)) if low < end else ()
-        return low + int(found[-1]) if len(found) else end - 8
+        found = low + np.flatnonzero((self.level[low - 1 : end - 1] > 0) | (self.mark[low - 1 : end - 1] > 0)) if low < end else ()
+        if not len(found):
+            marks = self.landmarks[np.searchsorted(self.landmarks, low - 1) : np.searchsorted(self.landmarks, end - 1)]
+            found = marks[self.aligned[marks]] + 1
+        if not len(found):
+            found = start + 1 + np.flatnonzero(self.aligned[start : end - 8])
+        return int(found[-1]) if len(found) else end - 8
 
 
 def pieces(text: str, tokenizer, lengths: np.ndarray, gear: np.ndarray, limit: int, overlap: int, least: int):
-    """(start_token, n_tokens, overlap_tokens, text) of each piece, nothing for a text up to the limit."""
+    """(start_token, n_tokens, overlap_tokens, overlap_chars, text) of each piece, nothing for a text up to the limit."""
     raw = text.encode("utf-8", "replace")
     if len(raw) <= limit:  # a token has at least one byte
         return
@@ -130,21 +135,21 @@ def pieces(text: str, tokenizer, lengths: np.ndarray, gear: np.ndarray, limit: i
             while end - start > 8 and len(tokenizer.encode_ordinary(piece)) > limit:
                 end = cutter.before(start, end)
                 piece = said(begin, end)
-        yield begin, end - begin, start - begin, piece
+        yield begin, end - begin, start - begin, len(said(begin, start)), piece
         start = end
 
 
 def split_texts(docs: DataFrame, id_: str, text: str, limit: int = 1024, overlap: int = 64, least: int = 320, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(id_, piece_no, start_token, n_tokens, overlap_tokens, text): the pieces of each text longer than ``limit`` tokens.
+    """(id_, piece_no, start_token, n_tokens, overlap_tokens, overlap_chars, text): the pieces of each text longer than ``limit`` tokens.
 
     Pieces count from 1 and have at most ``limit`` tokens; each but the first starts with the last ``overlap`` tokens of the one before.
-    Without these the pieces are the whole text. Texts up to the limit, empty ones and nulls have no row here. A text without any white
+    Without these (their first ``overlap_chars`` characters) the pieces are the whole text. Texts up to the limit, empty ones and nulls have no row here. A text without any white
     space is cut between tokens; where a character is spread over tokens and a piece starts inside it, that character is replaced (U+FFFD).
     Token counts are those of the piece's tokens within the text; a piece whose overlap starts inside a word may come to a few more or
     fewer tokens when it is tokenized alone, and is shortened if that would exceed the limit. Texts are processed whole, one at a time.
     """
     kind = docs.schema[id_].dataType.simpleString()
-    columns = ["id", "piece_no", "start_token", "n_tokens", "overlap_tokens", "text"]
+    columns = ["id", "piece_no", "start_token", "n_tokens", "overlap_tokens", "overlap_chars", "text"]
 
     def work(batches):
         tokenizer = encoding(vocabulary)
@@ -161,4 +166,4 @@ def split_texts(docs: DataFrame, id_: str, text: str, limit: int = 1024, overlap
             yield pd.DataFrame(out, columns=columns)
 
     rows = docs.select(F.col(id_).alias("id"), F.col(text).alias("text")).filter("text is not null")
-    return rows.mapInPandas(work, f"id {kind}, piece_no int, start_token long, n_tokens long, overlap_tokens long, text string").withColumnRenamed("id", id_)
+    return rows.mapInPandas(work, f"id {kind}, piece_no int, start_token long, n_tokens long, overlap_tokens long, overlap_chars int, text string").withColumnRenamed("id", id_)

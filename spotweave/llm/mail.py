@@ -16,10 +16,13 @@ COMMENT = re.compile(r"<!--.*?(?:-->|$)", re.S)
 #: Characters that a reader does not see.
 HIDDEN = re.compile("[​-‍﻿­]")
 KNOWN = r"(?:From|To|Cc|Bcc|Subject|Date|Message-ID|In-Reply-To|References|MIME-Version|Content-[A-Za-z-]+|Received|User-Agent|Reply-To|Sender|Return-Path|Precedence|Mailing-List|List-[A-Za-z-]+|X-[A-Za-z-]+)"
-HEADER = re.compile(rf"^{KNOWN}:", re.I | re.M)
+KNOWN_LINE = re.compile(rf"^{KNOWN}:", re.I | re.M)
+#: Header fields from the start of a text on, folded lines and the mark of a mailbox file included.
+BLOCK_OF_HEADERS = re.compile(r"\s*(?:From [^\r\n]*(?:\r\n?|\n))?(?:[!-9;-~]+:[^\r\n]*(?:\r\n?|\n|$)(?:[ \t][^\r\n]*(?:\r\n?|\n|$))*)*")
 FLAT = re.compile(rf" (?={KNOWN}: )")
 FLAT_BODY = re.compile(r"(\nContent-Transfer-Encoding: *[A-Za-z0-9-]+) ", re.I)
 WORD = re.compile(r"[^\W_]+")
+STRETCH = re.compile(r"\S+")
 
 
 def unmarked(text: str) -> str:
@@ -35,6 +38,30 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def word_spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) in ``text`` of each of its ``words``.
+
+    Text between white space is normalised on its own. Where the normal form of such a stretch is not that of its characters one by one (composed
+    letters), each of its words stands for the whole stretch.
+    """
+    if text.isascii():
+        return [m.span() for m in WORD.finditer(text.lower())]
+    out, low = [], lambda t: t.lower().replace("ς", "σ")
+    for m in STRETCH.finditer(text):
+        said, at = m[0], m.start()
+        if said.isascii():
+            out += [(at + w.start(), at + w.end()) for w in WORD.finditer(said.lower())]
+            continue
+        each = ["" if HIDDEN.match(c) else low(HIDDEN.sub("", unicodedata.normalize("NFKC", c))) for c in said]
+        whole = low(HIDDEN.sub("", unicodedata.normalize("NFKC", HIDDEN.sub("", said))))
+        if "".join(each) == whole:
+            owner = [k for k, c in enumerate(each) for _ in c]
+            out += [(at + owner[w.start()], at + owner[w.end() - 1] + 1) for w in WORD.finditer(whole)]
+        else:
+            out += [m.span()] * len(WORD.findall(whole))
+    return out
+
+
 def _charset(raw: bytes, said: str | None) -> str:
     for name in (said or "utf-8", "utf-8", "cp1252"):
         try:
@@ -77,22 +104,21 @@ def _leaf(part) -> str:
     except (ValueError, LookupError, AssertionError):
         return ""
     kind = part.get_content_type()
-    return unmarked(text) if kind in ("text/html", "application/xhtml+xml") or (kind.startswith("multipart/") and "<html" in text[:2000].lower()) else text
+    return unmarked(text) if kind in ("text/html", "application/xhtml+xml") or (kind.startswith("multipart/") and "<html" in text.lower()) else text
 
 
 def parts(text: str) -> list[str]:
     """Subject and text parts: bodies, attached texts and attached messages, each as read.
 
     Transfer and header encodings and charsets are undone; an unknown or wrong charset falls back to UTF-8, then Windows-1252.
-    A text without any known header is one plain body. Attachments that are no text are left out. A message that has lost its line
-    ends is read with line ends put back before headers and part marks, and once more as it stands.
+    A text is a message if the block of header fields at its start, however long, has a known one; any other text is one body. Attachments that
+    are no text are left out. A message that has lost its line ends is read with line ends put back before headers and part marks, and once more as it stands.
     """
-    if not HEADER.search(text[:4000]):
-        flat = FLAT.search(" " + text[:4000])
-        if not flat:
-            return [unmarked(text) if "<html" in text[:500].lower() else text]
+    one_line = "\n" not in text and "\r" not in text
+    if not (FLAT.search(" " + text) if one_line else KNOWN_LINE.search(BLOCK_OF_HEADERS.match(text)[0])):
+        return [unmarked(text) if "<html" in text.lower() else text]
     out = []
-    if "\n" not in text and "\r" not in text:
+    if one_line:
         out.append(unmarked(text) if "<" in text else text)
         text = _inflate(text)
     try:

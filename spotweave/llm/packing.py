@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spotweave.session import checkpoint
+
 
 class Bins:
     """At most ``limit`` open bins. A bitset has bit f set while some open bin has f units free."""
@@ -94,7 +95,8 @@ def pack(items: DataFrame, id_: str, size: str, capacity: int = 4096, limit: int
     partition may have any size. Null sizes are left out; a text without tokens takes a place in some container; repeated rows take space
     each; the same input always gives the same containers.
     """
-    t = items.select(F.col(id_).alias("id"), F.col(size).cast("long").alias("n")).filter("n is not null and n >= 0").persist(StorageLevel.MEMORY_AND_DISK)
+    t = items.select(F.col(id_).alias("id"), F.col(size).cast("long").alias("n")).filter("n is not null and n >= 0")
+    t = checkpoint(t)  # sizes cost a pass of the tokenizer; what follows reads them several times
     full = F.when(F.col("n") > capacity, F.floor(F.col("n") / capacity)).otherwise(F.lit(0)).cast("long")
     cut = t.withColumn("full", full)
     whole = cut.filter("full > 0").select("id", F.explode(F.sequence(F.lit(1), F.col("full"))).alias("piece_no"))
@@ -102,7 +104,7 @@ def pack(items: DataFrame, id_: str, size: str, capacity: int = 4096, limit: int
     rest = cut.select("id", (F.col("full") + 1).alias("piece_no"), (F.col("full") * capacity).alias("start_token"), (F.col("n") - F.col("full") * capacity).alias("size")).filter("size > 0 or start_token = 0")
     rest = rest.select(F.struct("id", "piece_no", "start_token").alias("key"), "size")
     streams = max(1, math.ceil(t.count() / per_stream))
-    first = _stream(rest, streams, capacity, limit).persist(StorageLevel.MEMORY_AND_DISK)
+    first = checkpoint(_stream(rest, streams, capacity, limit))
     placed = first.filter("not last").withColumn("part", F.col("stream"))
     open_ = first.filter("last").select("stream", "bin")
     fill = placed.join(open_, ["stream", "bin"]).groupBy("stream", "bin").agg(F.sum("size").alias("size"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spotweave.functions.keys import name_key
 from spotweave.llm.chunking import split_texts
 from spotweave.llm.clusters import describe_clusters, linked_sets, ward_clusters
-from spotweave.llm.leak import leaked_spans
+from spotweave.llm.leak import leaked_spans, without_leaks
 from spotweave.llm.packing import pack
 from spotweave.llm.tokens import count_tokens
 from spotweave.llm.topn import top_n
@@ -77,6 +77,16 @@ def p4_members(spark: SparkSession, d: str) -> DataFrame:
     return ward_clusters(table(spark, d, "umap_clusters_final"), "run_id", "cell_id", "umap1", "umap2")
 
 
+def p4_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Per run: cells that the Ward clusters hold, whether no cell is in two, and whether numbers run from 1 by falling size."""
+    t = p4_members(spark, d).groupBy("run_id", "cluster_no").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cell_id").alias("k"), F.min("distance").alias("low"))
+    up = F.transform(F.array_sort(F.collect_list(F.struct("cluster_no", "n"))), lambda s: s["cluster_no"])
+    return t.groupBy("run_id").agg(F.sum("n").alias("n_cells"), (F.sum("n") == F.sum("k")).alias("once"), (up == F.sequence(F.lit(1), F.count(F.lit(1)).cast("int"))).alias("numbered"), (F.min("low") >= 0).alias("measured"))
+
+
+P4_TOTALS = "select run_id, count(distinct cell_id) as n_cells, true as once, true as numbered, true as measured from umap_clusters_final where isfinite(umap1) and isfinite(umap2) and cell_id is not null and run_id is not null group by 1"
+
+
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     """The container of every text (or of every piece of a text that exceeds one)."""
     return pack(count_tokens(table(spark, d, "documents"), "doc_id", "text"), "doc_id", "n_tokens", CAPACITY)
@@ -88,6 +98,19 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return one.withColumn("unused", F.lit(CAPACITY) - F.col("n_tokens"))
 
 
+def p6_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Per text: whether its pieces are all of its tokens, whether it is cut only if it exceeds a container, and whether its containers hold no more than they can."""
+    tokens = count_tokens(table(spark, d, "documents"), "doc_id", "text")
+    placed = pack(tokens, "doc_id", "n_tokens", CAPACITY)
+    full = placed.groupBy("container_id").agg((F.sum("n_tokens") <= CAPACITY).alias("fits"))
+    own = placed.join(full, "container_id").groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("k"), F.min("fits").alias("fits"))
+    least = F.greatest(F.ceil(F.col("n_tokens") / CAPACITY), F.lit(1))
+    return tokens.join(own, "doc_id", "left").select("doc_id", F.coalesce(F.col("n") == F.col("n_tokens"), F.lit(False)).alias("whole"), F.coalesce(F.col("k") == least, F.lit(False)).alias("uncut"), F.coalesce("fits", F.lit(False)).alias("fits"))
+
+
+P6_AUDIT = "select doc_id, true as whole, true as uncut, true as fits from documents where text is not null"
+
+
 def _spans(spark: SparkSession, d: str) -> DataFrame:
     return leaked_spans(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "item_text")
 
@@ -111,12 +134,29 @@ def p7_decisions(spark: SparkSession, d: str) -> DataFrame:
     return one.withColumn("decision", F.when(F.col("leaked_words") >= 0.5 * F.col("part_words"), "drop part").otherwise("cut runs"))
 
 
+def p7_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Every part of every message as it is read, leaked runs cut out, parts that are half leaked emptied."""
+    return without_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "item_text")
+
+
 def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     """The pieces of every text longer than 1,024 tokens."""
     return split_texts(table(spark, d, "documents"), "doc_id", "text", PIECE, OVERLAP)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_stale_lists, p4_found, p4_clusters, p4_members, p6_containers, p6_fill, p7_found, p7_spans, p7_decisions, p8_pieces)}
+def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Every text put together again from its pieces (texts within the limit as they are): its length and digest."""
+    docs = table(spark, d, "documents").select("doc_id", "text").filter("text is not null")
+    new = F.expr("substring(text, overlap_chars + 1)")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", new.alias("t")))), lambda s: s["t"]), "")
+    split = p8_pieces(spark, d).groupBy("doc_id").agg(joined.alias("text"), (F.max("n_tokens") <= PIECE).alias("within"))
+    short = docs.join(split.select("doc_id"), "doc_id", "left_anti").withColumn("within", F.lit(True))
+    return split.unionByName(short).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"), "within")
+
+
+P8_ROUND_TRIP = "select doc_id, length(text) as n_chars, md5(text) as digest, true as within from documents where text is not null"
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_stale_lists, p4_found, p4_clusters, p4_members, p4_totals, p6_containers, p6_fill, p6_audit, p7_found, p7_spans, p7_decisions, p7_cleaned, p8_pieces, p8_round_trip)}
 P4_FOUND = """
 with recursive p0 as (select run_id, cell_id, max(struct_pack(x := umap1::double, y := umap2::double)) as p from umap_clusters_final
              where umap1 is not null and umap2 is not null and not isnan(umap1) and not isnan(umap2) group by all),
@@ -126,4 +166,4 @@ reach(run_id, a, b) as (select run_id, cell_id, cell_id from pts union select r.
 select run_id, b as cell_id, min(a) as head_cell_id from reach group by all having count(*) >= 5
 """
 
-SQL = {"p3_found": P3_FOUND, "p4_found": P4_FOUND, "p3_stale_lists": P3_STALE_LISTS}
+SQL = {"p3_found": P3_FOUND, "p4_found": P4_FOUND, "p3_stale_lists": P3_STALE_LISTS, "p4_totals": P4_TOTALS, "p6_audit": P6_AUDIT, "p8_round_trip": P8_ROUND_TRIP}

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from spotweave.llm import mail
-from spotweave.llm.leak import ItemAutomaton, leaked_spans
+from spotweave.llm.leak import ItemAutomaton, leaked_spans, without_leaks
 
 words = st.lists(st.sampled_from("abcd"), max_size=14)
 
@@ -62,6 +62,44 @@ def test_encodings_markup_subjects_and_attachments(spark):
     assert found(spark, texts) == {(k, 1) for k in (0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 13)} | {(11, 2)}
 
 
+def test_form_is_read_from_the_whole_header_block_and_body(spark):
+    head = "ARC-Seal: " + "a" * 5000 + "\nX-Long: " + "b\n c" * 2000 + "\n"
+    b64 = base64.encodebytes(ITEM.encode()).decode()
+    texts = [
+        f"{head}Subject: x\nContent-Transfer-Encoding: base64\n\n{b64}",
+        "no message " * 200 + "<html><p>" + ITEM.replace("old", "o<b>l</b>d") + "</p></html>",
+        f'Content-Type: multipart/mixed; boundary="zz"\n\n{"plain " * 900}<html>{ITEM.replace("old", "o<i>l</i>d")}</html>',
+        "Note: no header that is known\nmore\n" + ITEM,
+        "A body\n\nFrom: quoted\nSubject: below\n\n" + ITEM,
+    ]
+    assert found(spark, texts) == {(k, 1) for k in range(len(texts))}
+
+
+def test_spans_are_characters_of_the_part():
+    texts = ["a Ｂig ca­fé, 12", "x e\u0301t\u0301e y", "İstanbul ΟΔΟΣ ﬁn", "日本、語 テスト", "plain ASCII_text here", "", "  ", "\u200b a"]
+    for t in texts:
+        ws, at = mail.words(t), mail.word_spans(t)
+        assert len(ws) == len(at) and all(a < z for a, z in at)
+        for w, (a, z) in zip(ws, at):
+            assert w in "".join(mail.words(t[a:z])) or w in mail.words(t[a:z])
+    assert [texts[0][a:z] for a, z in mail.word_spans(texts[0])] == ["a", "Ｂig", "ca­fé", "12"]
+
+
+def test_leaks_are_cut_out_and_half_leaked_parts_emptied(spark):
+    rest = " ".join(f"word{i}" for i in range(60))
+    texts = [f"Subject: fine\n\n{rest} -- {ITEM.upper()}! {rest}", f"Subject: short whole item\n\n{ITEM} and so", f"clean {rest}", None, "Subject: x\n\n" + " ".join(ITEM.split()[:11])]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    i = spark.createDataFrame([(1, ITEM), (2, "short whole item")], "item_id long, item_text string")
+    results = [{(r["doc_id"], r["part_no"]): (r["decision"], r["text"], r["n_leaked"]) for r in without_leaks(d, "doc_id", "text", i, "item_id", "item_text", most_words=m).collect()} for m in (10**6, 5)]
+    got = results[0]
+    assert got == results[1]
+    assert got[0, 1] == ("cut", f"{rest} --  ! {rest}", 20) and got[0, 0] == ("keep", "fine", 0)
+    assert got[1, 0] == ("drop", "", 3) and got[1, 1] == ("drop", "", 20)
+    assert got[2, 0][0] == got[4, 1][0] == "keep" and not any(k == 3 for k, _ in got)
+    again = spark.createDataFrame([(10 * k + n, t) for (k, n), (_, t, _) in got.items()], "doc_id long, text string")
+    assert leaked_spans(again, "doc_id", "text", i, "item_id", "item_text").count() == 0
+
+
 def test_nothing_to_find(spark):
     assert found(spark, ["any"], ()) == set() and found(spark, [], ((1, ITEM),)) == set()
 
