@@ -62,16 +62,19 @@ def _joined(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = Non
 
 
 def _linked_leaves(t: pd.DataFrame, step: float, reach: int) -> tuple[pd.DataFrame, np.ndarray]:
-    """(leaves in order with bounds and sums, each leaf's smallest linked leaf) of one tile's features, sorted by leaf and head."""
+    """(leaves in order with bounds and sums, each leaf's smallest linked leaf of its tile) of whole tiles' features, sorted by tile, leaf and head."""
     cx, cy, x, y = (t[c].to_numpy() for c in ("cx", "cy", "x", "y"))
-    start = np.flatnonzero(np.concatenate(([True], (cx[1:] != cx[:-1]) | (cy[1:] != cy[:-1]))))
+    new = lambda *columns: np.concatenate(([True], np.any([c[1:] != c[:-1] for c in (t[k].to_numpy() for k in columns)], axis=0)))
+    tile = np.cumsum(new("grp", "tx", "ty"))
+    start = np.flatnonzero(new("grp", "tx", "ty", "cx", "cy"))
     first = np.append(start, len(cx))
     fold = lambda c, how: how.reduceat(t[c].to_numpy(), start)
-    leaf = pd.DataFrame({"cx": cx[start], "cy": cy[start], "own": t["own"].to_numpy()[start], "n": fold("n", np.add), "head": t["head"].to_numpy()[start], "whole": fold("whole", np.logical_and)})
+    leaf = t[["grp", "cx", "cy", "own", "head"]].iloc[start].assign(n=fold("n", np.add), whole=fold("whole", np.logical_and))
     box = np.stack([fold("x0", np.minimum), fold("x1", np.maximum), fold("y0", np.minimum), fold("y1", np.maximum)])
     leaf["x0"], leaf["x1"], leaf["y0"], leaf["y1"] = box
-    width = int(cy.max() - cy.min()) + 2 * reach + 1
-    key = (cx[start] - cx.min()) * width + cy[start] - cy.min()
+    width = TILE + 4 * reach
+    lx, ly = (c[start] - t[k].to_numpy()[start] * TILE + reach for c, k in ((cx, "tx"), (cy, "ty")))
+    key = (tile[start] * width + lx) * width + ly + reach
     label, s2 = np.arange(len(leaf)), step * step
     ahead = sorted(((dx, dy) for dx in range(reach + 1) for dy in range(-reach, reach + 1) if (dx, dy) > (0, 0)), key=lambda d: d[0] ** 2 + d[1] ** 2)
     for dx, dy in ahead:
@@ -155,15 +158,30 @@ def linked_sets(df: DataFrame, group: str, id_: str, x: str, y: str, step: float
     tiles = F.array_distinct(F.array(*[F.struct(tile("cx", dx).alias("tx"), tile("cy", dy).alias("ty")) for dx in (0, -reach, reach) for dy in (0, -reach, reach)]))
     rimmed = features.withColumn("t", F.explode(tiles)).select("grp", "t.tx", "t.ty", ((F.col("t.tx") == tile("cx")) & (F.col("t.ty") == tile("cy"))).alias("own"), "cx", "cy", "n", "head", "x", "y", "whole", "x0", "x1", "y0", "y1")
 
-    def agglomerate(pdf: pd.DataFrame) -> pd.DataFrame:
-        leaf, label = _linked_leaves(pdf.sort_values(["cx", "cy", "head"]), step, reach)
-        leaf["rx"], leaf["ry"] = leaf["cx"].to_numpy()[label], leaf["cy"].to_numpy()[label]
-        inside = set(label[leaf["own"].to_numpy()])
-        leaf["grp"] = pdf["grp"].iloc[0]
-        return leaf[[k in inside for k in label]][["grp", "cx", "cy", "own", "rx", "ry", "n", "head", "x0", "x1", "y0", "y1", "whole"]]
+    columns = ["grp", "cx", "cy", "own", "rx", "ry", "n", "head", "x0", "x1", "y0", "y1", "whole"]
 
-    bounds = "x0 double, x1 double, y0 double, y1 double"
-    leaves = checkpoint(rimmed.groupBy("grp", "tx", "ty").applyInPandas(agglomerate, f"grp {kinds['grp']}, cx long, cy long, own boolean, rx long, ry long, n long, head {kinds['id']}, {bounds}, whole boolean"))
+    def linked(t: pd.DataFrame) -> pd.DataFrame:
+        leaf, label = _linked_leaves(t, step, reach)
+        leaf["rx"], leaf["ry"] = leaf["cx"].to_numpy()[label], leaf["cy"].to_numpy()[label]
+        inside = np.zeros(len(leaf), dtype=bool)
+        inside[label[leaf["own"].to_numpy()]] = True
+        return leaf[inside[label]][columns]
+
+    def agglomerate(batches):
+        held = None
+        for b in batches:
+            held = b if held is None else pd.concat([held, b], ignore_index=True)
+            if len(held) < 50_000:
+                continue
+            last = (held[["tx", "ty"]] == held[["tx", "ty"]].iloc[-1]).all(axis=1) & (held["grp"] == held["grp"].iloc[-1])
+            if not last.all():  # the last tile may go on
+                yield linked(held[~last])
+                held = held[last]
+        if held is not None and len(held):
+            yield linked(held)
+
+    tiled = rimmed.repartition("grp", "tx", "ty").sortWithinPartitions("grp", "tx", "ty", "cx", "cy", "head")
+    leaves = checkpoint(tiled.mapInPandas(agglomerate, f"grp {kinds['grp']}, cx long, cy long, own boolean, rx long, ry long, n long, head {kinds['id']}, x0 double, x1 double, y0 double, y1 double, whole boolean"))
     part = F.struct("grp", F.col("rx").alias("cx"), F.col("ry").alias("cy"))
     own = leaves.filter("own").withColumn("part", part).select("grp", "cx", "cy", "part", "n", "head", "x0", "x1", "y0", "y1", "whole")
     ties = leaves.filter("not own").select("grp", "cx", "cy", part.alias("u")).join(own.select("grp", "cx", "cy", F.col("part").alias("v")), ["grp", "cx", "cy"]).select("u", "v").filter("u <> v")
@@ -217,11 +235,10 @@ def feature_tree(points: DataFrame, depth: int) -> DataFrame:
         if k:
             half = lambda c: F.floor(F.col(c) / 2).alias(c)
             level = level.groupBy("grp", "ox", "oy", half("cx"), half("cy")).agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "ss")])
-        level = checkpoint(level)
         one = level.withColumn("level", F.lit(k))
         out = one if out is None else out.unionByName(one)
     sse = F.when(F.col("n") == 1, 0.0).otherwise(F.greatest(F.col("ss") - (F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy")) / F.col("n"), F.lit(0.0)))
-    return out.withColumn("sse", sse)
+    return checkpoint(out.withColumn("sse", sse))
 
 
 def fitting_leaves(tree: DataFrame, most: int) -> DataFrame:
