@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from spotweave.session import checkpoint
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 1000) -> DataFrame:
     """(node, component): each node of an edge with the smallest node it is linked to.
 
     Large-star and small-star steps (Kiveris et al., SoCC 2014) halve distances to the smallest node, so chains of n nodes take
     about log n rounds; each is one grouping and one join of an edge list that never grows beyond the first. Lineage is cut by a
-    reliable checkpoint each round, and the loop ends when a round changes nothing. Loops and repeated edges are harmless, edges with a null
+    reliable checkpoint each round, and the loop ends when a round changes nothing; RuntimeError if that takes more than ``rounds``. Loops and repeated edges are harmless, edges with a null
     end are ignored, and a node without an edge has no row. Nodes need a type with an order.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u is not null and v is not null and u <> v")
@@ -30,4 +30,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"the components still change after {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

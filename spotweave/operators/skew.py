@@ -12,11 +12,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spotweave.session import checkpoint
+
 
 def range_split(df: DataFrame, keys: list[str], order: list[str], partitions: int | None = None) -> DataFrame:
     """Range partitions on (keys, order); heavy keys span several of them."""
@@ -89,18 +90,35 @@ def ordered_gaps(df: DataFrame, key: str, order: str, partitions: int | None = N
     )
 
 
-def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str, partitions: int | None = None) -> DataFrame:
-    """``row_number`` per key, without one task per key.
+def running_sum(df: DataFrame, keys: list[str], order: list[str], weight: str | None, name: str, partitions: int | None = None) -> DataFrame:
+    """df with ``name``: per key, the sum of ``weight`` (of 1 if None) over the rows up to this one in ``order``, without one task per key.
 
-    Rows are numbered inside each range partition and shifted by the rows that the same key has
-    in the partitions before, which are read off the partial counts. The split rows are kept
-    (``persist``) so that both passes see the same range bounds; a lost block is rebuilt from its
-    lineage with the same bounds. ``order`` has to be unique within a key for a reproducible result.
+    Rows are added up inside each range partition and shifted by what the same key has in the partitions before, which is read off one
+    partial sum per key and partition. The split rows are checkpointed, so that both passes see the same partitions even if an executor is lost.
+    ``order`` has to be unique within a key for a reproducible result. Null weights count as 0, null keys are a key.
     """
-    pid, count = "__part", "__count"
-    split = range_split(df, keys, order, partitions).withColumn(pid, F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    pid, part = "__part", "__sum"
+    value = F.lit(1).cast("long") if weight is None else F.coalesce(F.col(weight), F.lit(0).cast(df.schema[weight].dataType))
+    split = checkpoint(range_split(df, keys, order, partitions).withColumn(pid, F.spark_partition_id()))
     before = Window.partitionBy(*keys).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
-    shift = split.groupBy(pid, *keys).agg(F.count(F.lit(1)).alias(count)).withColumn("__shift", F.coalesce(F.sum(count).over(before), F.lit(0))).drop(count)
-    local = split.withColumn(name, F.row_number().over(Window.partitionBy(pid, *keys).orderBy(*order)))
-    same = [local[c].eqNullSafe(shift[c]) for c in [pid, *keys]]
-    return local.join(shift, same, "left").select(*[local[c] for c in df.columns], (local[name] + shift["__shift"]).cast("long").alias(name))
+    shift = split.groupBy(pid, *keys).agg(F.sum(value).alias(part)).withColumn("__shift", F.sum(part).over(before)).filter("__shift is not null").drop(part)
+    shift = shift.toDF(*[f"__k{i}" for i in range(len(keys) + 1)], "__shift")
+    local = split.withColumn("__local", F.sum(value).over(Window.partitionBy(pid, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate([pid, *keys])]
+    out = local.join(shift, same, "left")
+    return out.select(*[F.col(c) for c in df.columns], (F.col("__local") + F.coalesce("__shift", F.lit(0))).alias(name))
+
+
+def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str, partitions: int | None = None) -> DataFrame:
+    """``row_number`` per key as a long, by ``running_sum``."""
+    return running_sum(df, keys, order, None, name, partitions)
+
+
+def mean_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """(keys, value, n, name): each distinct value of a key, how many rows have it, and their rank in ascending order, ties averaged.
+
+    Rows are first counted by value in partial aggregates; the counts are added up by ``running_sum``, so a key with any number of rows or values is split.
+    Rows with a null value are left out.
+    """
+    n = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    return running_sum(n, keys, [value], "n", "__up").select(*keys, value, "n", (F.col("__up") - (F.col("n") - 1) / 2.0).alias(name))

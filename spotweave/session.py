@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,21 +22,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where
-    neither that setting nor the context has one (tests on a laptop) a temporary
-    folder is made.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local session may do without it (tests on a laptop): a
+    temporary folder is made for it. On a cluster such a folder would be another one on each machine, so its absence is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spotweave-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
-def planned_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan, from the file sizes it reads."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+def broadcast_if_small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """``df``, with the hint to broadcast it if it has at most ``most_rows`` rows; beyond that a join shuffles both sides. ``df`` should be a checkpoint."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
 @functools.lru_cache(maxsize=1)
