@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotweave.functions.stats import entropy, softmax, squared_distance
+from spotweave.operators.skew import exact_quantile, mean_ranks, number_rows, running_sum
+from spotweave.session import checkpoint
 
 
 def vector_means(points: DataFrame, groups: list[str], v: str) -> DataFrame:
@@ -99,27 +101,31 @@ def separability(points: DataFrame, by: list[str], id_: str, label: str, v: str)
     return s.join(near, [*by, label], "left").select(*by, label, "n", "mean_silhouette", F.col("m.b").alias("nearest_cluster"), F.col("m.distance").alias("centroid_dist"))
 
 
-def merge_indistinct(points: DataFrame, by: list[str], label: str, v: str, threshold: float, min_clusters: int = 2, rounds: int = 200) -> dict[str, DataFrame]:
-    """Labels merged while the closest pair's separation, distance / (radius + radius + 1e-9), is below ``threshold``.
+def merge_indistinct(points: DataFrame, by: list[str], label: str, v: str, threshold: float, min_clusters: int = 2) -> DataFrame:
+    """(by, label, merged): labels merged while the closest pair's separation, distance / (radius + radius + 1e-9), is below ``threshold``.
 
-    Each round every dataset merges its worst pair into the smaller label and radii are taken anew from the points. Returns (by, label, merged) pairs.
+    Each round every dataset merges its worst pair into the smaller label; centroids are merged from their sums, and only the points of a merged pair are
+    read for its radius. It ends when no dataset has a pair to merge, after at most as many rounds as a dataset has labels.
     """
-    from spotweave.session import checkpoint
-
-    names = checkpoint(points.select(*by, label).distinct().withColumn("merged", F.col(label)))
-    for _ in range(rounds):
-        p = points.join(names, [*by, label]).select(*by, "merged", v)
-        r = cluster_radii(p, by, "merged", v)
-        d = centre_distances(p, by, "merged", v).filter("a < b")
-        ra, rb = (r.select(*by, F.col("merged").alias(k), F.col("radius").alias(f"r{k}")) for k in ("a", "b"))
-        sep = F.col("distance") / (F.col("ra") + F.col("rb") + 1e-9)
-        k = r.groupBy(*by).agg(F.count(F.lit(1)).alias("k"))
-        worst = d.join(ra, [*by, "a"]).join(rb, [*by, "b"]).join(k, by).filter(F.col("k") > min_clusters).groupBy(*by).agg(F.min(F.struct(F.round(sep, 9).alias("sep"), "a", "b")).alias("m")).filter(F.col("m.sep") < threshold)
-        worst = checkpoint(worst.select(*by, F.col("m.a").alias("keep"), F.col("m.b").alias("gone")))
+    p = points.select(*by, F.col(label).alias("__l"), F.col(v).alias("__v"))
+    state = vector_means(p, [*by, "__l"], "__v").join(cluster_radii(p, by, "__l", "__v").select(*by, "__l", "radius"), [*by, "__l"])
+    state = checkpoint(state.withColumnRenamed("__l", "merged"))
+    names = checkpoint(state.select(*by, F.col("merged").alias("__l"), "merged"))
+    while True:
+        a, b = (state.select(*by, F.struct("merged", "n", "centre", "radius").alias(k)) for k in "ab")
+        k = state.groupBy(*by).agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > min_clusters).select(*by)
+        sep = F.sqrt(squared_distance(F.col("a.centre"), F.col("b.centre"))) / (F.col("a.radius") + F.col("b.radius") + 1e-9)
+        worst = a.join(k, by).join(b, by).filter("a.merged < b.merged").groupBy(*by).agg(F.min(F.struct(F.round(sep, 9).alias("sep"), "a", "b")).alias("m")).filter(F.col("m.sep") < threshold)
+        total = F.col("m.a.n") + F.col("m.b.n")
+        centre = F.zip_with("m.a.centre", "m.b.centre", lambda x, y: (x * F.col("m.a.n") + y * F.col("m.b.n")) / total)
+        worst = checkpoint(worst.select(*by, F.col("m.a.merged").alias("keep"), F.col("m.b.merged").alias("gone"), total.alias("n"), centre.alias("centre")))
         if worst.isEmpty():
-            break
-        names = checkpoint(names.join(worst, [*by], "left").withColumn("merged", F.when(F.col("merged") == F.col("gone"), F.col("keep")).otherwise(F.col("merged"))).select(*by, label, "merged"))
-    return names
+            return names.withColumnRenamed("__l", label)
+        names = checkpoint(names.join(worst.select(*by, "keep", "gone"), by, "left").withColumn("merged", F.when(F.col("merged") == F.col("gone"), F.col("keep")).otherwise(F.col("merged"))).select(*by, "__l", "merged"))
+        touched = names.join(worst, by).filter("merged = keep").select(*by, "__l", "keep", "n", "centre")
+        new = p.join(touched, [*by, "__l"]).groupBy(*by, F.col("keep").alias("merged")).agg(F.max("n").alias("n"), F.max("centre").alias("centre"), F.avg(F.sqrt(squared_distance(F.col("__v"), F.col("centre")))).alias("radius"))
+        ends = worst.select(*by, F.explode(F.array("keep", "gone")).alias("merged"))
+        state = checkpoint(state.join(ends, [*by, "merged"], "left_anti").select(*by, "merged", "n", "centre", "radius").unionByName(new))
 
 
 def rand_index(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -148,26 +154,58 @@ def small_to_noise(df: DataFrame, by: list[str], label: str, least: int = 25) ->
 
 
 def set_overlap(a: DataFrame, b: DataFrame, by: list[str], key: str) -> DataFrame:
-    """(by, n_a, n_b, jaccard) of two sets of keys for each group; both empty cannot occur here, one empty gives 0."""
+    """(by, n_a, n_b, delta, jaccard) of two sets of keys for each group, delta = n_b - n_a; a group that both sets lack has no row, one that only one has gives 0."""
     x = a.select(*by, key).distinct().withColumn("__a", F.lit(1)).join(b.select(*by, key).distinct().withColumn("__b", F.lit(1)), [*by, key], "full")
-    return x.groupBy(*by).agg(F.count("__a").alias("n_a"), F.count("__b").alias("n_b"), (F.sum(F.col("__a") * F.col("__b")) / F.count(F.lit(1))).alias("jaccard")).na.fill(0.0, ["jaccard"])
+    return x.groupBy(*by).agg(F.count("__a").alias("n_a"), F.count("__b").alias("n_b"), (F.count("__b") - F.count("__a")).alias("delta"), (F.sum(F.col("__a") * F.col("__b")) / F.count(F.lit(1))).alias("jaccard")).na.fill(0.0, ["jaccard"])
 
 
 def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
-    """(by, rho): rank correlation with average ties."""
-    w = Window.partitionBy(*by)
-    mean_rank = lambda c: F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, c)) - 1) / 2.0
-    r = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("__ra", mean_rank(a)).withColumn("__rb", mean_rank(b))
-    return r.groupBy(*by).agg(F.corr("__ra", "__rb").alias("rho"))
+    """(by, rho): rank correlation with average ties. Ranks come from counts of values over range partitions, so no task holds a group."""
+    r = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, F.col(a).alias("__a"), F.col(b).alias("__b"))
+    for c in ("__a", "__b"):
+        r = r.join(mean_ranks(r, by, c, f"__r{c}").drop("n"), [*by, c])
+    return r.groupBy(*by).agg(F.corr("__r__a", "__r__b").alias("rho"))
 
 
 def roc(df: DataFrame, by: list[str], score: str, truth: str, key: str) -> DataFrame:
-    """(by, auc): area under the curve of descending scores by trapezoids, without grouping ties (ties follow ``key``)."""
-    w = Window.partitionBy(*by).orderBy(F.desc(score), key)
-    up = F.sum(F.col(truth).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    d = df.withColumn("__tp", up).withColumn("__neg", (~F.col(truth)).cast("int"))
-    p, n = F.sum(F.col(truth).cast("int")), F.sum("__neg")
-    return d.groupBy(*by).agg((F.sum(F.col("__neg") * F.col("__tp")) / (p * n)).alias("auc"))
+    """(by, auc): area under the curve of descending scores by trapezoids, without grouping ties (ties follow ``key``). Running sums are split over range partitions."""
+    d = df.select(*by, (-F.col(score)).alias("__s"), F.col(key).alias("__key"), F.col(truth).cast("long").alias("__t"))
+    d = running_sum(d, by, ["__s", "__key"], "__t", "__tp")
+    p, n = F.sum("__t"), F.sum(1 - F.col("__t"))
+    return d.groupBy(*by).agg((F.sum((1 - F.col("__t")) * F.col("__tp")) / (p * n)).alias("auc"))
+
+
+def detection_quality(df: DataFrame, by: list[str], chosen: str, truth: str) -> DataFrame:
+    """(by, n_selected, n_true, precision, recall) of a boolean choice against a boolean truth; null where nothing is selected or true."""
+    hit = F.sum((F.col(chosen) & F.col(truth)).cast("long"))
+    n, t = F.sum(F.col(chosen).cast("long")), F.sum(F.col(truth).cast("long"))
+    return df.groupBy(*by).agg(n.alias("n_selected"), t.alias("n_true"), (hit / F.nullif(n, F.lit(0))).alias("precision"), (hit / F.nullif(t, F.lit(0))).alias("recall"))
+
+
+def root_mean_square(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    """(by, n, rmse) of two columns, over rows that have both."""
+    d = F.col(a) - F.col(b)
+    return df.filter(d.isNotNull() & ~F.isnan(d)).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(d * d)).alias("rmse"))
+
+
+def recode(df: DataFrame, label: str, mapping: DataFrame, source: str, target: str, keep: bool = False) -> DataFrame:
+    """df with the label replaced by its ``target`` in a small mapping table; a label that is not in it becomes null, or stays if ``keep``."""
+    m = mapping.groupBy(F.col(source).alias("__from")).agg(F.min(target).alias("__to"))
+    out = df.join(m, df[label] == m["__from"], "left")
+    return out.withColumn(label, F.coalesce("__to", label) if keep else F.col("__to")).select(*df.columns)
+
+
+def margins(points: DataFrame, by: list[str], id_: str, label: str, v: str, quantile: float = 0.35) -> DataFrame:
+    """(by, id_, label, own, second, margin, boundary): distance to the own centroid, the second smallest to any, their difference, and whether it is below the dataset's quantile.
+
+    In a dataset with one label there is no second.
+    """
+    c = vector_means(points, [*by, label], v).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("l"), "centre"))).alias("c"))
+    t = points.join(c, by).withColumn("__d", F.transform("c", lambda s: F.sqrt(squared_distance(F.col(v), s["centre"]))))
+    own = F.get("__d", (F.array_position(F.transform("c", lambda s: s["l"]), F.col(label)) - 1).cast("int"))
+    t = t.select(*by, id_, label, own.alias("own"), F.get(F.array_sort("__d"), F.lit(1)).alias("second")).withColumn("margin", F.col("second") - F.col("own"))
+    cut = exact_quantile(t, by, "margin", quantile, "__cut")
+    return t.join(cut, by, "left").withColumn("boundary", F.round("margin", 9) < F.round("__cut", 9)).drop("__cut")
 
 
 def spatial_posterior(points: DataFrame, edges: DataFrame, by: list[str], id_: str, label: str, v: str, beta: float | None = None) -> DataFrame:
@@ -196,8 +234,6 @@ def refine_labels(posterior: DataFrame, by: list[str], id_: str, least: float =
     At most ``most`` of a dataset's points change, the most confident first (ties: smaller id). If more than ``revert`` would change, the dataset keeps its labels.
     """
     flag = (F.round("confidence", 9) > least) & (F.round("gain", 9) > 0) & (F.col("candidate") != F.col("label"))
-    from spotweave.operators.skew import number_rows
-
     t = posterior.select(*by, F.col(id_).alias("__id"), "label", "candidate", "confidence", "gain")
     wish = t.filter(flag).select(*by, "__id", (-F.round("confidence", 9)).alias("__o"))
     room = t.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
@@ -215,15 +251,7 @@ def uncertain_regions(posterior: DataFrame, edges: DataFrame, by: list[str], id_
     Nodes have entropy at or above the quantile; edges join two of them. Regions are taken in order of density, skipping those that would take
     more than ``budget`` of the dataset's points; the greedy walk sees one row for each region.
     """
-    from spotweave.operators.graph import connected_components
-
-    cut = posterior.groupBy(*by).agg(F.percentile("entropy", F.lit(quantile)).alias("cut"), F.count(F.lit(1)).alias("total"))
-    hot = posterior.join(cut, by).filter(F.round("entropy", 9) >= F.round("cut", 9)).select(*by, id_, "entropy", "total")
-    node = lambda c: F.struct(*by, F.col(c).alias("id"))
-    keys = hot.select(*by, F.col(id_).alias("k"))
-    e = edges.join(keys.withColumnRenamed("k", "src"), [*by, "src"], "left_semi").join(keys.withColumnRenamed("k", "dst"), [*by, "dst"], "left_semi")
-    comp = connected_components(e.select(node("src").alias("src"), node("dst").alias("dst")))
-    t = hot.withColumn("node", node(id_)).join(comp, "node", "left").withColumn("region", F.coalesce(F.col("component.id"), F.col(id_)))
+    t = region_members(posterior, edges, by, id_, quantile)
     r = t.groupBy(*by, "region").agg(F.count(F.lit(1)).alias("size"), (F.avg("entropy") / F.count(F.lit(1))).alias("density"), F.max("total").alias("total"))
     kinds = {f.name: f.dataType.simpleString() for f in r.schema}
 
@@ -236,3 +264,34 @@ def uncertain_regions(posterior: DataFrame, edges: DataFrame, by: list[str], id_
         return pdf.assign(selected=out)[[*by, "region", "size", "density", "selected"]]
 
     return r.groupBy(*by).applyInPandas(choose, ", ".join([*[f"{c} {kinds[c]}" for c in by], f"region {kinds['region']}", "size long", "density double", "selected boolean"]))
+
+
+def choose_mode(points: DataFrame, posterior: DataFrame, regions: DataFrame, members: DataFrame, by: list[str], id_: str, label: str, v: str) -> DataFrame:
+    """(by, id_, label, refined, mode, in_roi): each dataset's labels refined everywhere or only in the selected regions, whichever scores higher.
+
+    The score is mean silhouette + mean confidence - mean entropy of the labels; the regions win only if they are strictly better. ``posterior`` is that of ``spatial_posterior``,
+    ``regions`` (by, region, selected) that of ``uncertain_regions`` and ``members`` (by, id_, region) says which point lies where.
+    """
+    inside = members.join(regions.filter("selected").select(*by, "region"), [*by, "region"], "left_semi").select(*by, id_, F.lit(True).alias("in_roi"))
+    t = refine_labels(posterior, by, id_).join(inside, [*by, id_], "left").withColumn("in_roi", F.coalesce("in_roi", F.lit(False)))
+    t = checkpoint(t.withColumn("roi", F.when(F.col("in_roi"), F.col("refined")).otherwise(F.col("label"))))
+    certain = posterior.groupBy(*by).agg((F.avg("confidence") - F.avg("entropy")).alias("base"))
+    score = certain
+    for mode, column in (("all", "refined"), ("some", "roi")):
+        s = silhouettes(points.select(*by, id_, v).join(t.select(*by, id_, F.col(column).alias(label)), [*by, id_]), by, id_, label, v)
+        score = score.join(s.groupBy(*by).agg(F.avg("silhouette").alias(mode)), by, "left")
+    score = score.select(*by, F.when(F.round(F.coalesce("some", F.lit(0.0)), 9) > F.round(F.coalesce("all", F.lit(0.0)), 9), "ROI").otherwise("GLOBAL").alias("mode"))
+    return t.join(score, by).select(*by, id_, "label", F.when(F.col("mode") == "ROI", F.col("roi")).otherwise(F.col("refined")).alias("refined"), "mode", "in_roi")
+
+
+def region_members(posterior: DataFrame, edges: DataFrame, by: list[str], id_: str, quantile: float = 0.75) -> DataFrame:
+    """(by, id_, entropy, total, region): the points of high entropy and the connected region each lies in, named by its smallest id."""
+    from spotweave.operators.graph import connected_components
+
+    cut = exact_quantile(posterior, by, "entropy", quantile, "cut").join(posterior.groupBy(*by).agg(F.count(F.lit(1)).alias("total")), by)
+    hot = checkpoint(posterior.join(cut, by).filter(F.round("entropy", 9) >= F.round("cut", 9)).select(*by, id_, "entropy", "total"))
+    node = lambda c: F.struct(*by, F.col(c).alias("id"))
+    keys = hot.select(*by, F.col(id_).alias("k"))
+    e = edges.join(keys.withColumnRenamed("k", "src"), [*by, "src"], "left_semi").join(keys.withColumnRenamed("k", "dst"), [*by, "dst"], "left_semi")
+    comp = connected_components(e.select(node("src").alias("src"), node("dst").alias("dst")))
+    return hot.withColumn("node", node(id_)).join(comp, "node", "left").withColumn("region", F.coalesce(F.col("component.id"), F.col(id_))).select(*by, id_, "entropy", "total", "region")

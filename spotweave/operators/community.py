@@ -10,33 +10,72 @@ from spotweave.operators.bayes import symmetric_edges
 from spotweave.session import checkpoint
 
 
-def communities(edges: DataFrame, by: list[str], resolution: float = 1.0, rounds: int = 12) -> DataFrame:
-    """(by, node, community): labels that raise modularity, by synchronous local moving; a community is named by its smallest member.
-
-    In each round a pseudo-random half of the nodes (by portable hash, so any partitioning gives the same) moves to the neighbouring community with the greatest gain
-    k_i,c - resolution * k_i * K_c / 2m, ties to the smaller name; moving halves at a time keeps neighbours from swapping for ever. A round
-    is two aggregations of the edge list and its result is checkpointed. Partitions differ from other optimisers'; compare modularity or agreement.
-    """
-    e = checkpoint(symmetric_edges(edges, by))
-    degree = checkpoint(e.groupBy(*by, F.col("src").alias("node")).agg(F.count(F.lit(1)).cast("double").alias("k")).withColumn("m2", F.sum("k").over(Window.partitionBy(*by))))
-    state = checkpoint(degree.select(*by, "node", "k", "m2", F.col("node").alias("c")))
+def _moved(e: DataFrame, by: list[str], resolution: str, rounds: int) -> DataFrame:
+    """(by, node, c): communities after local moving on weighted edges (by, resolution, src, dst, w), until a pair of rounds moves no node."""
+    degree = e.groupBy(*by, resolution, F.col("src").alias("node")).agg(F.sum("w").alias("k"))
+    state = degree.join(degree.groupBy(*by).agg(F.sum("k").alias("m2")), by)
+    state = checkpoint(state.withColumn("c", F.col("node")))
+    quiet = 0
     for i in range(rounds):
         size = state.groupBy(*by, "c").agg(F.sum("k").alias("k_all"))
-        near = e.join(state.select(*by, F.col("node").alias("dst"), "c"), [*by, "dst"]).groupBy(*by, F.col("src").alias("node"), "c").agg(F.count(F.lit(1)).alias("links"))
-        own = state.select(*by, "node", "k", "m2", F.col("c").alias("now"))
-        options = near.unionByName(own.select(*by, "node", F.col("now").alias("c"), F.lit(0).cast("long").alias("links"))).groupBy(*by, "node", "c").agg(F.sum("links").alias("links"))
+        near = e.filter("src <> dst").join(state.select(*by, F.col("node").alias("dst"), "c"), [*by, "dst"]).groupBy(*by, F.col("src").alias("node"), "c").agg(F.sum("w").alias("links"))
+        own = state.select(*by, resolution, "node", "k", "m2", F.col("c").alias("now"))
+        options = near.unionByName(own.select(*by, "node", F.col("now").alias("c"), F.lit(0.0).alias("links"))).groupBy(*by, "node", "c").agg(F.sum("links").alias("links"))
         t = options.join(own, [*by, "node"]).join(size, [*by, "c"])
         other = F.col("k_all") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(0.0)
-        gain = F.round(F.col("links") - resolution * F.col("k") * other / F.col("m2"), 9)
-        best = F.row_number().over(Window.partitionBy(*by, "node").orderBy(gain.desc(), (F.col("c") == F.col("now")).desc(), "c"))
-        t = t.withColumn("r", best).filter("r = 1")
+        gain = F.round(F.col("links") - F.col(resolution) * F.col("k") * other / F.col("m2"), 9)
+        best = F.min(F.struct((-gain).alias("g"), (F.col("c") != F.col("now")).alias("moves"), "c"))
         turn = portable_hash(F.lit(str(i)), F.col("node").cast("string")) % 2 == 0
-        new = checkpoint(t.select(*by, "node", "k", "m2", F.when(turn, F.col("c")).otherwise(F.col("now")).alias("c"), "now"))
-        changed = new.filter("c <> now").isEmpty() is False
-        state = new.drop("now")
-        if not changed and i % 2:
-            break
-    return state.select(*by, "node", F.min("node").over(Window.partitionBy(*by, "c")).alias("community"))
+        t = t.groupBy(*by, resolution, "node", "k", "m2", "now").agg(best.alias("b"))
+        new = checkpoint(t.select(*by, resolution, "node", "k", "m2", F.when(turn, F.col("b.c")).otherwise(F.col("now")).alias("c"), (turn & F.col("b.moves")).alias("moved"), F.col("b.moves").alias("wish")))
+        state = new.drop("moved", "wish")
+        # Nobody wishes to move, whoever's turn it is; or two nodes that only change places with each other keep wishing, then two silent rounds end it.
+        quiet = 0 if not new.filter("moved").isEmpty() else quiet + 1
+        if quiet == 2 or new.filter("wish").isEmpty():
+            return state.select(*by, "node", "c")
+    raise RuntimeError(f"nodes still move after {rounds} rounds")
+
+
+def communities(edges: DataFrame, by: list[str], resolution: float = 1.0, resolutions: list[float] | None = None, rounds: int = 200) -> DataFrame:
+    """(by, node, community): labels that raise modularity, by synchronous local moving and contraction; a community is named by its smallest member.
+
+    In each round a pseudo-random half of the nodes (by portable hash, so any partitioning gives the same) moves to the neighbouring community with the greatest gain
+    k_i,c - resolution * k_i * K_c / 2m, ties to the smaller name; moving halves at a time keeps neighbours from swapping for ever. When nothing moves, communities become the nodes of
+    a weighted graph and the same goes on there, level by level, until a level merges nothing; RuntimeError if a level takes more than ``rounds``. A round
+    is two aggregations of the edge list, and its result is checkpointed. With ``resolutions`` the labels of all of them are found in the same rounds, and come with a column ``resolution``.
+    Partitions differ from other optimisers'; compare modularity or agreement.
+    """
+    some = F.explode(F.array(*[F.lit(float(r)) for r in resolutions or [resolution]])).alias("resolution")
+    keys = [*by, "resolution"]
+    e = checkpoint(symmetric_edges(edges, by).select(*by, some, "src", "dst").withColumn("w", F.lit(1.0)).withColumn("gamma", F.col("resolution")))
+    names = None
+    while True:
+        moved = _moved(e, keys, "gamma", rounds)
+        head = moved.groupBy(*keys, "c").agg(F.min("node").alias("community"), F.count(F.lit(1)).alias("n"))
+        level = checkpoint(moved.join(head, [*keys, "c"]).select(*keys, "node", "community", "n"))
+        names = level.select(*keys, "node", "community") if names is None else names.withColumnRenamed("community", "via").join(level.select(*keys, F.col("node").alias("via"), "community"), [*keys, "via"]).select(*keys, "node", "community")
+        names = checkpoint(names)
+        if level.filter("n > 1").isEmpty():
+            return names if resolutions else names.drop("resolution")
+        a, b = (level.select(*keys, F.col("node").alias(k), F.col("community").alias(f"{k}_c")) for k in ("src", "dst"))
+        e = checkpoint(e.join(a, [*keys, "src"]).join(b, [*keys, "dst"]).groupBy(*keys, "gamma", F.col("src_c").alias("src"), F.col("dst_c").alias("dst")).agg(F.sum("w").alias("w")))
+
+
+def choose_resolution(labels: DataFrame, points: DataFrame, by: list[str], id_: str, v: str, min_clusters: int = 3) -> DataFrame:
+    """(by, resolution, n_communities, silhouette, chosen): how many communities each resolution gives, their mean silhouette, and the one to take.
+
+    Resolutions with one community are out. Among those with at least ``min_clusters`` the highest silhouette wins, ties to the smaller resolution; if there
+    are none, most communities win. ``labels`` is that of ``communities`` with several resolutions, ``points`` (by, id_, v) the space silhouettes are taken in.
+    """
+    from spotweave.operators.clusters import silhouettes
+
+    n = labels.groupBy(*by, "resolution").agg(F.countDistinct("community").alias("n_communities"))
+    placed = points.select(*by, F.col(id_).alias("node"), v).join(labels, [*by, "node"])
+    s = silhouettes(placed, [*by, "resolution"], "node", "community", v).groupBy(*by, "resolution").agg(F.avg("silhouette").alias("silhouette"))
+    t = n.join(s, [*by, "resolution"], "left")
+    usable = F.col("n_communities") >= 2
+    order = F.row_number().over(Window.partitionBy(*by).orderBy(usable.desc(), (F.col("n_communities") >= min_clusters).desc(), F.when(F.col("n_communities") >= min_clusters, F.round("silhouette", 9)).otherwise(F.col("n_communities").cast("double")).desc_nulls_last(), "resolution"))
+    return t.withColumn("chosen", (order == 1) & usable)
 
 
 def modularity(edges: DataFrame, labels: DataFrame, by: list[str]) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spotweave.functions.stats import log2_fold, neg_log10, specificity
+from spotweave.operators.skew import running_sum
+from spotweave.session import checkpoint
 
 
 def in_out(values: DataFrame, labels: DataFrame, by: list[str], cell: str, gene: str, x: str) -> DataFrame:
@@ -80,12 +82,14 @@ def rank_sum_scores(values: DataFrame, labels: DataFrame, by: list[str], cell: s
     together with their cells, as are cells without a label.
     """
     size = values.select(*by, cell).distinct().join(labels.select(*by, cell, "cluster"), [*by, cell])
-    size = size.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy(*by, "cluster"))).filter(F.col("k") >= min_cells)
+    large = size.groupBy(*by, "cluster").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= min_cells)
+    size = size.join(large.select(*by, "cluster"), [*by, "cluster"], "left_semi")
     v = values.select(*by, cell, gene, F.col(x).alias("x")).join(size.select(*by, cell, "cluster"), [*by, cell])
-    g = Window.partitionBy(*by, gene)
-    peers = F.count(F.lit(1)).over(Window.partitionBy(*by, gene, F.col("__x")))
-    v = v.withColumn("__x", F.round("x", 9)).withColumn("r", F.rank().over(g.orderBy("__x")) + (peers - 1) / 2.0)
-    t = v.groupBy(*by, "cluster", gene).agg(F.sum("r").alias("r"), F.count(F.lit(1)).alias("p"), F.sum("x").alias("s"))
+    # Equal values of a gene are counted by cluster; ranks of the distinct values come from running sums over range partitions, so no task holds a gene.
+    c = checkpoint(v.groupBy(*by, gene, F.round("x", 9).alias("__x"), "cluster").agg(F.count(F.lit(1)).alias("c"), F.sum("x").alias("s")))
+    ranks = running_sum(c.groupBy(*by, gene, "__x").agg(F.sum("c").alias("m")), [*by, gene], ["__x"], "m", "__up")
+    ranks = ranks.select(*by, gene, "__x", (F.col("__up") - (F.col("m") - 1) / 2.0).alias("r"))
+    t = c.join(ranks, [*by, gene, "__x"]).groupBy(*by, "cluster", gene).agg(F.sum(F.col("r") * F.col("c")).alias("r"), F.sum("c").alias("p"), F.sum("s").alias("s"))
     whole = t.groupBy(*by, gene).agg(F.sum("p").alias("p_all"), F.sum("s").alias("s_all"))
     sizes = size.groupBy(*by, "cluster").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.withColumn("total", F.sum("n").over(Window.partitionBy(*by)))
@@ -136,3 +140,7 @@ def select_bfdr(df: DataFrame, by: list[str], p: str, key: str, alpha: float = 0
     return d.withColumn("__last", last).filter(F.col("rank") <= F.col("__last")).withColumn("bfdr", F.col("__m")).drop("__m", "__last")
 
 
+def yields(groups: DataFrame, markers: DataFrame, by: list[str], name: str = "n_markers") -> DataFrame:
+    """groups with the number of their markers, 0 for a group without any."""
+    n = markers.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
+    return groups.join(n, by, "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))

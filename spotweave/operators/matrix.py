@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from spotweave.functions.stats import log_norm
 
-#: Lower-case marks of control probes.
-CONTROL_MARKS = ("negcontrol", "blank", "unassigned", "deprecated", "antisense", "control", "neg_", "codeword")
+#: Parts of the lower-case names of control features.
+CONTROL_MARKS = ("negcontrolprobe", "negcontrolcodeword", "negprobe", "blank", "antisense", "unassignedcodeword", "deprecatedcodeword", "intergenic")
 
 
 def count_matrix(molecules: DataFrame, by: list[str], cell: str, gene: str) -> DataFrame:
@@ -135,13 +135,16 @@ def zscores(values: DataFrame, by: list[str], cell: str, gene: str, x: str, limi
 
 
 def pearson_residuals(counts: DataFrame, by: list[str], cell: str, gene: str, theta: float = 100.0) -> DataFrame:
-    """Residuals of the non-zero entries under a negative binomial with mean row * column / total, clipped at sqrt(cells)."""
-    row, column = (F.sum("n").over(Window.partitionBy(*by, k)) for k in (cell, gene))
-    t = counts.groupBy(*by).agg(F.sum("n").alias("t"), F.countDistinct(cell).alias("m"))
+    """Residuals of the non-zero entries under a negative binomial with mean row * column / total, clipped at sqrt(cells).
+
+    Row and column sums are aggregates joined back: no task holds all cells of a gene.
+    """
+    row, column = (counts.groupBy(*by, k).agg(F.sum("n").alias(name)) for k, name in ((cell, "r"), (gene, "c")))
+    t = row.groupBy(*by).agg(F.sum("r").alias("t"), F.count(F.lit(1)).alias("m"))
     mu = F.col("r") * F.col("c") / F.col("t")
     value = (F.col("n") - mu) / F.sqrt(mu + mu * mu / theta)
     bound = F.sqrt(F.col("m").cast("double"))
-    out = counts.withColumn("r", row).withColumn("c", column).join(t, by)
+    out = counts.join(row, [*by, cell]).join(column, [*by, gene]).join(t, by)
     return out.select(*by, cell, gene, F.greatest(F.least(value, bound), -bound).alias("residual"))
 
 
@@ -169,6 +172,56 @@ def wide_matrix(counts: DataFrame, by: list[str], cell: str, gene: str, genes: l
     return counts.filter(F.col(gene).isin(genes)).groupBy(*by, cell).pivot(gene, genes).sum("n").na.fill(0, genes)
 
 
+def dense_rows(counts: DataFrame, by: list[str], cell: str, gene: str, panel: DataFrame, order: str, name: str) -> DataFrame:
+    """(by, cell, n_outside, line): every cell's counts of all the panel's genes in the panel's order, joined by commas, and how many counts lie outside it.
+
+    This is the line of the dense cell-by-gene file. ``panel`` is a fixed, small table; it travels as one row. Cells without any gene of the panel have zeros.
+    """
+    genes = panel.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("g")).agg(F.min(order).alias("o")).groupBy(F.lit(0).alias("__k")).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "g"))), lambda s: s["g"]).alias("__genes"))
+    rows = counts.groupBy(*by, cell).agg(F.map_from_entries(F.collect_list(F.struct(gene, "n"))).alias("__n"), F.sum("n").alias("__all")).withColumn("__k", F.lit(0)).join(F.broadcast(genes), "__k", "left")
+    values = F.transform(F.coalesce("__genes", F.array().cast("array<string>")), lambda g: F.coalesce(F.col("__n")[g], F.lit(0).cast("long")))
+    rows = rows.withColumn("__values", values)
+    inside = F.aggregate("__values", F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select(*by, cell, (F.col("__all") - inside).alias("n_outside"), F.array_join(F.transform("__values", lambda v: v.cast("string")), ",").alias("line"))
+
+
+def quality_filter(molecules: DataFrame, quality: str, gene: str, cell: str, least: float = 20.0, noise: str | None = None) -> DataFrame:
+    """Molecules of at least the quality ``least`` that are no control and lie in a cell; of a table with a ``noise`` column, those it marks false.
+
+    A null or NaN quality, a null gene, a null cell or a null mark is left out.
+    """
+    ok = (F.col(quality) >= least) & ~F.isnan(quality) & ~is_control(F.col(gene)) & F.col(cell).isNotNull()
+    if noise is not None and noise in molecules.columns:
+        ok = ok & ~F.col(noise)
+    return molecules.filter(ok)
+
+
+def molecule_centroids(molecules: DataFrame, by: list[str], cell: str, coordinates: list[str]) -> DataFrame:
+    """(by, cell, n, mean of each coordinate): nulls and NaNs of a coordinate do not count."""
+    mean = [F.avg(F.when(~F.isnan(c), F.col(c))).alias(c) for c in coordinates]
+    return molecules.filter(F.col(cell).isNotNull()).groupBy(*by, cell).agg(F.count(F.lit(1)).alias("n"), *mean)
+
+
+def histogram(values: DataFrame, by: list[str], value: str, bins: int = 50) -> DataFrame:
+    """(by, bin, low, n): counts in ``bins`` equal bins between each group's extremes, the last one closed; a group of one value has one bin. Empty bins have no row."""
+    ok = values.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    ends = ok.groupBy(*by).agg(F.min(value).cast("double").alias("__lo"), F.max(value).cast("double").alias("__hi"))
+    width = (F.col("__hi") - F.col("__lo")) / bins
+    place = F.when(width > 0, F.least(F.floor(F.round((F.col(value) - F.col("__lo")) / width, 9)), F.lit(bins - 1))).otherwise(0).cast("int")
+    return ok.join(ends, by).groupBy(*by, place.alias("bin"), (F.col("__lo") + place * width).alias("low")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def five_numbers(values: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, n, least, q1, median, mean, q3, most) of each group's values; nulls and NaNs are left out. Quantiles are exact and split over tasks."""
+    from spotweave.operators.skew import exact_quantile
+
+    ok = values.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    out = ok.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.avg(value).alias("mean"), F.max(value).alias("most"))
+    for q, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3")):
+        out = out.join(exact_quantile(ok, by, value, q, name), by)
+    return out.select(*by, "n", "least", "q1", "median", "mean", "q3", "most")
+
+
 def triplets(counts: DataFrame, cell: str, gene: str) -> DataFrame:
     """(row, col, value) of the genes x cells coordinate matrix, 1-based positions in sorted order.
 

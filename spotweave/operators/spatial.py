@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotweave.functions.stats import portable_hash
+from spotweave.operators.skew import exact_quantile, number_rows
+from spotweave.session import checkpoint
 
 
 def neighbour_labels(edges: DataFrame, labels: DataFrame, by: list[str], cell: str, label: str) -> DataFrame:
@@ -29,7 +30,7 @@ def denoise_labels(edges: DataFrame, labels: DataFrame, by: list[str], cell: str
     ``passes`` synchronous rounds; a round that changes nothing makes the next one a repetition.
     """
     state = labels.select(*by, cell, F.col(label).alias("label"), F.col(confidence).alias("c"))
-    cut = state.groupBy(*by).agg(F.percentile("c", F.lit(0.5)).alias("cut"))
+    cut = exact_quantile(state, by, "c", 0.5, "cut")
     state = state.join(cut, by)
     for _ in range(passes):
         m = majority_label(edges, state, by, cell, "label").select(*by, F.col("src").alias(cell), F.col("label").alias("__to"), F.col("share").alias("__share"))
@@ -47,7 +48,7 @@ def label_diversity(edges: DataFrame, labels: DataFrame, by: list[str], cell: st
 
 def hotspots(values: DataFrame, by: list[str], value: str, quantile: float = 0.95) -> DataFrame:
     """Rows at or above their dataset's quantile."""
-    cut = values.groupBy(*by).agg(F.percentile(value, F.lit(quantile)).alias("__cut"))
+    cut = exact_quantile(values, by, value, quantile, "__cut")
     return values.join(cut, by).filter(F.round(value, 9) >= F.round("__cut", 9)).drop("__cut")
 
 
@@ -59,7 +60,8 @@ def morans_i(values: DataFrame, edges: DataFrame, cells: DataFrame, by: list[str
     cells of a dataset; cells without any edge count with weight zero.
     """
     degree = edges.groupBy(*by, "src").agg(F.count(F.lit(1)).alias("k"))
-    w = edges.join(degree, [*by, "src"]).select(*by, "src", "dst", (1.0 / F.col("k")).alias("w")).persist(StorageLevel.MEMORY_AND_DISK)
+    w = edges.join(degree, [*by, "src"]).select(*by, "src", "dst", (1.0 / F.col("k")).alias("w"))
+    w = checkpoint(w)
     n = cells.select(*by, cell).distinct().groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("n"))
     back = w.select(*by, F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("w").alias("wb"))
     both = F.coalesce("w", F.lit(0.0)) + F.coalesce("wb", F.lit(0.0))
@@ -106,9 +108,50 @@ def bootstrap_medians(pairs: DataFrame, by: list[str], key: str, methods: list[s
     The i-th draw of a replicate is the row whose position is a portable hash modulo the number of rows, so a draw is an equi-join on
     (by, position) that any engine repeats. Rows are numbered by ``key``; draws are made where the rows are counted and joined once.
     """
-    w = Window.partitionBy(*by)
-    rows = pairs.withColumn("pos", F.row_number().over(w.orderBy(key)) - 1)
+    rows = number_rows(pairs, by, [key], "pos").withColumn("pos", F.col("pos") - 1)
     size = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     draw = size.select(*by, "n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i"))
-    draw = draw.withColumn("pos", F.pmod(portable_hash(F.lit(str(seed)), F.col("replicate").cast("string"), F.col("i").cast("string")), F.col("n")).cast("int"))
+    draw = draw.withColumn("pos", F.pmod(portable_hash(F.lit(str(seed)), F.col("replicate").cast("string"), F.col("i").cast("string")), F.col("n")))
     return draw.join(rows, [*by, "pos"]).groupBy(*by, "replicate").agg(*[F.percentile(m, F.lit(0.5)).alias(m) for m in methods])
+
+
+def bootstrap_verdicts(pairs: DataFrame, by: list[str], key: str, methods: list[str], replicates: int = 1000, seed: int = 1, confidence: float = 0.95) -> tuple[DataFrame, DataFrame]:
+    """(per method, per pair of methods) from the paired bootstrap of medians.
+
+    Per method: (by, method, observed, ci_low, ci_high, place), place 1 the largest. Per pair: (by, method_a, method_b, diff, ci_low, ci_high, p, p_adj, verdict):
+    p is twice the smaller share of replicates on either side of 0, between 1 / replicates and 1; p_adj is Benjamini-Hochberg among a dataset's pairs; the verdict
+    names the larger method where the interval leaves out 0.
+    """
+    from itertools import combinations
+
+    from spotweave.operators.markers import adjust_bh
+
+    a = (1 - confidence) / 2
+    boot = checkpoint(bootstrap_medians(pairs, by, key, methods, replicates, seed))
+    quantile = lambda c, p: F.percentile(c, F.lit(p))
+    seen = pairs.groupBy(*by).agg(*[quantile(m, 0.5).alias(f"seen_{m}") for m in methods])
+    two = list(combinations(methods, 2))
+    both = boot.groupBy(*by).agg(
+        *[quantile(m, p).alias(f"{n}_{m}") for m in methods for n, p in (("low", a), ("high", 1 - a))],
+        *[quantile(F.col(x) - F.col(y), p).alias(f"{n}_{x}_{y}") for x, y in two for n, p in (("low", a), ("high", 1 - a))],
+        *[F.least(F.avg((F.col(x) - F.col(y) <= 0).cast("double")), F.avg((F.col(x) - F.col(y) >= 0).cast("double"))).alias(f"side_{x}_{y}") for x, y in two],
+    ).join(seen, by)
+    one = both.select(*by, F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(f"seen_{m}").alias("observed"), F.col(f"low_{m}").alias("ci_low"), F.col(f"high_{m}").alias("ci_high")) for m in methods])).alias("t")).select(*by, "t.*")
+    one = one.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.round("observed", 9)), "method")).cast("long"))
+    rows = [F.struct(F.lit(x).alias("method_a"), F.lit(y).alias("method_b"), (F.col(f"seen_{x}") - F.col(f"seen_{y}")).alias("diff"), F.col(f"low_{x}_{y}").alias("ci_low"), F.col(f"high_{x}_{y}").alias("ci_high"), F.least(F.greatest(2 * F.col(f"side_{x}_{y}"), F.lit(1 / replicates)), F.lit(1.0)).alias("p")) for x, y in two]
+    pair = both.select(*by, F.explode(F.array(*rows)).alias("t")).select(*by, "t.*").withColumn("__k", F.concat_ws("/", "method_a", "method_b"))
+    pair = adjust_bh(pair, by, "p", "p_adj", "__k").drop("__k")
+    apart = (F.round("ci_low", 12) > 0) | (F.round("ci_high", 12) < 0)
+    text = F.when(apart & (F.col("diff") > 0), F.concat_ws(" > ", "method_a", "method_b")).when(apart & (F.col("diff") < 0), F.concat_ws(" > ", "method_b", "method_a")).otherwise("tie (CI spans 0)")
+    return one, pair.withColumn("verdict", text)
+
+
+def permuted_cells(cells: DataFrame, by: list[str], cell: str, coordinates: list[str], seed: int = 1) -> DataFrame:
+    """cells whose ``coordinates`` have changed places within their dataset, by a portable hash: the null model of a spatial statistic.
+
+    The i-th cell by name takes the coordinates of the i-th cell by hash; both are numbered over range partitions.
+    """
+    named = number_rows(cells.drop(*coordinates), by, [cell], "__i")
+    hashed = cells.select(*by, *coordinates, portable_hash(F.lit(str(seed)), F.col(cell).cast("string")).alias("__h"), F.col(cell).alias("__c"))
+    moved = number_rows(hashed, by, ["__h", "__c"], "__i").select(*by, "__i", *coordinates)
+    return named.join(moved, [*by, "__i"]).drop("__i")

@@ -7,6 +7,7 @@ import importlib.util
 import os
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -20,19 +21,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint.
+    """Cut lineage by a table written to the shared checkpoint folder, and read back.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local session may do without it (tests on a laptop): a
-    temporary folder is made for it. On a cluster such a folder would be another one on each machine, so its absence is an error.
+    temporary folder is made for it. On a cluster such a folder would be another one on each machine, so its absence is an error. A written table survives lost executors, and unlike
+    ``DataFrame.checkpoint`` it is read with its true size: there Catalyst's estimate, a product over all joins, is carried from
+    round to round of an iteration until planning takes longer than the work.
     """
     spark = df.sparkSession
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    held = context._jsc.sc().getCheckpointDir()
+    if held.isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         if not folder and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spotweave-checkpoint-"))
-    return df.checkpoint(eager=True)
+        held = context._jsc.sc().getCheckpointDir()
+    path = f"{held.get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
