@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,3 +34,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
     else:
         raise RuntimeError(f"the components still change after {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inside a task: the smallest node that each of n nodes is linked to by links (a, b)."""
+    label = np.arange(n)
+    while (open_ := label[a] != label[b]).any():
+        low = np.minimum(label[a], label[b])[open_]
+        np.minimum.at(label, label[a][open_], low)
+        np.minimum.at(label, label[b][open_], low)
+        while (label[label] != label).any():
+            label = label[label]
+    return label

@@ -13,7 +13,6 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,14 +41,15 @@ def close_pairs(points: DataFrame, partition: str, id_: str, x: str, y: str, own
 
     Each disc is covered by cells of twice its radius. Cells holding more than ``crowded`` points are
     split into cells of radius/4 on both sides of the join; there most of the disc is interior, and its
-    points match without a distance test. Each unordered pair of cells is visited once: cover cells
+    points match without a distance test. In a split cell the points of its most frequent owner are compared with those of other owners only, so what is compared and
+    dropped is never more than what comes out. Each unordered pair of cells is visited once: cover cells
     behind the point's own cell are left to the other point. Rows with a null id, owner or partition, or
     a coordinate that is null, NaN or infinite have no pair. Repeated ids would repeat pairs: reduce first.
     """
     big, small = 2.0 * radius, radius / 4.0
     p = points.select(F.col(partition).alias("part"), F.col(id_).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(owner).alias("own"))
     p = p.filter(F.col("part").isNotNull() & F.col("id").isNotNull() & F.col("own").isNotNull() & (F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))
-    p = p.withColumn("gx", F.floor(F.col("x") / big)).withColumn("gy", F.floor(F.col("y") / big)).persist(StorageLevel.MEMORY_AND_DISK)
+    p = p.withColumn("gx", F.floor(F.col("x") / big)).withColumn("gy", F.floor(F.col("y") / big))
     hot = p.groupBy("part", "gx", "gy").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowded).select("part", "gx", "gy", F.lit(True).alias("hot"))
 
     cover = _cells(F.col("x"), F.col("y"), big, radius, forward=True)
@@ -64,15 +64,18 @@ def close_pairs(points: DataFrame, partition: str, id_: str, x: str, y: str, own
         own = [F.when(turned, F.col(x)).otherwise(F.col(y)) for x, y in (("own2", "own"), ("own", "own2"))]
         return both.select(F.col("part").alias(partition), F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), own[0].alias("owner_a"), own[1].alias("owner_b"))
 
-    if hot.isEmpty():
-        return matched(left, p, ["part", "gx", "gy"])
     on = ["part", "gx", "gy"]
     left, right = left.join(hot, on, "left"), p.join(hot, on, "left")
     calm = matched(left.filter("hot is null"), right.filter("hot is null"), on)
     fine_cells = F.filter(_cells(F.col("x"), F.col("y"), small, radius), lambda c: (F.floor(c["cx"] * small / big) == F.col("gx")) & (F.floor(c["cy"] * small / big) == F.col("gy")))
     fine = left.filter("hot").select(*on, "id", "x", "y", "own", "ox", "oy", F.explode(fine_cells).alias("c")).select(*on, "id", "x", "y", "own", "ox", "oy", F.col("c.cx").alias("fx"), F.col("c.cy").alias("fy"), F.col("c.inside").alias("inside"))
     within = right.filter("hot").select(*on, "id", "x", "y", "own", F.floor(F.col("x") / small).alias("fx"), F.floor(F.col("y") / small).alias("fy"))
-    return calm.unionByName(matched(fine, within, [*on, "fx", "fy"]))
+    cell = [*on, "fx", "fy"]
+    most = within.groupBy(*cell, "own").agg(F.count(F.lit(1)).alias("n")).groupBy(*cell).agg(F.max(F.struct("n", "own")).alias("m")).select(*cell, F.col("m.own").alias("frequent"))
+    # Side 1 of a cell holds its most frequent owner, side 0 the rest; points of that owner look at side 0 alone.
+    within = within.join(most, cell).withColumn("side", (F.col("own") == F.col("frequent")).cast("int")).drop("frequent")
+    fine = fine.join(most, cell).withColumn("side", F.explode(F.when(F.col("own") == F.col("frequent"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))).drop("frequent")
+    return calm.unionByName(matched(fine, within, [*cell, "side"]))
 
 
 def cover_polygons(regions: DataFrame, partition: str, id_: str, vertices: str, side: float, depth: int = 2) -> DataFrame:

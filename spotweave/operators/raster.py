@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spotweave.operators.graph import connected_components
+from spotweave.operators.graph import connected_components, joined
+from spotweave.operators.skew import exact_quantile, number_rows
+from spotweave.session import checkpoint
+
+#: What a border pixel adds to the perimeter, by the sum of its border neighbours' weights (1 itself, 2 beside, 10 across).
+BORDER_CODES = {(5, 7, 15, 17, 25, 27): 1.0, (21, 33): 2.0**0.5, (13, 23): (1 + 2.0**0.5) / 2}
 
 
 def region_properties(pixels: DataFrame, by: list[str], label: str) -> DataFrame:
@@ -77,8 +81,7 @@ def footprint_jaccard(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
 
 def relabel_dense(pixels: DataFrame, by: list[str], label: str) -> DataFrame:
     """Labels replaced by 1.. in ascending order within their dataset; the numbering sees distinct labels only."""
-    names = pixels.select(*by, label).distinct()
-    names = names.withColumn("label_no", F.row_number().over(Window.partitionBy(*by).orderBy(label)).cast("long"))
+    names = number_rows(pixels.select(*by, label).distinct(), by, [label], "label_no")
     return pixels.join(names, [*by, label]).select(*by, "y", "x", "label_no")
 
 
@@ -160,52 +163,117 @@ def merge_tile_labels(masks: DataFrame, by: list[str], label: str) -> DataFrame:
     return names.select(*by, label, F.coalesce(F.col("component.l"), F.col(label)).alias("merged"))
 
 
-def repair_geometry(pixels: DataFrame, by: list[str], label: str, min_area: int = 20, max_area: int = 20_000, fill: int = 32) -> DataFrame:
-    """Each label's largest 4-connected part, holes under ``fill`` pixels filled, labels outside the area bounds dropped, renumbered 1.. by label.
+def label_parts(pixels: DataFrame, by: list[str], label: str) -> DataFrame:
+    """(by, label, y, x0, x1, part): the horizontal runs of each label's pixels and the 4-connected part each belongs to, named by the (y, x) it begins at.
 
-    A label is one object of bounded size (objects above 4 * ``max_area`` pixels are dropped before they are gathered), repaired in its bounding box.
+    Runs, not pixels, are the nodes; runs of neighbouring rows are linked by an equi-join on (label, row) where they overlap.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in pixels.schema}
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by, label))
-    sane = pixels.select(*by, "y", "x", label).withColumn("__n", n).filter(F.col("__n").between(1, 4 * max_area)).drop("__n")
-
-    def parts(mask: np.ndarray) -> list[list[tuple[int, int]]]:
-        seen, out = np.zeros_like(mask), []
-        for y, x in zip(*np.nonzero(mask)):
-            if seen[y, x]:
-                continue
-            seen[y, x], part, todo = True, [], [(y, x)]
-            while todo:
-                a, b = todo.pop()
-                part.append((a, b))
-                for c, d in ((a - 1, b), (a + 1, b), (a, b - 1), (a, b + 1)):
-                    if 0 <= c < mask.shape[0] and 0 <= d < mask.shape[1] and mask[c, d] and not seen[c, d]:
-                        seen[c, d] = True
-                        todo.append((c, d))
-            out.append(part)
+    w = Window.partitionBy(*by, label, "y").orderBy("x")
+    p = pixels.select(*by, label, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).distinct()
+    runs = p.withColumn("g", F.col("x") - F.row_number().over(w)).groupBy(*by, label, "y", "g").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("g")
+    runs = checkpoint(runs)
+    above = runs.select(*by, label, (F.col("y") + 1).alias("y"), F.col("x0").alias("a0"), F.col("x1").alias("a1"))
+    node = lambda y, x: F.struct(*by, F.col(label).alias("l"), y.alias("y"), x.alias("x"))
+    pair = runs.join(above, [*by, label, "y"]).filter("x0 <= a1 and a0 <= x1")
+    comp = connected_components(pair.select(node(F.col("y"), F.col("x0")).alias("src"), node(F.col("y") - 1, F.col("a0")).alias("dst")))
+    out = runs.withColumn("node", node(F.col("y"), F.col("x0"))).join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    return out.select(*by, label, "y", "x0", "x1", F.struct("c.y", "c.x").alias("part"))
+
+
+def _hull_pixels(rows: np.ndarray) -> int:
+    """Pixels whose centre lies in the convex hull of the edge midpoints of an object's pixels, given its rows (y, first x, last x)."""
+    y, a, b = rows.T.astype(float)
+    pts = np.unique(np.concatenate([np.stack(c, 1) for c in ((y, a - 0.5), (y, b + 0.5), (y - 0.5, a), (y + 0.5, a), (y - 0.5, b), (y + 0.5, b))]), axis=0)
+
+    def chain(points) -> list:
+        out = []
+        for p in points:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(p)
         return out
 
-    def mended(spots: np.ndarray) -> list[dict]:
-        origin = spots.min(0)
-        mask = np.zeros(spots.max(0) - origin + 1, dtype=bool)
-        mask[tuple((spots - origin).T)] = True
-        keep = np.array(max(parts(mask), key=lambda p: (len(p), [-p[0][0], -p[0][1]])))
-        corner = keep.min(0) - 1
-        mask = np.zeros(keep.max(0) - corner + 2, dtype=bool)  # only the part that stays, with a rim of background
-        mask[tuple((keep - corner).T)] = True
-        for hole in parts(~mask):
-            if len(hole) < fill and (0, 0) not in hole:
-                mask[tuple(np.array(hole).T)] = True
-        out = np.argwhere(mask) + origin + corner
-        return [{"y": int(y), "x": int(x)} for y, x in out] if min_area <= len(out) <= max_area else []
+    at = np.arange(int(y.min()), int(y.max()) + 1)
+    low, high = chain(pts), chain(pts[::-1])[::-1]
+    ends = [np.interp(at, [p[0] for p in c], [p[1] for p in c]) for c in (low, high)]
+    left, right = np.minimum(*ends), np.maximum(*ends)
+    return int((np.floor(right + 1e-9) - np.ceil(left - 1e-9) + 1).sum())
+
+
+def shape_statistics(pixels: DataFrame, by: list[str], label: str) -> DataFrame:
+    """(by, label, area, perimeter, solidity): the length of a region's border and the share of its convex hull that it fills.
+
+    Border pixels add 1, sqrt(2) or their mean after the pattern of border pixels round them. For the hull only each row's first and last pixel travel.
+    """
+    edge = boundary_pixels(pixels, by, label)
+    around = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit({0: 1, 1: 2, 2: 10}[abs(dy) + abs(dx)]).alias("w")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])).alias("s")
+    code = edge.select(*by, label, "y", "x", around).groupBy(*by, label, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x")).agg(F.sum("s.w").alias("code"), F.max((F.col("s.w") == 1).cast("int")).alias("own")).filter("own = 1")
+    length = F.lit(0.0)
+    for codes, worth in BORDER_CODES.items():
+        length = F.when(F.col("code").isin(*codes), F.lit(worth)).otherwise(length)
+    border = code.groupBy(*by, label).agg(F.sum(length).alias("perimeter"))
+    kinds = {f.name: f.dataType.simpleString() for f in pixels.schema}
+    row = pixels.groupBy(*by, label, F.col("y").cast("long").alias("y")).agg(F.min("x").cast("long").alias("a"), F.max("x").cast("long").alias("b"), F.count(F.lit(1)).alias("n"))
+    rows = row.groupBy(*by, label).agg(F.sum("n").alias("area"), F.collect_list(F.array("y", "a", "b")).alias("rows"))
+
+    def fill(batches):
+        for b in batches:
+            yield b[[*by, label, "area"]].assign(hull=[_hull_pixels(np.stack(r)) for r in b["rows"]])
+
+    filled = rows.mapInPandas(fill, ", ".join([*[f"{c} {kinds[c]}" for c in [*by, label]], "area long", "hull long"]))
+    return filled.join(border, [*by, label]).select(*by, label, "area", "perimeter", (F.col("area") / F.col("hull")).alias("solidity"))
+
+
+def repair_geometry(pixels: DataFrame, by: list[str], label: str, min_area: int = 20, max_area: int = 20_000, fill: int = 32, min_solidity: float = 0.0) -> DataFrame:
+    """Each label's largest 4-connected part, holes under ``fill`` pixels filled, labels outside the area bounds or under ``min_solidity`` dropped, renumbered 1.. by label.
+
+    Parts and their areas are found in Spark, whatever a label's size; of equal parts the one that begins first stays. Filling only adds pixels, so a largest part above ``max_area``
+    is out by the rule, and only parts within it are gathered, one object at a time.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in pixels.schema}
+    parts = label_parts(pixels, by, label)
+    area = parts.groupBy(*by, label, "part").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n"))
+    best = area.groupBy(*by, label).agg(F.min(F.struct((-F.col("n")).alias("n"), "part")).alias("m")).filter(-F.col("m.n") <= max_area).select(*by, label, F.col("m.part").alias("part"))
+    objects = parts.join(best, [*by, label, "part"]).groupBy(*by, label).agg(F.collect_list(F.array("y", "x0", "x1")).alias("runs"))
+
+    def mended(runs) -> list[dict]:
+        r = np.stack(runs)
+        corner = np.array([r[:, 0].min() - 1, r[:, 1].min() - 1])
+        mask = np.zeros((r[:, 0].max() - corner[0] + 2, r[:, 2].max() - corner[1] + 2), dtype=bool)  # with a rim of background
+        for y, a, b in r:
+            mask[y - corner[0], a - corner[1] : b - corner[1] + 1] = True
+        at = np.arange(mask.size).reshape(mask.shape)
+        right, down = ~mask[:, 1:] & ~mask[:, :-1], ~mask[1:] & ~mask[:-1]
+        ground = joined(mask.size, np.concatenate((at[:, 1:][right], at[1:][down])), np.concatenate((at[:, :-1][right], at[:-1][down])))
+        small = np.bincount(ground, minlength=mask.size) < fill
+        small[0] = False  # what the rim is part of
+        mask |= (~mask) & small[ground].reshape(mask.shape)
+        out = np.argwhere(mask) + corner
+        if not min_area <= len(out) <= max_area:
+            return []
+        if min_solidity > 0:
+            rows = np.array([(y, out[out[:, 0] == y, 1].min(), out[out[:, 0] == y, 1].max()) for y in np.unique(out[:, 0])])
+            if len(out) / _hull_pixels(rows) < min_solidity:
+                return []
+        return [{"y": int(y), "x": int(x)} for y, x in out]
 
     def mend(batches):
         for b in batches:
-            yield b[[*by, label]].assign(spots=[mended(np.array([(s["y"], s["x"]) for s in spots])) for spots in b["spots"]])
+            yield b[[*by, label]].assign(spots=[mended(runs) for runs in b["runs"]])
 
     schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], f"{label} {kinds[label]}", "spots array<struct<y long, x long>>"])
     # Labels are few bytes each but take a while: a stated number of partitions is not coalesced by size.
     tasks = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    objects = sane.groupBy(*by, label).agg(F.array_sort(F.collect_list(F.struct("y", "x"))).alias("spots"))
     out = objects.repartition(tasks, *by, label).mapInPandas(mend, schema).select(*by, label, F.explode("spots").alias("s"))
     return relabel_dense(out.select(*by, "s.y", "s.x", label), by, label)
+
+
+def overlap_record(masks: DataFrame, seeds: DataFrame, repaired: DataFrame, by: list[str], label: str) -> DataFrame:
+    """(by, overlap_fraction_input, n_seeds, n_cells_out, n_dropped, median_area, iqr_area, median_solidity) of a dataset's overlapping masks and its repaired cells."""
+    shape = checkpoint(shape_statistics(repaired, by, "label_no"))
+    out = overlap_fraction(masks, by, label).select(*by, F.col("overlap").alias("overlap_fraction_input"))
+    out = out.join(seeds.groupBy(*by).agg(F.countDistinct(label).alias("n_seeds")), by)
+    out = out.join(shape.groupBy(*by).agg(F.count(F.lit(1)).alias("n_cells_out")), by, "left").withColumn("n_cells_out", F.coalesce("n_cells_out", F.lit(0).cast("long")))
+    for column, q, name in (("area", 0.25, "__q1"), ("area", 0.5, "median_area"), ("area", 0.75, "__q3"), ("solidity", 0.5, "median_solidity")):
+        out = out.join(exact_quantile(shape, by, column, q, name), by, "left")
+    return out.select(*by, "overlap_fraction_input", "n_seeds", "n_cells_out", (F.col("n_seeds") - F.col("n_cells_out")).alias("n_dropped"), "median_area", (F.col("__q3") - F.col("__q1")).alias("iqr_area"), "median_solidity")

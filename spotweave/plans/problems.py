@@ -10,7 +10,7 @@ from spotweave.operators import drift
 from spotweave.operators.latest import latest_rows
 from spotweave.operators.nearby import close_pairs, points_in_regions
 from spotweave.operators.skew import heavy_keys, ordered_gaps, split_aggregate
-from spotweave.session import table
+from spotweave.session import checkpoint, table
 
 HEAVY_SHARE = 0.02
 CLOSE_UM = 0.75
@@ -27,33 +27,55 @@ def _feeds(spark: SparkSession, d: str):
     return lines, files, names, loaded, records
 
 
+def _scripts(spark: SparkSession, d: str):
+    lines, files, names, loaded, records = _feeds(spark, d)
+    return drift.edit_scripts(drift.file_schemas(lines, files, names, loaded, records)), records
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Every change of a field between neighbouring files of a feed."""
-    lines, files, names, loaded, records = _feeds(spark, d)
-    changes = drift.schema_changes(drift.file_schemas(lines, files, names, loaded, records))
-    return changes.select("file_id", "field_name", "change_kind").distinct()
+    return drift.schema_changes(_scripts(spark, d)[0]).select("file_id", "field_name", "change_kind").distinct()
 
 
 def p1_change_report(spark: SparkSession, d: str) -> DataFrame:
     """The same changes with the names and types before and after."""
+    return drift.schema_changes(_scripts(spark, d)[0])
+
+
+TRANSCRIPT_FIELDS = {"transcript_id": "long", "x_location": "double", "y_location": "double", "z_location": "double", "feature_name": "string", "qv": "double", "cell_id": "string"}
+MARKER_FIELDS = {"cluster": "string", "names": "string"} | dict.fromkeys(("scores", "logfoldchanges", "pvals", "pvals_adj", "pct_nz_group", "pct_nz_reference"), "double")
+SHARES = ["pct_nz_group", "pct_nz_reference"]
+
+
+def _transcripts(spark: SparkSession, d: str) -> DataFrame:
+    scripts, records = _scripts(spark, d)
+    return drift.consistent_table(records, scripts, "transcripts", TRANSCRIPT_FIELDS)
+
+
+def _markers(spark: SparkSession, d: str) -> DataFrame:
     lines, files, names, loaded, records = _feeds(spark, d)
-    return drift.schema_changes(drift.file_schemas(lines, files, names, loaded, records))
+    scripts = checkpoint(drift.edit_scripts(drift.file_schemas(lines, files, names, loaded, records)))
+    rows, key = loaded[MARKERS]
+    mine = files.join(scripts.filter(F.col("table_name") == MARKERS).select("file_id").distinct(), "file_id", "left_semi").groupBy("file_id").agg(F.min("run_id").alias("run_id"))
+    keys = checkpoint(drift.record_keys(drift.field_values(records), mine, names, MARKERS, key))
+    state = drift.loaded_values(rows, key, SHARES, checkpoint(keys.select("record").distinct()))
+    return drift.consistent_table(records, scripts, MARKERS, MARKER_FIELDS, drift.share_units(records, scripts, keys, state, SHARES))
 
 
 def p1_transcripts(spark: SparkSession, d: str) -> DataFrame:
     """All delivered molecule records as one table, whatever their files call and write the fields."""
-    lines, files, names, loaded, records = _feeds(spark, d)
-    schemas = drift.file_schemas(lines, files, names, loaded, records)
-    fields = {"transcript_id": "long", "x_location": "double", "y_location": "double", "z_location": "double", "feature_name": "string", "qv": "double", "cell_id": "string"}
-    return drift.consistent_table(records, schemas, "transcripts", fields)
+    return _transcripts(spark, d).drop("unreadable")
 
 
 def p1_markers(spark: SparkSession, d: str) -> DataFrame:
     """All delivered marker records as one table."""
-    lines, files, names, loaded, records = _feeds(spark, d)
-    schemas = drift.file_schemas(lines, files, names, loaded, records)
-    fields = {"cluster": "string", "names": "string"} | dict.fromkeys(("scores", "logfoldchanges", "pvals", "pvals_adj", "pct_nz_group", "pct_nz_reference"), "double")
-    return drift.consistent_table(records, schemas, MARKERS, fields, ["pct_nz_group", "pct_nz_reference"])
+    return _markers(spark, d).drop("unreadable")
+
+
+def p1_unreadable(spark: SparkSession, d: str) -> DataFrame:
+    """Every delivered value that could not be read as its field's type."""
+    both = _transcripts(spark, d).select("file_id", "line_no", "unreadable").unionByName(_markers(spark, d).select("file_id", "line_no", "unreadable"))
+    return both.select("file_id", "line_no", F.explode("unreadable").alias("field_name", "value"))
 
 
 # Problem 2 -----------------------------------------------------------------------------------------
@@ -188,5 +210,5 @@ b as (select distinct run_id, cell_id, x_min_px * um as x0, x_max_px * um as x1,
 select distinct transcript_id, cell_id from m join b on m.run_id = b.run_id and x between x0 and x1 and y between y0 and y1
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_change_report, p1_transcripts, p1_markers, p2_found, p2_key_profile, p2_load_gaps, p5_found, p5_neighbour_counts, p5_molecules_in_boxes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_change_report, p1_transcripts, p1_markers, p1_unreadable, p2_found, p2_key_profile, p2_load_gaps, p5_found, p5_neighbour_counts, p5_molecules_in_boxes)}
 SQL = {"p2_found": P2_FOUND, "p2_key_profile": P2_KEY_PROFILE, "p2_load_gaps": P2_LOAD_GAPS, "p5_found": P5_FOUND, "p5_neighbour_counts": P5_NEIGHBOUR_COUNTS, "p5_molecules_in_boxes": P5_MOLECULES_IN_BOXES}

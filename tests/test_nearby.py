@@ -1,4 +1,5 @@
 import random
+import time
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -30,6 +31,15 @@ def test_close_pairs_equals_brute_force_sparse_and_crowded(spark, seed, shape):
         assert len(got) == len(set(got)) and set(got) == brute(data, 0.75)
 
 
+def test_a_crowd_of_one_owner_makes_no_candidates(spark):
+    r = random.Random(7)
+    data = [("A", i, r.random() / 8, r.random() / 8, "own" if i % 4000 else f"other{i}") for i in range(8000)]
+    df = spark.createDataFrame(data, "run string, id long, x double, y double, own string")
+    began = time.perf_counter()
+    assert {tuple(x) for x in close_pairs(df, "run", "id", "x", "y", "own", 0.75).select("a", "b").collect()} == brute([d for d in data if d[4] != "own"], 0.75) | {(min(a, b), max(a, b)) for a in (0, 4000) for b in range(8000) if b % 4000}
+    assert time.perf_counter() - began < 60
+
+
 def test_close_pairs_bad_rows_and_clashing_columns(spark):
     nan, inf = float("nan"), float("inf")
     data = [("A", 1, 0.0, 0.0, "p", 9), ("A", 2, 0.75, 0.0, "q", 9), ("A", 3, nan, 0.0, "r", 9), ("A", 4, inf, 0.0, "r", 9), ("A", 5, None, 0.0, "r", 9), ("A", 6, 0.0, 0.0, None, 9), (None, 7, 0.0, 0.0, "r", 9), ("A", 8, -0.5, -0.5, "s", 9)]
