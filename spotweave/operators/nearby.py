@@ -13,9 +13,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spotweave.session import broadcast_if_small, checkpoint
+
 
 def _cells(x, y, side: float, radius: float, forward: bool = False):
     """Cells of side ``side`` within ``radius`` of (x, y): array of (cx, cy, inside); ``forward``: none behind the point's own."""
@@ -49,33 +51,38 @@ def close_pairs(points: DataFrame, partition: str, id_: str, x: str, y: str, own
     big, small = 2.0 * radius, radius / 4.0
     p = points.select(F.col(partition).alias("part"), F.col(id_).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(owner).alias("own"))
     p = p.filter(F.col("part").isNotNull() & F.col("id").isNotNull() & F.col("own").isNotNull() & (F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))
-    p = p.withColumn("gx", F.floor(F.col("x") / big)).withColumn("gy", F.floor(F.col("y") / big))
-    hot = p.groupBy("part", "gx", "gy").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowded).select("part", "gx", "gy", F.lit(True).alias("hot"))
+    p = checkpoint(p)
+    on = ["part", "gx", "gy"]
+    count = F.count(F.lit(1)).over(Window.partitionBy(*on))
+    right = p.withColumn("gx", F.floor(F.col("x") / big)).withColumn("gy", F.floor(F.col("y") / big)).select(*on, "id", "x", "y", "own").withColumn("n", count)
 
-    cover = _cells(F.col("x"), F.col("y"), big, radius, forward=True)
-    left = p.select("part", "id", "x", "y", "own", F.col("gx").alias("ox"), F.col("gy").alias("oy"), F.explode(cover).alias("c")).select("part", "id", "x", "y", "own", "ox", "oy", F.col("c.cx").alias("gx"), F.col("c.cy").alias("gy"), F.col("c.inside").alias("inside"))
+    cover = F.transform(_cells(F.col("x"), F.col("y"), big, radius, forward=True), lambda c: F.struct(c["cx"], c["cy"]))
+    left = p.select("part", "id", "x", "y", "own", F.explode(cover).alias("c")).select("part", "c.cx", "c.cy", "id", "x", "y", "own").toDF(*on, "id", "x", "y", "own")
 
-    def matched(l: DataFrame, r: DataFrame, on: list[str]) -> DataFrame:
+    def matched(l: DataFrame, r: DataFrame, on: list[str], inside: Column) -> DataFrame:
         r = r.select(*on, F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("own").alias("own2"))
         far = (F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2"))
-        own_cell = (F.col("ox") == F.col("gx")) & (F.col("oy") == F.col("gy"))
-        both = l.join(r, on).filter((F.col("own") != F.col("own2")) & (~own_cell | (F.col("id") < F.col("id2"))) & (F.col("inside") | (far <= radius * radius)))
+        own_cell = (F.floor(F.col("x") / big) == F.col("gx")) & (F.floor(F.col("y") / big) == F.col("gy"))
+        both = l.join(r, on).filter((F.col("own") != F.col("own2")) & (~own_cell | (F.col("id") < F.col("id2"))) & (inside | (far <= radius * radius)))
         turned = F.col("id") > F.col("id2")
         own = [F.when(turned, F.col(x)).otherwise(F.col(y)) for x, y in (("own2", "own"), ("own", "own2"))]
         return both.select(F.col("part").alias(partition), F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), own[0].alias("owner_a"), own[1].alias("owner_b"))
 
-    on = ["part", "gx", "gy"]
-    left, right = left.join(hot, on, "left"), p.join(hot, on, "left")
-    calm = matched(left.filter("hot is null"), right.filter("hot is null"), on)
+    # No cell of twice the radius lies within a disc, so all of these are boundary cells.
+    calm = matched(left, right.filter(F.col("n") <= crowded), on, F.lit(False))
+    crowd = right.filter(F.col("n") > crowded)
+    hot = checkpoint(crowd.select(*on).distinct())
+    if hot.isEmpty():
+        return calm
     fine_cells = F.filter(_cells(F.col("x"), F.col("y"), small, radius), lambda c: (F.floor(c["cx"] * small / big) == F.col("gx")) & (F.floor(c["cy"] * small / big) == F.col("gy")))
-    fine = left.filter("hot").select(*on, "id", "x", "y", "own", "ox", "oy", F.explode(fine_cells).alias("c")).select(*on, "id", "x", "y", "own", "ox", "oy", F.col("c.cx").alias("fx"), F.col("c.cy").alias("fy"), F.col("c.inside").alias("inside"))
-    within = right.filter("hot").select(*on, "id", "x", "y", "own", F.floor(F.col("x") / small).alias("fx"), F.floor(F.col("y") / small).alias("fy"))
+    fine = left.join(broadcast_if_small(hot), on, "left_semi").select(*on, "id", "x", "y", "own", F.explode(fine_cells).alias("c")).select(*on, "id", "x", "y", "own", F.col("c.cx").alias("fx"), F.col("c.cy").alias("fy"), F.col("c.inside").alias("inside"))
+    within = crowd.select(*on, "id", "x", "y", "own", F.floor(F.col("x") / small).alias("fx"), F.floor(F.col("y") / small).alias("fy"))
     cell = [*on, "fx", "fy"]
     most = within.groupBy(*cell, "own").agg(F.count(F.lit(1)).alias("n")).groupBy(*cell).agg(F.max(F.struct("n", "own")).alias("m")).select(*cell, F.col("m.own").alias("frequent"))
     # Side 1 of a cell holds its most frequent owner, side 0 the rest; points of that owner look at side 0 alone.
     within = within.join(most, cell).withColumn("side", (F.col("own") == F.col("frequent")).cast("int")).drop("frequent")
     fine = fine.join(most, cell).withColumn("side", F.explode(F.when(F.col("own") == F.col("frequent"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))).drop("frequent")
-    return calm.unionByName(matched(fine, within, [*cell, "side"]))
+    return calm.unionByName(matched(fine, within, [*cell, "side"], F.col("inside")))
 
 
 def cover_polygons(regions: DataFrame, partition: str, id_: str, vertices: str, side: float, depth: int = 2) -> DataFrame:

@@ -10,7 +10,7 @@ from spotweave.operators import drift
 from spotweave.operators.latest import latest_rows
 from spotweave.operators.nearby import close_pairs, points_in_regions
 from spotweave.operators.skew import heavy_keys, ordered_gaps, split_aggregate
-from spotweave.session import checkpoint, table
+from spotweave.session import broadcast_if_small, checkpoint, table
 
 HEAVY_SHARE = 0.02
 CLOSE_UM = 0.75
@@ -142,7 +142,7 @@ def owned_molecules(spark: SparkSession, d: str) -> DataFrame:
     """The latest state of every molecule with both coordinates that lies in a listed cell of its run."""
     t = latest_rows(table(spark, d, "transcripts"), ["transcript_id"], "loaded_at", ["run_id", "x_location", "y_location", "cell_id"])
     t = t.filter(present("x_location") & present("y_location") & F.col("transcript_id").isNotNull())
-    listed = table(spark, d, "cells").select("run_id", "cell_id").distinct()
+    listed = broadcast_if_small(checkpoint(table(spark, d, "cells").select("run_id", "cell_id").distinct()))
     return t.join(listed, ["run_id", "cell_id"], "left_semi").select("run_id", "transcript_id", "x_location", "y_location", "cell_id")
 
 
