@@ -79,6 +79,11 @@ def sigmoid(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
 
 
+def restrict_levels(value: Column, levels: list[str]) -> Column:
+    """The value if it is one of the levels, else null."""
+    return F.when(value.isin(levels), value)
+
+
 def portable_hash(*parts: Column) -> Column:
     """A 32-bit hash that other engines can repeat: the first eight hex digits of an MD5."""
     return F.conv(F.substring(F.md5(F.concat_ws("_", *parts)), 1, 8), 16, 10).cast("long")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spotweave.operators import clusters as c
+from spotweave.functions.stats import restrict_levels
+from spotweave.operators.features import combined_features
 from spotweave.operators.knn import knn_plane
 from spotweave.plans.base import LAB, PLANE, RUN, XY, centroids, labels, plane
 from spotweave.plans.spatial_queries import e_sql
-from spotweave.session import table
+from spotweave.session import checkpoint, table
 
 CELL = "cell_id"
 
@@ -102,7 +104,7 @@ def jaccard_sets(s, d):
 
     said = table(s, d, "top10_markers_per_cluster_4").select(*RUN, name_key("gene").alias("gene")).filter("gene is not null")
     true = best_per_group(exported(s, d).filter("logfoldchanges is not null"), [*RUN, "cluster"], F.col("logfoldchanges"), "gene", 10)
-    return c.set_overlap(true, said, RUN, "gene").select(*RUN, "n_a", "n_b", *r6("jaccard"))
+    return c.set_overlap(true, said, RUN, "gene").select(*RUN, "n_a", "n_b", "delta", *r6("jaccard"))
 
 
 def roc_curve(s, d):
@@ -115,7 +117,87 @@ def roc_curve(s, d):
     return c.roc(t, RUN, "logfoldchanges", "t", "key").select(*RUN, *r6("auc"))
 
 
-QUERIES = {f.__name__: f for f in (cluster_centroids, cluster_radius, centroid_distance, silhouette_samples, silhouette_by_cluster, separability, merge_clusters, adjusted_rand, small_clusters_to_noise, spatial_posterior, refine_global, label_change_audit, roi_components, entropy_confidence_spearman, jaccard_sets, roc_curve)}
+def boundary_margin(s, d):
+    return c.margins(points(s, d), RUN, CELL, "cluster", "v").select(*RUN, CELL, "cluster", *r6("own", "second", "margin"), "boundary")
+
+
+def recoded_labels(s, d):
+    """Cells of each run by the type that most cells of their cluster have; a cluster without a type is left out of the mapping and becomes null."""
+    kinds = table(s, d, "umap_clusters_final").filter("cluster is not null and cell_type_unsupervised is not null").groupBy("cluster", "cell_type_unsupervised").agg(F.count(F.lit(1)).alias("n"))
+    best = kinds.groupBy("cluster").agg(F.min(F.struct((-F.col("n")).alias("n"), "cell_type_unsupervised")).alias("m")).select("cluster", F.col("m.cell_type_unsupervised").alias("kind"))
+    return c.recode(labels(s, d), "cluster", best, "cluster", "kind").groupBy(*RUN, F.col("cluster").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def document_levels(s, d):
+    """Documents by language, a missing one filled in and all but three levels set to null."""
+    lang = restrict_levels(F.coalesce("lang", F.lit("en")), ["de", "en", "fr"])
+    return table(s, d, "documents").groupBy(lang.alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def uncertain_parts(s, d):
+    """Connected regions of high entropy with their size and density."""
+    e = knn_plane(centroids(s, d), RUN, CELL, "x", "y", 10, include_self=True)
+    return c.uncertain_regions(_posterior(s, d), e, RUN, CELL).select(*RUN, "region", "size", *r6("density"))
+
+
+def _chosen(s, d):
+    post = checkpoint(_posterior(s, d))
+    e = knn_plane(centroids(s, d), RUN, CELL, "x", "y", 10, include_self=True)
+    members = c.region_members(post, e, RUN, CELL)
+    return post, c.choose_mode(points(s, d), post, c.uncertain_regions(post, e, RUN, CELL), members, RUN, CELL, "cluster", "v")
+
+
+def refined_labels(s, d):
+    """Labels refined everywhere or in uncertain regions only, whichever scores higher in a run."""
+    return _chosen(s, d)[1]
+
+
+def posterior_table(s, d):
+    """The exported posterior table: entropy and confidence of each cell, whether it lies in a selected region, and whether its label changed."""
+    post, t = _chosen(s, d)
+    t = t.select(*RUN, CELL, F.col("in_roi").cast("int").alias("in_roi"), (F.col("label") != F.col("refined")).cast("int").alias("updated"))
+    return post.select(*RUN, CELL, *r6("entropy", "confidence")).join(t, [*RUN, CELL])
+
+
+def spatial_cluster_table(s, d):
+    """The exported table of cells with cluster, type and centroid."""
+    kind = table(s, d, "umap_clusters_final").groupBy(*RUN, CELL).agg(F.min("cell_type_unsupervised").alias("cell_type_unsupervised"))
+    return labels(s, d).join(kind, [*RUN, CELL]).join(centroids(s, d).select(*RUN, CELL, F.col("x").alias("x_centroid_px"), F.col("y").alias("y_centroid_px")), [*RUN, CELL])
+
+
+def layout_cluster_table(s, d):
+    """The exported table of layout points with cluster and type."""
+    kind = table(s, d, "umap_clusters_final").groupBy(*RUN, CELL).agg(F.min("cell_type_unsupervised").alias("cell_type_unsupervised"))
+    return plane(s, d).join(labels(s, d), [*RUN, CELL]).join(kind, [*RUN, CELL]).select(*RUN, CELL, *[F.round(k, 5).alias(n) for k, n in (("x", "umap1"), ("y", "umap2"))], "cluster", "cell_type_unsupervised")
+
+
+def sweep_metrics(s, d):
+    """One row of quality metrics for each run: cells, clusters, size-weighted silhouette, counts per cell, marker strength and specificity."""
+    from spotweave.operators.latest import latest_rows
+    from spotweave.operators.matrix import cell_metrics
+    from spotweave.operators.skew import exact_quantile
+    from spotweave.functions.keys import name_key, null_if_bad
+    from spotweave.plans.base import counts
+
+    sep = c.silhouettes(points(s, d), RUN, CELL, "cluster", "v").groupBy(*RUN, "cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("silhouette").alias("m"))
+    sep = sep.groupBy(*RUN).agg(F.sum("n").alias("n_cells"), F.count(F.lit(1)).alias("n_clusters"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("weighted_silhouette"))
+    n = checkpoint(cell_metrics(counts(s, d), RUN, CELL))
+    per = exact_quantile(n, RUN, "n_counts", 0.5, "median_counts_per_cell").join(n.groupBy(*RUN).agg(F.avg("n_counts").alias("mean_counts_per_cell")), RUN)
+    m = table(s, d, "cluster_markers_all_cells_final").withColumn("gene", name_key("names")).filter("gene is not null and gene <> '(CLUSTER TOO SMALL)'")
+    columns = ["logfoldchanges", "pvals_adj", "pct_nz_group", "pct_nz_reference"]
+    m = latest_rows(m, [*RUN, "cluster", "gene"], "exported_at", columns).select(*RUN, *[null_if_bad(k).alias(k) for k in columns])
+    m = checkpoint(m.filter("pvals_adj < 0.05 and logfoldchanges > 0"))
+    mark = exact_quantile(m, RUN, "logfoldchanges", 0.5, "median_log2fc").join(m.groupBy(*RUN).agg(F.avg(F.col("pct_nz_group") - F.col("pct_nz_reference")).alias("mean_specificity")), RUN)
+    return sep.join(per, RUN).join(mark, RUN, "left").select(*RUN, "n_cells", "n_clusters", *r6("weighted_silhouette", "median_counts_per_cell", "mean_counts_per_cell", "median_log2fc", "mean_specificity"))
+
+
+def latent_blocks(s, d):
+    """Standardised blocks of latent position, sharpened soft labels, centroid and density, weighted and standardised once more."""
+    t = points(s, d).select(*RUN, CELL, "v").join(centroids(s, d).select(*RUN, CELL, "x", "y"), [*RUN, CELL])
+    return combined_features(t, RUN, CELL, "v", "x", "y", 15).select(*RUN, CELL, F.posexplode("features").alias("i", "value")).select(*RUN, CELL, "i", *r6("value"))
+
+
+QUERIES = {f.__name__: f for f in (cluster_centroids, cluster_radius, centroid_distance, silhouette_samples, silhouette_by_cluster, separability, merge_clusters, adjusted_rand, small_clusters_to_noise, spatial_posterior, refine_global, label_change_audit, roi_components, entropy_confidence_spearman, jaccard_sets, roc_curve, boundary_margin, recoded_labels, document_levels, uncertain_parts, refined_labels, posterior_table, spatial_cluster_table, layout_cluster_table, sweep_metrics, latent_blocks)}
 
 PTS = "with " + PLANE + ", " + LAB + ", pt as (select run_id, cell_id, cluster, x, y from pl join lab using (run_id, cell_id)), ce as (select run_id, cluster, avg(x) as cx, avg(y) as cy, count(*) as n from pt group by all)\n"
 SIL = PTS + """
@@ -165,12 +247,57 @@ select run_id, round(corr(ra, rb), 6) as rho from r group by 1""",
 , t as (select distinct run_id, gene from (select run_id, gene, row_number() over (partition by run_id, cluster order by lfc desc, gene) as rn from e where lfc is not null) where rn <= 10),
 s as (select distinct run_id, upper(trim(gene)) as gene from top10_markers_per_cluster_4 where gene is not null),
 j as (select coalesce(t.run_id, s.run_id) as run_id, t.gene as a, s.gene as b from t full join s on t.run_id = s.run_id and t.gene = s.gene)
-select run_id, count(a) as n_a, count(b) as n_b, round(count(case when a = b then 1 end) / count(*), 6) as jaccard from j group by 1""",
+select run_id, count(a) as n_a, count(b) as n_b, count(b) - count(a) as delta, round(count(case when a = b then 1 end) / count(*), 6) as jaccard from j group by 1""",
     "roc_curve": """__EXP__
 , s as (select distinct run_id, cluster, upper(trim(gene)) as gene from top10_markers_per_cluster_4 where gene is not null),
 t as (select e.run_id, e.cluster || '/' || e.gene as key, lfc, (s.gene is not null)::int as t from e left join s on s.run_id = e.run_id and s.cluster = e.cluster and s.gene = e.gene where lfc is not null),
 u as (select *, sum(t) over (partition by run_id order by lfc desc, key rows unbounded preceding) as tp from t)
 select run_id, round(sum((1 - t) * tp)::double / (sum(t)::double * sum(1 - t)::double), 6) as auc from u group by 1""",
+    "boundary_margin": PTS + """
+, ds as (select pt.run_id, pt.cell_id, pt.cluster, list_sort(list(sqrt((x - cx) ** 2 + (y - cy) ** 2))) as l, min(case when pt.cluster = ce.cluster then sqrt((x - cx) ** 2 + (y - cy) ** 2) end) as own from pt join ce using (run_id) group by all),
+mg as (select run_id, cell_id, cluster, own, l[2] as second, l[2] - own as margin from ds), q as (select run_id, quantile_cont(margin, 0.35) as c from mg group by 1)
+select run_id, cell_id, cluster, round(own, 6) as own, round(second, 6) as second, round(margin, 6) as margin, round(margin, 9) < round(c, 9) as boundary from mg join q using (run_id)""",
+    "recoded_labels": "with " + LAB + """
+, k as (select cluster, cell_type_unsupervised as kind, count(*) as n from umap_clusters_final where cluster is not null and cell_type_unsupervised is not null group by all),
+b as (select cluster, kind from k qualify row_number() over (partition by cluster order by n desc, kind) = 1)
+select run_id, kind, count(*) as n from lab left join b using (cluster) group by all""",
+    "document_levels": "select case when coalesce(lang, 'en') in ('de', 'en', 'fr') then coalesce(lang, 'en') end as lang, count(*) as n from documents group by 1",
+    "uncertain_parts": "with recursive " + POST.strip()[len("with "):] + ", " + e_sql(10, True, "w") + """
+, q as (select run_id, quantile_cont(entropy, 0.75) as c from po group by 1), h as (select po.run_id, cell_id, entropy from po join q using (run_id) where round(entropy, 9) >= round(c, 9)),
+li as (select w.run_id, src as a, dst as b from w join h x on x.run_id = w.run_id and x.cell_id = src join h y on y.run_id = w.run_id and y.cell_id = dst),
+lk as (select run_id, a, b from li union select run_id, b, a from li),
+reach(run_id, a, b) as (select run_id, cell_id, cell_id from h union select r.run_id, r.a, lk.b from reach r join lk on lk.run_id = r.run_id and lk.a = r.b),
+g as (select run_id, a as cell_id, min(b) as region from reach group by all)
+select run_id, region, count(*) as size, round(avg(entropy) / count(*), 6) as density from g join h using (run_id, cell_id) group by all""",
+    "spatial_cluster_table": "with " + LAB + ", " + XY + """
+, k as (select run_id, cell_id, min(cell_type_unsupervised) as cell_type_unsupervised from umap_clusters_final group by all)
+select run_id, cell_id, cluster, cell_type_unsupervised, x as x_centroid_px, y as y_centroid_px from lab join k using (run_id, cell_id) join xy using (run_id, cell_id)""",
+    "layout_cluster_table": PTS + """
+, k as (select run_id, cell_id, min(cell_type_unsupervised) as cell_type_unsupervised from umap_clusters_final group by all)
+select run_id, cell_id, round(x, 5) as umap1, round(y, 5) as umap2, cluster, cell_type_unsupervised from pt join k using (run_id, cell_id)""",
+    "sweep_metrics": SIL + """
+, sp as (select run_id, cluster, count(*) as n, avg(silhouette) as m from si group by all), sw as (select run_id, sum(n)::bigint as n_cells, count(*) as n_clusters, sum(n * m)::double / sum(n)::double as weighted_silhouette from sp group by 1),
+l as (select transcript_id, arg_max(struct_pack(run_id := run_id, x := x_location, y := y_location, cell_id := cell_id, f := feature_name),
+        struct_pack(t := loaded_at, a := run_id, b := coalesce(x_location, '-infinity'::double), c := coalesce(y_location, '-infinity'::double), e := coalesce(cell_id, ''), f := coalesce(feature_name, ''))) as s from transcripts group by 1),
+cc as (select s.run_id as run_id, s.cell_id as cell_id, count(*) as n from l where s.x is not null and s.y is not null and not isnan(s.x) and not isnan(s.y) and trim(s.f) <> ''
+         and exists (select 1 from cells c where c.run_id = s.run_id and c.cell_id = s.cell_id) group by all),
+cs as (select run_id, median(n) as median_counts_per_cell, avg(n) as mean_counts_per_cell from cc group by 1),
+mx as (select run_id, cluster, upper(trim(names)) as gene, arg_max(struct_pack(a := logfoldchanges, c := pvals_adj, g := pct_nz_group, h := pct_nz_reference),
+         struct_pack(t := exported_at, a := coalesce(logfoldchanges, '-infinity'::double), c := coalesce(pvals_adj, '-infinity'::double), g := coalesce(pct_nz_group, '-infinity'::double), h := coalesce(pct_nz_reference, '-infinity'::double))) as s
+       from cluster_markers_all_cells_final where names is not null and upper(trim(names)) <> '(CLUSTER TOO SMALL)' group by all),
+ms as (select run_id, median(s.a) as median_log2fc, avg(case when isfinite(s.g) and isfinite(s.h) then s.g - s.h end) as mean_specificity from mx where s.a > 0 and isfinite(s.a) and s.c < 0.05 and isfinite(s.c) group by 1)
+select run_id, n_cells, n_clusters, round(weighted_silhouette, 6) as weighted_silhouette, round(median_counts_per_cell, 6) as median_counts_per_cell, round(mean_counts_per_cell, 6) as mean_counts_per_cell, round(median_log2fc, 6) as median_log2fc, round(mean_specificity, 6) as mean_specificity
+from sw join cs using (run_id) left join ms using (run_id)""",
+    "latent_blocks": PTS + ", " + XY + """
+, b0 as (select pt.run_id, pt.cell_id, pt.x as a, pt.y as b, xy.x as x, xy.y as y from pt join xy using (run_id, cell_id)),
+dn0 as (select p.run_id, p.cell_id, sqrt((p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b)) as dist from b0 p join b0 q using (run_id) qualify row_number() over (partition by p.run_id, p.cell_id order by (p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b), q.cell_id) <= 15),
+dn1 as (select run_id, cell_id, 1.0 / (avg(dist) + 1e-8) as raw from dn0 group by all),
+dn as (select run_id, cell_id, (raw - avg(raw) over w) / case when stddev_pop(raw) over w > 0 then stddev_pop(raw) over w else 1 end as d from dn1 window w as (partition by run_id)),
+f0 as (select b0.*, exp(1.5 * (a - greatest(a, b))) as ea, exp(1.5 * (b - greatest(a, b))) as eb, d from b0 join dn using (run_id, cell_id)),
+f1 as (select run_id, cell_id, 1.5 * (a - avg(a) over w) / (stddev_pop(a) over w) as f0, 1.5 * (b - avg(b) over w) / (stddev_pop(b) over w) as f1, 0.8 * ea / (ea + eb) as f2, 0.8 * eb / (ea + eb) as f3,
+         0.35 * (x - avg(x) over w) / (stddev_pop(x) over w) as f4, 0.35 * (y - avg(y) over w) / (stddev_pop(y) over w) as f5, 0.25 * d as f6 from f0 window w as (partition by run_id)),
+u as (""" + " union all ".join(f"select run_id, cell_id, {i} as i, f{i} as v from f1" for i in range(7)) + """)
+select run_id, cell_id, i::int as i, round((v - avg(v) over w) / case when stddev_pop(v) over w > 1e-12 then stddev_pop(v) over w else 1 end, 6) as value from u window w as (partition by run_id, i)""",
 }
 
 

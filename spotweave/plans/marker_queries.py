@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spotweave.functions.keys import name_key, null_if_bad
-from spotweave.functions.stats import min_max, rank_score
+from spotweave.functions.stats import competition_rank, min_max, rank_score, sigmoid
+from spotweave.operators import clusters as c
 from spotweave.operators import markers as k
 from spotweave.operators.latest import latest_rows
 from spotweave.operators.matrix import normalised
@@ -84,7 +85,44 @@ def bfdr_select(s, d):
     return k.select_bfdr(p, GROUP, "p", GENE).select(*GROUP, GENE, "rank", F.round("bfdr", 9).alias("bfdr"))
 
 
-QUERIES = {f.__name__: f for f in (fast_markers, marker_contrast, annotate_top3, wilcoxon_scores, wilcoxon_bh_significant, top20_markers, bh_readjusted, de_strength, de_scores, method_mean_sd, bfdr_select)}
+def marker_yield(s, d):
+    """Every labelled cluster of a run with the number of its significant raised markers, 0 where there are none."""
+    groups = labels(s, d).select(*GROUP).distinct()
+    return k.yields(groups, exported(s, d).filter("pvals_adj < 0.05 and logfoldchanges > 0"), GROUP)
+
+
+#: Weights of the differential-expression metrics that are at hand.
+WEIGHTS = {"median_log2fc": 0.4, "mean_neglog10_fdr": 0.3, "n_sig_markers": 0.1}
+
+
+def composite_scores(s, d):
+    """Weighted mean of a cluster's rank scores within its run, over the metrics at hand, and its place (ties share the best)."""
+    t = de_strength(s, d)
+    score = sum(F.lit(w) * rank_score(F.col(c), RUN) for c, w in WEIGHTS.items()) / sum(WEIGHTS.values())
+    t = t.select(*GROUP, F.round(score, 9).alias("score"))
+    return t.select(*GROUP, F.round("score", 6).alias("score"), competition_rank(F.col("score"), RUN).cast("long").alias("place"))
+
+
+def detection_quality(s, d):
+    """Precision and recall of the significant raised markers against the published lists, per run."""
+    said = table(s, d, "top10_markers_per_cluster_4").select(*GROUP, name_key("gene").alias(GENE)).filter("gene is not null").distinct().withColumn("t", F.lit(True))
+    t = exported(s, d).join(said, [*GROUP, GENE], "left")
+    t = t.select(*RUN, (F.coalesce(F.col("pvals_adj") < 0.05, F.lit(False)) & F.coalesce(F.col("logfoldchanges") > 0, F.lit(False))).alias("c"), F.coalesce("t", F.lit(False)).alias("t"))
+    return c.detection_quality(t, RUN, "c", "t").select(*RUN, "n_selected", "n_true", *r6("precision", "recall"))
+
+
+def adjusted_error(s, d):
+    """Root mean square difference between the exported adjusted p values and those adjusted anew, per run."""
+    t = k.adjust_bh(exported(s, d).filter("pvals is not null"), GROUP, "pvals", "anew", GENE)
+    return c.root_mean_square(t, RUN, "pvals_adj", "anew").select(*RUN, "n", *r6("rmse"))
+
+
+def sigmoid_evidence(s, d):
+    """Each gene's probability of being no marker by a logistic of its fold change."""
+    return exported(s, d).filter("logfoldchanges is not null").select(*GROUP, GENE, F.round(sigmoid(-F.col("logfoldchanges")), 6).alias("p"))
+
+
+QUERIES = {f.__name__: f for f in (fast_markers, marker_contrast, annotate_top3, wilcoxon_scores, wilcoxon_bh_significant, top20_markers, bh_readjusted, de_strength, de_scores, method_mean_sd, bfdr_select, marker_yield, composite_scores, detection_quality, adjusted_error, sigmoid_evidence)}
 
 INOUT = """
 , {lab}, c as (select distinct run_id, cell_id, cluster from cnt join lab using (run_id, cell_id)),
@@ -151,4 +189,19 @@ select dataset_no, round(avg(m), 6) as mean_m, round(coalesce(stddev_samp(m), 0)
 m as (select *, round(avg(1 - p) over (partition by run_id, cluster order by rank rows unbounded preceding), 12) as b from r),
 l as (select *, max(case when b <= 0.05 then rank end) over (partition by run_id, cluster) as last from m)
 select run_id, cluster, gene, rank, round(b, 9) as bfdr from l where rank <= last""",
+    "marker_yield": EXP + ", " + LAB + """
+, g as (select distinct run_id, cluster from lab), n as (select run_id, cluster, count(*) as n from e where q < 0.05 and lfc > 0 group by all)
+select run_id, cluster, coalesce(n, 0) as n_markers from g left join n using (run_id, cluster)""",
+    "composite_scores": DE + "".join(f""", r{i} as (select run_id, cluster, case when count(*) over (partition by run_id) = 1 then 1.0::double else (count(*) over (partition by run_id) - (rank() over (partition by run_id order by {c} desc) + (count(*) over (partition by run_id, {c}) - 1) / 2.0::double)) / (count(*) over (partition by run_id) - 1) end as s from de)""" for i, c in enumerate(WEIGHTS)) + """
+, z as (select run_id, cluster, round((0.4::double * r0.s + 0.3::double * r1.s + 0.1::double * r2.s) / 0.8, 9) as score from r0 join r1 using (run_id, cluster) join r2 using (run_id, cluster))
+select run_id, cluster, round(score, 6) as score, rank() over (partition by run_id order by score desc) as place from z""",
+    "detection_quality": EXP + """
+, s as (select distinct run_id, cluster, upper(trim(gene)) as gene, true as t from top10_markers_per_cluster_4 where gene is not null),
+j as (select e.run_id, coalesce(q < 0.05, false) and coalesce(lfc > 0, false) as c, coalesce(t, false) as t from e left join s on s.run_id = e.run_id and s.cluster = e.cluster and s.gene = e.gene)
+select run_id, sum(c::int)::bigint as n_selected, sum(t::int)::bigint as n_true, round(sum((c and t)::int) / nullif(sum(c::int), 0), 6) as precision, round(sum((c and t)::int) / nullif(sum(t::int), 0), 6) as recall from j group by 1""",
+    "adjusted_error": EXP + """
+, r as (select *, row_number() over (partition by run_id, cluster order by p, gene) as rn, count(*) over (partition by run_id, cluster) as m from e where p is not null),
+a as (select run_id, q, least(min(p * m / rn) over (partition by run_id, cluster order by rn desc rows unbounded preceding), 1.0) as anew from r)
+select run_id, count(*) as n, round(sqrt(avg((q - anew) * (q - anew))), 6) as rmse from a where q is not null group by 1""",
+    "sigmoid_evidence": EXP + "select run_id, cluster, gene, round(1 / (1 + exp(lfc)), 6) as p from e where lfc is not null",
 }

@@ -5,14 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spotweave.operators import matrix as m
-from spotweave.plans.base import CNT, NORM, RUN, counts
+from spotweave.plans.base import CNT, NORM, RUN, XY, centroids, counts
 from spotweave.session import table
 
 CELL, GENE = "cell_id", "gene"
-#: Wide output takes the panel's first genes; the list is read from the panel, never found by a pass over the counts.
-WIDE = 40
-
-
 def r6(name: str):
     return F.round(name, 6).alias(name)
 
@@ -22,12 +18,8 @@ def count_matrix_long(s, d):
 
 
 def count_matrix_wide(s, d):
-    genes = [r[0] for r in table(s, d, "gene_panel").filter("feature_class = 'targeted'").orderBy("codeword").select("feature_name").limit(WIDE).collect()]
-    wide = m.wide_matrix(counts(s, d), RUN, CELL, GENE, genes)
-    return wide.toDF(*RUN, CELL, *[f"g{i:02d}" for i in range(len(genes))])
-
-
-WIDE_SQL = CNT + ", p as (select row_number() over (order by codeword) - 1 as i, feature_name as gene from gene_panel where feature_class = 'targeted' qualify i < 40)\nselect run_id, cell_id, " + ", ".join(f"sum(case when i = {i} then n else 0 end)::bigint as g{i:02d}" for i in range(WIDE)) + " from cnt join p using (gene) group by all"
+    """The lines of the dense cell-by-gene file over the whole panel, in the order of its codewords."""
+    return m.dense_rows(counts(s, d), RUN, CELL, GENE, table(s, d, "gene_panel"), "codeword", "feature_name")
 
 
 def matrix_market_triplets(s, d):
@@ -51,7 +43,7 @@ def qc_relaxed_filter(s, d):
 
 
 def top_gene_cap(s, d):
-    return m.top_genes(counts(s, d), RUN, GENE, 30)
+    return m.top_genes(counts(s, d), RUN, GENE, 5050)
 
 
 def adaptive_quantile_qc(s, d):
@@ -81,15 +73,61 @@ def pearson_residuals(s, d):
 
 
 def hvg_dispersion(s, d):
-    return m.variable_genes(counts(s, d), RUN, CELL, GENE, 100).select(*RUN, GENE, r6("mean"), r6("dispersion"), r6("score"), "rank")
+    return m.variable_genes(counts(s, d), RUN, CELL, GENE, 2000).select(*RUN, GENE, r6("mean"), r6("dispersion"), r6("score"), "rank")
+
+
+def control_features(s, d):
+    """Every feature name of the panel and whether its name marks a control."""
+    return table(s, d, "gene_panel").select("feature_name", m.is_control(F.col("feature_name")).alias("is_control")).distinct()
+
+
+def quality_molecules(s, d):
+    """Per run: molecules of quality 20 at least that are no control and lie in a cell."""
+    t = m.quality_filter(table(s, d, "transcripts"), "qv", "feature_name", "cell_id", 20.0, "is_noise")
+    return t.groupBy(*RUN).agg(F.count(F.lit(1)).alias("n_molecules"), F.countDistinct("transcript_id").alias("n_ids"), F.round(F.avg("qv"), 6).alias("mean_qv"))
+
+
+def molecule_centroids(s, d):
+    t = table(s, d, "transcripts").select(*RUN, CELL, "x_location", "y_location", "z_location")
+    return m.molecule_centroids(t, RUN, CELL, ["x_location", "y_location", "z_location"]).select(*RUN, CELL, "n", *[r6(c) for c in ("x_location", "y_location", "z_location")])
+
+
+def cells_with_morphology(s, d):
+    """Every cell of the count matrix with its centroid and area, nulls where the cell table lacks them."""
+    return m.cell_metrics(counts(s, d), RUN, CELL).join(centroids(s, d), [*RUN, CELL], "left").select(*RUN, CELL, "n_counts", "n_genes", r6("x"), r6("y"), "area")
+
+
+def area_histogram(s, d):
+    return m.histogram(table(s, d, "cells").filter("area_px is not null"), RUN, "area_px").select(*RUN, "bin", r6("low"), "n")
+
+
+def area_summary(s, d):
+    return m.five_numbers(table(s, d, "cells"), RUN, "area_px").select(*RUN, "n", *[r6(c) for c in ("least", "q1", "median", "mean", "q3", "most")])
 
 
-QUERIES = {f.__name__: f for f in (count_matrix_long, count_matrix_wide, matrix_market_triplets, qc_cell_metrics, qc_gene_metrics, qc_min_counts, qc_relaxed_filter, top_gene_cap, adaptive_quantile_qc, pattern_fraction, background_subtract, lognorm, zscore_clip, pearson_residuals, hvg_dispersion)}
+QUERIES = {f.__name__: f for f in (count_matrix_long, count_matrix_wide, matrix_market_triplets, qc_cell_metrics, qc_gene_metrics, qc_min_counts, qc_relaxed_filter, top_gene_cap, adaptive_quantile_qc, pattern_fraction, background_subtract, lognorm, zscore_clip, pearson_residuals, hvg_dispersion, control_features, quality_molecules, molecule_centroids, cells_with_morphology, area_histogram, area_summary)}
 
 CM = ", cm as (select run_id, cell_id, sum(n)::bigint as n_counts, count(*) as n_genes from cnt group by all)\n"
 SQL = {
     "count_matrix_long": CNT + "select * from cnt",
-    "count_matrix_wide": WIDE_SQL,
+    "count_matrix_wide": CNT + """
+, p0 as (select feature_name as gene, min(codeword) as o from gene_panel where feature_name is not null group by 1), p as (select gene, row_number() over (order by o, gene) as i from p0),
+c as (select run_id, cell_id, sum(n)::bigint as t, sum(case when p.gene is null then n else 0 end)::bigint as n_outside from cnt left join p using (gene) group by all),
+a as (select c.run_id, c.cell_id, string_agg(coalesce(cnt.n, 0)::varchar, ',' order by i) as line from c cross join p left join cnt on cnt.run_id = c.run_id and cnt.cell_id = c.cell_id and cnt.gene = p.gene group by all)
+select run_id, cell_id, n_outside, line from c join a using (run_id, cell_id)""",
+    "control_features": "select distinct feature_name, regexp_matches(lower(feature_name), 'negcontrolprobe|negcontrolcodeword|negprobe|blank|antisense|unassignedcodeword|deprecatedcodeword|intergenic') as is_control from gene_panel",
+    "quality_molecules": """
+select run_id, count(*) as n_molecules, count(distinct transcript_id) as n_ids, round(avg(qv), 6) as mean_qv from transcripts
+where qv >= 20 and not isnan(qv) and cell_id is not null and not regexp_matches(lower(feature_name), 'negcontrolprobe|negcontrolcodeword|negprobe|blank|antisense|unassignedcodeword|deprecatedcodeword|intergenic') group by 1""",
+    "molecule_centroids": "select run_id, cell_id, count(*) as n, " + ", ".join(f"round(avg(case when not isnan({c}) then {c} end), 6) as {c}" for c in ("x_location", "y_location", "z_location")) + " from transcripts where cell_id is not null group by all",
+    "cells_with_morphology": CNT + CM + ", " + XY + "select cm.run_id, cm.cell_id, n_counts, n_genes, round(x, 6) as x, round(y, 6) as y, area from cm left join xy using (run_id, cell_id)",
+    "area_histogram": """
+with v as (select run_id, area_px as v from cells where area_px is not null and not isnan(area_px)), e as (select run_id, min(v) as lo, max(v) as hi from v group by 1),
+b as (select run_id, lo, (hi - lo) / 50 as w, case when hi > lo then least(floor(round((v - lo) / ((hi - lo) / 50), 9)), 49)::int else 0 end as bin from v join e using (run_id))
+select run_id, bin, round(lo + bin * w, 6) as low, count(*) as n from b group by run_id, bin, lo, w""",
+    "area_summary": """
+select run_id, count(*) as n, round(min(v), 6) as least, round(quantile_cont(v, 0.25), 6) as q1, round(quantile_cont(v, 0.5), 6) as median, round(avg(v), 6) as mean, round(quantile_cont(v, 0.75), 6) as q3, round(max(v), 6) as most
+from (select run_id, area_px as v from cells where area_px is not null and not isnan(area_px)) group by 1""",
     "matrix_market_triplets": CNT + "select dense_rank() over (order by gene) as row, dense_rank() over (order by cell_id) as col, n as value from cnt",
     "qc_cell_metrics": CNT + CM + "select * from cm",
     "qc_gene_metrics": CNT + "select run_id, gene, sum(n)::bigint as n_counts, count(*) as n_cells from cnt group by all",
@@ -103,7 +141,7 @@ mc as (select run_id, max(v) as v from (select run_id, max(k) as top from g2 gro
 select c2.run_id, c2.cell_id, c2.gene, c2.n from c2 join g2 using (run_id, gene) join mc using (run_id) where k >= mc.v""",
     "top_gene_cap": CNT + """
 , g0 as (select run_id, gene, sum(n) as t from cnt group by all), g as (select run_id, gene, row_number() over (partition by run_id order by t desc, gene) as r from g0)
-select run_id, cell_id, gene, n from cnt join g using (run_id, gene) where r <= 30""",
+select run_id, cell_id, gene, n from cnt join g using (run_id, gene) where r <= 5050""",
     "adaptive_quantile_qc": CNT + """
 , c as (select run_id, cell_id, sum(n)::bigint as n_counts, count(*) as n_genes, 100.0 * sum(case when gene like 'JUX%' then n else 0 end)::double / sum(n)::double as percent from cnt group by all),
 q as (select run_id, quantile_cont(n_genes::double, 0.01) as g1, quantile_cont(n_genes::double, 0.995) as g2, quantile_cont(n_counts::double, 0.01) as c1 from c group by 1)
@@ -137,5 +175,5 @@ w as (select *, min(l) over (partition by run_id) as lo, (max(l) over (partition
 b as (select *, case when wd > 0 then least(floor(round((l - lo) / wd, 9)), 19) else 0 end as bin from w),
 z as (select *, case when stddev_samp(d) over bw > 1e-12 then (d - avg(d) over bw) / stddev_samp(d) over bw else 1.0 end as score from b window bw as (partition by run_id, bin))
 select run_id, gene, round(mean, 6) as mean, round(exp(d), 6) as dispersion, round(score, 6) as score, row_number() over (partition by run_id order by round(score, 9) desc, gene) as rank
-from z qualify rank <= 100""",
+from z qualify rank <= 2000""",
 }
