@@ -8,7 +8,8 @@ from spotweave.operators import bayes as b
 from spotweave.operators import community as g
 from spotweave.operators import factor as f
 from spotweave.operators.clusters import spatial_posterior
-from spotweave.operators.knn import knn_plane
+from spotweave.operators.features import combined_features, standardised
+from spotweave.operators.knn import knn_plane, knn_vectors, local_density
 from spotweave.operators.markers import contrasts
 from spotweave.operators.matrix import normalised, variable_genes
 from spotweave.plans.base import RUN, centroids, counts, labels
@@ -88,7 +89,42 @@ def coupled_posterior(s, d):
     return spatial_posterior(space, _edges(s, d, 12), RUN, CELL, "cluster", "scores").select(*RUN, CELL, "label", "candidate", *r6("confidence", "entropy"))
 
 
-QUERIES = {q.__name__: q for q in (pca_scores, pca_whitened, count_pca, count_elbow, community_labels, community_modularity, label_modularity, bayes_gene_fit, cluster_bayes_markers, coupled_posterior)}
+def _space(s, d):
+    """Principal components of each run's cells, standardised; 30 at most."""
+    return checkpoint(standardised(f.count_pca(normalised(counts(s, d), RUN, CELL), RUN, CELL, GENE, "x", variable_genes(counts(s, d), RUN, CELL, GENE, 2000), 30), RUN, CELL, "scores"))
+
+
+def latent_neighbours(s, d):
+    """The 15 nearest cells of every cell in the space of principal components."""
+    v = _space(s, d)
+    return knn_vectors(v, v, CELL, "scores", 15, by=RUN).select(*RUN, "src", "dst", "rank", *r6("dist"))
+
+
+def latent_density(s, d):
+    """Local density in the space of principal components, self included."""
+    v = _space(s, d)
+    own = v.select(*RUN, F.col(CELL).alias("src"), F.col(CELL).alias("dst"), F.lit(0).cast("long").alias("rank"), F.lit(0.0).alias("dist"))
+    return local_density(knn_vectors(v, v, CELL, "scores", 14, by=RUN).unionByName(own), RUN).select(*RUN, "src", *r6("density"))
+
+
+def community_resolutions(s, d):
+    """The sweep of resolutions on the cosine neighbour graph of each run: communities, silhouette, and the one to take."""
+    v = _space(s, d)
+    e = checkpoint(knn_vectors(v, v, CELL, "scores", 15, cosine=True, by=RUN))
+    labels_ = g.communities(e, RUN, resolutions=[0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0])
+    t = g.choose_resolution(labels_, v, RUN, CELL, "scores")
+    return t.select(*RUN, "resolution", "n_communities", *r6("silhouette"), "chosen")
+
+
+def spatial_domains(s, d):
+    """Communities of each run's cells in the combined space of expression, soft labels, place and density, by 30 cosine neighbours at 1.25 times the resolution."""
+    t = _space(s, d).join(centroids(s, d).select(*RUN, CELL, "x", "y"), [*RUN, CELL])
+    v = checkpoint(combined_features(t, RUN, CELL, "scores", "x", "y", 15))
+    e = checkpoint(knn_vectors(v, v, CELL, "features", 30, cosine=True, by=RUN))
+    return g.communities(e, RUN, 1.25).withColumnRenamed("community", "domain")
+
+
+QUERIES = {q.__name__: q for q in (pca_scores, pca_whitened, count_pca, count_elbow, community_labels, community_modularity, label_modularity, bayes_gene_fit, cluster_bayes_markers, coupled_posterior, latent_neighbours, latent_density, community_resolutions, spatial_domains)}
 
 
 def _sql() -> dict[str, str]:

@@ -10,11 +10,15 @@ from spotweave.operators.knn import knn_plane, knn_vectors, local_density as den
 from spotweave.operators.markers import adjust_bh, two_sided_p
 from spotweave.operators.matrix import normalised
 from spotweave.plans.base import CNT, LAB, NORM, RUN, XY, centroids, counts, labels
-from spotweave.session import table
+from spotweave.session import checkpoint, table
 
 CELL, GENE = "cell_id", "gene"
 
 
+#: Replicates of the bootstrap.
+REPLICATES = 1000
+
+
 def edges(s, d, k, include_self=False):
     return knn_plane(centroids(s, d), RUN, CELL, "x", "y", k, include_self)
 
@@ -80,14 +84,34 @@ def paired_genes(s, d):
 
 
 def paired_bootstrap(s, d):
-    b = sp.bootstrap_medians(_pairs(s, d), RUN, GENE, ["lognorm", "raw"], 200)
+    b = sp.bootstrap_medians(_pairs(s, d), RUN, GENE, ["lognorm", "raw"], REPLICATES)
     diff = F.col("lognorm") - F.col("raw")
     q = lambda c, p: F.percentile(c, F.lit(p))
     one = b.withColumn("diff", diff).groupBy(*RUN).agg(*[q(c, p).alias(f"{c}_{n}") for c in ("lognorm", "raw", "diff") for n, p in (("low", 0.025), ("high", 0.975))], F.avg((F.col("diff") <= 0).cast("double")).alias("below"))
-    two = F.greatest(2 * F.least("below", 1 - F.col("below")), F.lit(1 / 200))
+    two = F.greatest(2 * F.least("below", 1 - F.col("below")), F.lit(1 / REPLICATES))
     return one.select(*RUN, *[F.round(f"{c}_{n}", 6).alias(f"{c}_{n}") for c in ("lognorm", "raw", "diff") for n in ("low", "high")], F.round(two, 6).alias("p"))
 
 
+def bootstrap_verdicts(s, d):
+    """Which of the two values shows more spatial structure, per run."""
+    t = sp.bootstrap_verdicts(_pairs(s, d), RUN, GENE, ["lognorm", "raw"], REPLICATES)[1]
+    return t.select(*RUN, "method_a", "method_b", *[F.round(c, 6).alias(c) for c in ("diff", "ci_low", "ci_high", "p", "p_adj")], "verdict")
+
+
+def bootstrap_intervals(s, d):
+    """Median Moran's I of each value with its interval, largest first."""
+    t = sp.bootstrap_verdicts(_pairs(s, d), RUN, GENE, ["lognorm", "raw"], REPLICATES)[0]
+    return t.select(*RUN, "method", *[F.round(c, 6).alias(c) for c in ("observed", "ci_low", "ci_high")], "place")
+
+
+def permuted_moran(s, d):
+    """Moran's I after the cells of a run have changed places: the null of moran_i."""
+    c = sp.permuted_cells(centroids(s, d).select(*RUN, CELL, "x", "y"), RUN, CELL, ["x", "y"])
+    c = checkpoint(c)
+    t = sp.morans_i(normalised(counts(s, d), RUN, CELL), knn_plane(c, RUN, CELL, "x", "y", 6), c, RUN, CELL, GENE, "x")
+    return t.select(*RUN, GENE, *[F.round(k, 6).alias(k) for k in ("moran", "expected", "variance", "z")])
+
+
 def paga_connectivity(s, d):
     """Observed over expected edges between clusters."""
     e = edges(s, d, 6)
@@ -105,7 +129,7 @@ def unit_embeddings(s, d):
     return e.select("vec_id", F.posexplode("v")).groupBy("pos").agg(F.round(F.avg("col"), 6).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (knn_edges, knn_edges_with_self, knn_embedding, local_density, neighbour_majority, spatial_denoise, local_shannon, diversity_hotspots, moran_i, spatial_magnitude, paired_genes, paired_bootstrap, paga_connectivity, unit_embeddings)}
+QUERIES = {f.__name__: f for f in (knn_edges, knn_edges_with_self, knn_embedding, local_density, neighbour_majority, spatial_denoise, local_shannon, diversity_hotspots, moran_i, spatial_magnitude, paired_genes, paired_bootstrap, bootstrap_verdicts, bootstrap_intervals, permuted_moran, paga_connectivity, unit_embeddings)}
 
 
 def e_sql(k: int, own: bool = False, name: str = "e") -> str:
@@ -150,7 +174,25 @@ s{i + 1} as (select s.run_id, s.cell_id, case when c <= cut and share >= 0.65 th
 """ for i in range(2)) + "select run_id, cell_id, label from s2"
 PAIRS = NORM + ", " + XY + ", " + e_sql(6) + MORAN + moran_sql("nrm", "x", "mi") + moran_sql("cnt", "n", "mr") + ", pr as (select run_id, gene, round(mi.moran, 9) as lognorm, round(mr.moran, 9) as raw from mi join mr using (run_id, gene))\n"
 
+BOOT = PAIRS + """
+, rw as (select *, row_number() over (partition by run_id order by gene) - 1 as pos from pr),
+sz as (select run_id, count(*) as n, median(lognorm) as sl, median(raw) as sr from pr group by 1),
+dr as (select run_id, b, ('0x' || substr(md5('1_' || b || '_' || i), 1, 8))::bigint % n as pos from (select run_id, n, unnest(range(1, 1001)) as b from sz), lateral (select unnest(range(1, n + 1)) as i)),
+bt as (select run_id, b, median(lognorm) as lognorm, median(raw) as raw from dr join rw using (run_id, pos) group by all),
+bq as (select run_id, any_value(sl) as sl, any_value(sr) as sr, quantile_cont(lognorm, 0.025) as l0, quantile_cont(lognorm, 0.975) as l1, quantile_cont(raw, 0.025) as r0, quantile_cont(raw, 0.975) as r1,
+         quantile_cont(lognorm - raw, 0.025) as d0, quantile_cont(lognorm - raw, 0.975) as d1, least(greatest(2 * least(avg((lognorm - raw <= 0)::int), avg((lognorm - raw >= 0)::int)), 0.001), 1) as p from bt join sz using (run_id) group by 1)
+"""
 SQL = {
+    "bootstrap_verdicts": BOOT + """
+select run_id, 'lognorm' as method_a, 'raw' as method_b, round(sl - sr, 6) as diff, round(d0, 6) as ci_low, round(d1, 6) as ci_high, round(p, 6) as p, round(p, 6) as p_adj,
+  case when (round(d0, 12) > 0 or round(d1, 12) < 0) and sl > sr then 'lognorm > raw' when (round(d0, 12) > 0 or round(d1, 12) < 0) and sl < sr then 'raw > lognorm' else 'tie (CI spans 0)' end as verdict from bq""",
+    "bootstrap_intervals": BOOT + """
+, u as (select run_id, 'lognorm' as method, sl as observed, l0 as ci_low, l1 as ci_high from bq union all select run_id, 'raw', sr, r0, r1 from bq)
+select run_id, method, round(observed, 6) as observed, round(ci_low, 6) as ci_low, round(ci_high, 6) as ci_high, row_number() over (partition by run_id order by round(observed, 9) desc, method) as place from u""",
+    "permuted_moran": NORM + ", " + XY.replace("xy as", "xy0 as") + """
+, ih as (select run_id, x, y, area, row_number() over (partition by run_id order by ('0x' || substr(md5('1_' || cell_id), 1, 8))::bigint, cell_id) as i from xy0),
+ic as (select run_id, cell_id, row_number() over (partition by run_id order by cell_id) as i from xy0), xy as (select run_id, cell_id, x, y, area from ic join ih using (run_id, i))
+, """ + e_sql(6) + MORAN + moran_sql("nrm", "x", "mi") + "select run_id, gene, round(moran, 6) as moran, round(expected, 6) as expected, round(variance, 6) as variance, round((moran - expected) / sqrt(variance), 6) as z from mi",
     "knn_edges": "with " + XY + ", " + e_sql(6) + "select run_id, src, dst, rank, round(dist, 6) as dist from e",
     "knn_edges_with_self": "with " + XY + ", " + e_sql(12, True) + "select run_id, src, dst, rank, round(dist, 6) as dist from e",
     "knn_embedding": """
@@ -170,11 +212,11 @@ select run_id, src, label, votes, round(share, 6) as share from (select *, votes
     "paired_bootstrap": PAIRS + """
 , rw as (select *, row_number() over (partition by run_id order by gene) - 1 as pos, count(*) over (partition by run_id) as n from pr),
 sz as (select run_id, count(*) as n from pr group by 1),
-dr as (select run_id, b, ('0x' || substr(md5('1_' || b || '_' || i), 1, 8))::bigint % n as pos from (select run_id, n, unnest(range(1, 201)) as b from sz), lateral (select unnest(range(1, n + 1)) as i)),
+dr as (select run_id, b, ('0x' || substr(md5('1_' || b || '_' || i), 1, 8))::bigint % n as pos from (select run_id, n, unnest(range(1, 1001)) as b from sz), lateral (select unnest(range(1, n + 1)) as i)),
 bt as (select run_id, b, median(lognorm) as lognorm, median(raw) as raw from dr join rw using (run_id, pos) group by all),
 bd as (select *, lognorm - raw as diff from bt)
 select run_id, """ + ", ".join(f"round(quantile_cont({c}, {p}), 6) as {c}_{n}" for c in ("lognorm", "raw", "diff") for n, p in (("low", 0.025), ("high", 0.975))) + """,
-  round(greatest(2 * least(avg((diff <= 0)::int), 1 - avg((diff <= 0)::int)), 1 / 200), 6) as p from bd group by 1""",
+  round(greatest(2 * least(avg((diff <= 0)::int), 1 - avg((diff <= 0)::int)), 1 / 1000), 6) as p from bd group by 1""",
     "paga_connectivity": "with " + XY + ", " + LAB + ", " + e_sql(6) + """
 , t as (select e.run_id, a.cluster as src_cluster, b.cluster as dst_cluster, count(*) as n_edges from e join lab a on a.run_id = e.run_id and a.cell_id = e.src join lab b on b.run_id = e.run_id and b.cell_id = e.dst group by all)
 select *, round(n_edges * (sum(n_edges) over (partition by run_id))::double / ((sum(n_edges) over (partition by run_id, src_cluster))::double * (sum(n_edges) over (partition by run_id, dst_cluster))::double), 6) as connectivity from t""",

@@ -26,6 +26,35 @@ def write_matrix_market(counts: DataFrame, cell: str, gene: str, path: str) -> N
     rows.select(F.concat_ws("\t", gene, gene, F.lit("Gene Expression")).alias("value")).write.mode("overwrite").option("compression", "gzip").text(f"{path}/features")
 
 
+def write_bundle(counts: DataFrame, cells: DataFrame, cell: str, gene: str, path: str, embeddings: dict[str, tuple[DataFrame, str, str]] | None = None) -> None:
+    """The coordinate matrix with ``metadata`` (``cells`` as it is) and one CSV for each embedding: name -> (rows of (cell, vector), vector column, column prefix).
+
+    A vector becomes columns prefix1, prefix2, ..; all vectors of an embedding have the length of its longest, missing components are empty.
+    """
+    write_matrix_market(counts, cell, gene, path)
+    cells.write.mode("overwrite").option("header", True).csv(f"{path}/metadata")
+    for name, (rows, v, prefix) in (embeddings or {}).items():
+        wide = rows.select(F.max(F.size(v))).first()[0] or 0
+        rows.select(cell, *[F.get(v, F.lit(i)).alias(f"{prefix}{i + 1}") for i in range(wide)]).write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+
+
+def write_tables(tables: dict[str, DataFrame], path: str) -> None:
+    """A set of tables as Parquet, each under its name."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def write_csv_tables(tables: dict[str, DataFrame], path: str) -> None:
+    """Cluster tables, posterior tables and the like as CSV with a header, each under its name."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+
+
+def write_assignment_record(mappings: DataFrame, by: list[str], path: str) -> None:
+    """One JSON object for each dataset: the mapping that ``score_mappings`` found best and what it assigns."""
+    write_json_record(mappings.filter("best").select(*by, "mapping", "n_valid", "n_assigned", "n_cells"), path)
+
+
 def write_json_record(df: DataFrame, path: str) -> None:
     """Each row as one JSON object, nulls kept."""
     df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)

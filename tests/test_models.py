@@ -12,7 +12,7 @@ from spotweave.operators.community import communities, modularity
 from spotweave.operators.knn import knn_plane
 from spotweave.operators.markers import adjust_bh, significant, two_sided_p
 from spotweave.sources.roles import read_molecules, read_vectors, resolve
-from spotweave.sources.sinks import write_json_record, write_matrix_market, write_snapshot, write_wide_csv
+from spotweave.sources.sinks import write_assignment_record, write_bundle, write_csv_tables, write_json_record, write_matrix_market, write_snapshot, write_tables, write_wide_csv
 from spotweave.streaming.counts import stream_counts
 
 
@@ -165,6 +165,14 @@ def test_sources_and_sinks(spark, tmp_path):
     assert back == {"c1": ("2", "0"), "c2": ("1", "5")}
     write_json_record(spark.createDataFrame([(1, None)], "a int, b string"), f"{tmp_path}/json")
     assert spark.read.text(f"{tmp_path}/json").first()[0] == '{"a":1,"b":null}'
+    write_bundle(n, n.select("cell").distinct(), "cell", "gene", f"{tmp_path}/bundle", {"pca": (spark.createDataFrame([("c1", [1.0, 2.0]), ("c2", [3.0])], "cell string, v array<double>"), "v", "PC_")})
+    assert {tuple(r) for r in spark.read.csv(f"{tmp_path}/bundle/pca", header=True).select("cell", "PC_1", "PC_2").collect()} == {("c1", "1.0", "2.0"), ("c2", "3.0", None)}
+    assert spark.read.csv(f"{tmp_path}/bundle/metadata", header=True).count() == 2
+    write_tables({"n": n}, f"{tmp_path}/set")
+    write_csv_tables({"n": n}, f"{tmp_path}/csv")
+    assert spark.read.parquet(f"{tmp_path}/set/n").count() == spark.read.csv(f"{tmp_path}/csv/n", header=True).count() == 3
+    write_assignment_record(spark.createDataFrame([("A", 0, 5, 4, 2, True), ("A", 1, 1, 1, 1, False)], "run string, mapping int, n_valid long, n_assigned long, n_cells long, best boolean"), ["run"], f"{tmp_path}/record")
+    assert spark.read.text(f"{tmp_path}/record").first()[0] == '{"run":"A","mapping":0,"n_valid":5,"n_assigned":4,"n_cells":2}'
     write_snapshot({"t": n}, str(tmp_path), "final")
     assert spark.read.csv(f"{tmp_path}/t_final", header=True).count() == 3
     spark.createDataFrame([(1.0, 2.0, "g", "e"), (None, 2.0, "g", "e")], "x_location double, y double, target string, more string").write.parquet(f"{tmp_path}/m")
@@ -183,3 +191,44 @@ def test_streamed_counts_equal_the_batch(spark, tmp_path):
     q = stream_counts(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")).writeStream.format("memory").queryName("streamed").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.sql("select sum(n) from streamed").first()[0] == 40
+
+
+def test_repair_takes_the_largest_part_of_any_label_and_solidity(spark):
+    far = [("A", y, 3 * x, "scattered") for y in range(40) for x in range(0, 40, 2)]  # many crumbs, over the bound together
+    solid = [("A", 100 + y, 100 + x, "scattered") for y in range(6) for x in range(6)]
+    star = [("A", 300 + i, 300, "star") for i in range(31)] + [("A", 315, 285 + i, "star") for i in range(31)]
+    df = spark.createDataFrame(far + solid + star, "run string, y int, x int, label string").distinct()
+    out = raster.repair_geometry(df, ["run"], "label", 10, 100).collect()
+    assert {r["label_no"] for r in out} == {1, 2} and sum(r["label_no"] == 1 for r in out) == 36
+    assert {r["label_no"] for r in raster.repair_geometry(df, ["run"], "label", 10, 100, min_solidity=0.5).collect()} == {1}
+    shape = {r["label"]: r for r in raster.shape_statistics(spark.createDataFrame(solid + star, df.schema), ["run"], "label").collect()}
+    assert shape["scattered"]["solidity"] == 1 and shape["scattered"]["perimeter"] == 20 and shape["star"]["solidity"] < 0.2
+
+
+def test_merging_ends_and_equals_brute_force(spark):
+    from spotweave.operators.clusters import merge_indistinct
+
+    g = np.random.default_rng(5)
+    pts = [("A", f"c{k}", [float(v) for v in g.normal((3 * (k // 2), 0), 0.5)]) for k in range(6) for _ in range(25)]
+    got = {r["label"]: r["merged"] for r in merge_indistinct(spark.createDataFrame(pts, "run string, label string, v array<double>"), ["run"], "label", "v", 1.0).collect()}
+    names, m = np.array([p[1] for p in pts]), np.array([p[2] for p in pts])
+    while True:
+        ls = sorted(set(names))
+        c = {l: m[names == l].mean(0) for l in ls}
+        r = {l: np.sqrt(((m[names == l] - c[l]) ** 2).sum(1)).mean() for l in ls}
+        sep, a, b = min((round(float(np.sqrt(((c[a] - c[b]) ** 2).sum()) / (r[a] + r[b] + 1e-9)), 9), a, b) for a in ls for b in ls if a < b)
+        if sep >= 1.0 or len(ls) <= 2:
+            break
+        names[names == b] = a
+    assert got == dict(zip([p[1] for p in pts], names))
+
+
+def test_resolutions_are_swept_and_one_is_chosen(spark):
+    from spotweave.operators.community import choose_resolution
+
+    g = np.random.default_rng(2)
+    m = np.concatenate([g.normal(c, 0.3, (40, 2)) for c in ((0, 0), (4, 0), (0, 4), (4, 4))])
+    df = spark.createDataFrame([("A", f"p{i:03d}", float(a), float(b), [float(a), float(b)]) for i, (a, b) in enumerate(m)], "run string, id string, x double, y double, v array<double>")
+    found = communities(knn_plane(df, ["run"], "id", "x", "y", 10), ["run"], resolutions=[0.5, 1.0])
+    t = choose_resolution(found, df, ["run"], "id", "v").collect()
+    assert sum(r["chosen"] for r in t) == 1 and next(r for r in t if r["chosen"])["n_communities"] == 4
