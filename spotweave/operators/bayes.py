@@ -231,7 +231,8 @@ def gene_fits(values: DataFrame, basis: DataFrame, by: list[str], cell: str, gen
     sizes = checkpoint(values.groupBy(*by).agg(F.ceil(F.countDistinct(cell) / block).cast("int").alias("blocks")))
     kinds = {f.name: f.dataType.simpleString() for f in v.schema}
     keys = ", ".join(f"{c} {kinds[c]}" for c in by)
-    blocked = lambda df: df.join(sizes, by).withColumn("block", F.pmod(F.xxhash64("cell"), "blocks").cast("int"))
+    # Both sides of the cogroup carry the number of blocks, each as a column of its own.
+    blocked = lambda df: df.join(sizes, by).withColumn("blocks", F.col("blocks") + 0).withColumn("block", F.pmod(F.xxhash64("cell"), "blocks").cast("int"))
     names = ["log_bf", "fsv", "sigma_s2", "sigma_e2"]
 
     def add(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

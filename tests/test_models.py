@@ -194,7 +194,7 @@ def test_streamed_counts_equal_the_batch(spark, tmp_path):
 
 
 def test_repair_takes_the_largest_part_of_any_label_and_solidity(spark):
-    far = [("A", y, 3 * x, "scattered") for y in range(40) for x in range(0, 40, 2)]  # many crumbs, over the bound together
+    far = [("A", 2 * y, 3 * x, "scattered") for y in range(40) for x in range(0, 40, 2)]  # many crumbs, over the bound together
     solid = [("A", 100 + y, 100 + x, "scattered") for y in range(6) for x in range(6)]
     star = [("A", 300 + i, 300, "star") for i in range(31)] + [("A", 315, 285 + i, "star") for i in range(31)]
     df = spark.createDataFrame(far + solid + star, "run string, y int, x int, label string").distinct()
