@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotweave.operators.graph import connected_components, joined
-from spotweave.operators.skew import exact_quantile, number_rows
+from spotweave.operators.skew import exact_quantiles, number_rows
 from spotweave.session import checkpoint
 
 #: What a border pixel adds to the perimeter, by the sum of its border neighbours' weights (1 itself, 2 beside, 10 across).
@@ -93,10 +93,10 @@ def block_mean(image: DataFrame, by: list[str], value: str, factor: int, height:
 
 
 def percentile_rescale(image: DataFrame, by: list[str], value: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Values mapped to [0, 1] between two percentiles of their dataset and clipped; all 0 where these are equal."""
-    q = image.groupBy(*by).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("q"))
-    span = F.col("q")[1] - F.col("q")[0]
-    return image.join(q, by).withColumn("scaled", F.when(span > 0, F.least(F.greatest((F.col(value) - F.col("q")[0]) / span, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)).drop("q")
+    """Values mapped to [0, 1] between two percentiles of their dataset and clipped; all 0 where these are equal. Null values and NaN have no part in the percentiles."""
+    q = exact_quantiles(image, by, value, {"__low": low, "__high": high})
+    span = F.col("__high") - F.col("__low")
+    return image.join(q, by, "left").withColumn("scaled", F.when(span > 0, F.least(F.greatest((F.col(value) - F.col("__low")) / span, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)).drop("__low", "__high")
 
 
 def tile_statistics(image: DataFrame, by: list[str], value: str, tile: int) -> DataFrame:
@@ -274,6 +274,6 @@ def overlap_record(masks: DataFrame, seeds: DataFrame, repaired: DataFrame, by:
     out = overlap_fraction(masks, by, label).select(*by, F.col("overlap").alias("overlap_fraction_input"))
     out = out.join(seeds.groupBy(*by).agg(F.countDistinct(label).alias("n_seeds")), by)
     out = out.join(shape.groupBy(*by).agg(F.count(F.lit(1)).alias("n_cells_out")), by, "left").withColumn("n_cells_out", F.coalesce("n_cells_out", F.lit(0).cast("long")))
-    for column, q, name in (("area", 0.25, "__q1"), ("area", 0.5, "median_area"), ("area", 0.75, "__q3"), ("solidity", 0.5, "median_solidity")):
-        out = out.join(exact_quantile(shape, by, column, q, name), by, "left")
+    for column, marks in (("area", {"__q1": 0.25, "median_area": 0.5, "__q3": 0.75}), ("solidity", {"median_solidity": 0.5})):
+        out = out.join(exact_quantiles(shape, by, column, marks), by, "left")
     return out.select(*by, "overlap_fraction_input", "n_seeds", "n_cells_out", (F.col("n_seeds") - F.col("n_cells_out")).alias("n_dropped"), "median_area", (F.col("__q3") - F.col("__q1")).alias("iqr_area"), "median_solidity")

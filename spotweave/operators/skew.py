@@ -124,14 +124,25 @@ def mean_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> DataFra
     return running_sum(n, keys, [value], "n", "__up").select(*keys, value, "n", (F.col("__up") - (F.col("n") - 1) / 2.0).alias(name))
 
 
-def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, name: str) -> DataFrame:
-    """(keys, name): the ``q`` quantile of each key's values with linear interpolation, exactly, however many values a key has.
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, marks: dict[str, float]) -> DataFrame:
+    """(keys, one column for each name in ``marks``): that quantile of each key's values with linear interpolation, exactly, however many values a key has.
 
-    Values are counted in partial aggregates and the counts added up by ``running_sum``; no task holds a key's values. Null and NaN values are left out.
+    Values are counted in partial aggregates and the counts added up by ``running_sum``; no task holds a key's values. Null and NaN values are left out,
+    and so is a key without others.
     """
     n = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
     up = running_sum(n, keys, ["__v"], "__n", "__up")
-    at = up.groupBy(*keys).agg((q * (F.sum("__n") - 1)).alias("__p"))
-    low = F.floor("__p")
-    both = up.join(at, keys).groupBy(*keys, "__p").agg(F.min(F.when(F.col("__up") > low, F.col("__v"))).alias("__a"), F.min(F.when(F.col("__up") > low + 1, F.col("__v"))).alias("__b"))
-    return both.select(*keys, (F.col("__a") + (F.coalesce("__b", "__a") - F.col("__a")) * (F.col("__p") - low)).alias(name))
+    top = up.groupBy(*keys).agg((F.sum("__n") - 1).alias("__top"))
+    past = lambda q, step: F.min(F.when(F.col("__up") > F.floor(q * F.col("__top")) + step, F.col("__v")))
+    ends = up.join(top, keys).groupBy(*keys, "__top").agg(*[past(q, step).alias(f"__{step}{i}") for i, q in enumerate(marks.values()) for step in (0, 1)])
+
+    def between(i: int, q: float) -> Column:
+        low, high, at = F.col(f"__0{i}"), F.coalesce(f"__1{i}", f"__0{i}"), q * F.col("__top")
+        return low + (high - low) * (at - F.floor(at))
+
+    return ends.select(*keys, *[between(i, q).alias(name) for i, (name, q) in enumerate(marks.items())])
+
+
+def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, name: str) -> DataFrame:
+    """(keys, name): one quantile of each key's values, by ``exact_quantiles``."""
+    return exact_quantiles(df, keys, value, {name: q})

@@ -56,3 +56,9 @@ LAB = "lab as (select run_id, cell_id, min(cluster) as cluster from umap_cluster
 XY = "xy as (select run_id, cell_id, min({'x': x_centroid_px, 'y': y_centroid_px}).x as x, min({'x': x_centroid_px, 'y': y_centroid_px}).y as y, max(area_px) as area from cells where x_centroid_px is not null and y_centroid_px is not null group by all)\n"
 PLANE = "pl as (select run_id, cell_id, min({'x': umap1, 'y': umap2}).x::double as x, min({'x': umap1, 'y': umap2}).y::double as y from umap_clusters_final where umap1 is not null and umap2 is not null and not isnan(umap1) and not isnan(umap2) group by all)\n"
 NORM = CNT + ", nrm as (select *, ln(1 + n / (sum(n) over (partition by run_id, cell_id))::double * 1e4) as x from cnt)\n"
+
+
+def tail_sql(z: str) -> str:
+    """SQL of the two-sided normal tail beyond ``z``, to about 1e-13: one minus the series erf(x) = exp(-x^2) sum x^(2n+1) / gamma(n + 3/2)."""
+    x = f"least(greatest(abs({z}) / sqrt(2::double), 1e-300), 6.0)"
+    return f"greatest(0, 1 - list_sum(list_transform(range(0, 150), lambda k: exp(-{x} * {x} + (2 * k + 1) * ln({x}) - lgamma(k + 1.5)))))"

@@ -8,6 +8,7 @@ from spotweave.operators import clusters as c
 from spotweave.functions.stats import restrict_levels
 from spotweave.operators.features import combined_features
 from spotweave.operators.knn import knn_plane
+from spotweave.operators.skew import exact_quantile
 from spotweave.plans.base import LAB, PLANE, RUN, XY, centroids, labels, plane
 from spotweave.plans.spatial_queries import e_sql
 from spotweave.session import checkpoint, table
@@ -44,8 +45,9 @@ def silhouette_samples(s, d):
 
 
 def silhouette_by_cluster(s, d):
-    t = c.silhouettes(points(s, d), RUN, CELL, "cluster", "v")
-    return t.groupBy(*RUN, "cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("silhouette"), 6).alias("mean"), F.round(F.percentile("silhouette", F.lit(0.5)), 6).alias("median"))
+    t = checkpoint(c.silhouettes(points(s, d), RUN, CELL, "cluster", "v"))
+    mean = t.groupBy(*RUN, "cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("silhouette"), 6).alias("mean"))
+    return mean.join(exact_quantile(t, [*RUN, "cluster"], "silhouette", 0.5, "median"), [*RUN, "cluster"], "left").select(*RUN, "cluster", "n", "mean", *r6("median"))
 
 
 def separability(s, d):
@@ -175,7 +177,6 @@ def sweep_metrics(s, d):
     """One row of quality metrics for each run: cells, clusters, size-weighted silhouette, counts per cell, marker strength and specificity."""
     from spotweave.operators.latest import latest_rows
     from spotweave.operators.matrix import cell_metrics
-    from spotweave.operators.skew import exact_quantile
     from spotweave.functions.keys import name_key, null_if_bad
     from spotweave.plans.base import counts
 
@@ -200,11 +201,16 @@ def latent_blocks(s, d):
 QUERIES = {f.__name__: f for f in (cluster_centroids, cluster_radius, centroid_distance, silhouette_samples, silhouette_by_cluster, separability, merge_clusters, adjusted_rand, small_clusters_to_noise, spatial_posterior, refine_global, label_change_audit, roi_components, entropy_confidence_spearman, jaccard_sets, roc_curve, boundary_margin, recoded_labels, document_levels, uncertain_parts, refined_labels, posterior_table, spatial_cluster_table, layout_cluster_table, sweep_metrics, latent_blocks)}
 
 PTS = "with " + PLANE + ", " + LAB + ", pt as (select run_id, cell_id, cluster, x, y from pl join lab using (run_id, cell_id)), ce as (select run_id, cluster, avg(x) as cx, avg(y) as cy, count(*) as n from pt group by all)\n"
-SIL = PTS + """
-, dd as (select a.run_id, a.cell_id, a.cluster, b.cluster as oc, sum(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) as t, count(*) as k from pt a join pt b using (run_id) group by all),
-ab as (select run_id, cell_id, cluster, max(case when cluster = oc then k end) as own, max(case when cluster = oc and k > 1 then t / (k - 1) end) as a, min(case when cluster <> oc then t / k end) as b from dd group by all),
-si as (select run_id, cell_id, cluster, case when b is null then null when own = 1 then 0 else (b - a) / greatest(a, b) end as silhouette from ab)
+def sil_sql(points: str, tag: str = "") -> str:
+    """CTEs of the silhouettes of a table (run_id, cell_id, cluster, x, y), by comparing all points of a run; the last is si."""
+    return f"""
+, dd{tag} as (select a.run_id, a.cell_id, a.cluster, b.cluster as oc, sum(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) as t, count(*) as k from {points} a join {points} b using (run_id) group by all),
+ab{tag} as (select run_id, cell_id, cluster, max(case when cluster = oc then k end) as own, max(case when cluster = oc and k > 1 then t / (k - 1) end) as a, min(case when cluster <> oc then t / k end) as b from dd{tag} group by all),
+si{tag} as (select run_id, cell_id, cluster, case when b is null then null when own = 1 then 0 else (b - a) / greatest(a, b) end as silhouette from ab{tag})
 """
+
+
+SIL = PTS + sil_sql("pt")
 POST = PTS + ", " + XY + ", " + e_sql(12, True) + """
 , kk as (select run_id, count(*) as k from ce group by 1),
 vt as (select e.run_id, src, pt.cluster as c, count(*) as v from e join pt on pt.run_id = e.run_id and pt.cell_id = e.dst group by all),
@@ -214,11 +220,35 @@ ex as (select *, exp(l - max(l) over (partition by run_id, cell_id)) as x from l
 pp as (select *, x / sum(x) over (partition by run_id, cell_id) as p from ex),
 po as (select run_id, cell_id, label, arg_max(c, struct_pack(a := round(p, 12), b := -ord(c))) as candidate, max(p) as confidence, -sum(p * ln(p + 1e-12)) as entropy, max(p) - max(case when c = label then p end) as gain from pp group by all)
 """
-REF = POST + """
+REFINING = """
 , f as (select *, round(confidence, 9) > 0.6 and round(gain, 9) > 0 and candidate <> label as f, count(*) over (partition by run_id) as n from po),
 r as (select *, f and row_number() over (partition by run_id, f order by round(confidence, 9) desc, cell_id) <= floor(n * 0.5) as ok from f),
 sh as (select *, avg(ok::int) over (partition by run_id) as share from r)
 """
+REF = POST + REFINING
+PARTS = "with recursive " + POST.strip()[len("with "):] + ", " + e_sql(10, True, "w") + """
+, q as (select run_id, quantile_cont(entropy, 0.75) as c from po group by 1), h as (select po.run_id, cell_id, entropy from po join q using (run_id) where round(entropy, 9) >= round(c, 9)),
+li as (select w.run_id, src as a, dst as b from w join h x on x.run_id = w.run_id and x.cell_id = src join h y on y.run_id = w.run_id and y.cell_id = dst),
+lk as (select run_id, a, b from li union select run_id, b, a from li),
+reach(run_id, a, b) as (select run_id, cell_id, cell_id from h union select r.run_id, r.a, lk.b from reach r join lk on lk.run_id = r.run_id and lk.a = r.b),
+g as (select run_id, a as cell_id, min(b) as region from reach group by all),
+rg0 as (select run_id, region, count(*) as size, avg(entropy) / count(*) as density from g join h using (run_id, cell_id) group by all),
+rg as (select *, row_number() over (partition by run_id order by round(density, 9) desc, region) as o from rg0)
+"""
+CHOSEN = PARTS + """
+, walk(run_id, o, room, selected) as (select run_id, 0::bigint, 0.25::double * count(*), false from po group by run_id
+  union all select k.run_id, rg.o, case when rg.size <= k.room then k.room - rg.size else k.room end, rg.size <= k.room from walk k join rg on rg.run_id = k.run_id and rg.o = k.o + 1)
+"""
+MODES = CHOSEN + REFINING + """
+, z as (select run_id, cell_id, label, case when ok and share <= 0.3 then candidate else label end as refined from sh),
+inn as (select g.run_id, g.cell_id, true as inn from g join rg using (run_id, region) join walk k using (run_id, o) where k.selected),
+lb as (select z.run_id, z.cell_id, label, refined, inn is not null as in_roi, case when inn then refined else label end as roi from z left join inn using (run_id, cell_id)),
+pa as (select run_id, cell_id, refined as cluster, x, y from lb join pl using (run_id, cell_id)), pb as (select run_id, cell_id, roi as cluster, x, y from lb join pl using (run_id, cell_id))
+""" + sil_sql("pa", "_a") + sil_sql("pb", "_b") + """
+, sa as (select run_id, avg(silhouette) as s from si_a group by 1), sb as (select run_id, avg(silhouette) as s from si_b group by 1),
+md as (select run_id, case when round(coalesce(sb.s, 0), 9) > round(coalesce(sa.s, 0), 9) then 'ROI' else 'GLOBAL' end as mode from sa join sb using (run_id)),
+fin as (select run_id, cell_id, label, case when mode = 'ROI' then roi else refined end as refined, mode, in_roi from lb join md using (run_id))
+"""
 SQL = {
     "cluster_centroids": "with p as (select label, unnest(range(len(embedding))) as i, unnest(embedding)::double as x from embeddings) select label::varchar as label, count(*) as n, i::int as i, round(avg(x), 6) as x from p group by label, i",
     "cluster_radius": PTS + "select run_id, cluster, count(*) as n, round(avg(sqrt((x - cx) ** 2 + (y - cy) ** 2)), 6) as radius from pt join ce using (run_id, cluster) group by all",
@@ -262,13 +292,10 @@ select run_id, cell_id, cluster, round(own, 6) as own, round(second, 6) as secon
 b as (select cluster, kind from k qualify row_number() over (partition by cluster order by n desc, kind) = 1)
 select run_id, kind, count(*) as n from lab left join b using (cluster) group by all""",
     "document_levels": "select case when coalesce(lang, 'en') in ('de', 'en', 'fr') then coalesce(lang, 'en') end as lang, count(*) as n from documents group by 1",
-    "uncertain_parts": "with recursive " + POST.strip()[len("with "):] + ", " + e_sql(10, True, "w") + """
-, q as (select run_id, quantile_cont(entropy, 0.75) as c from po group by 1), h as (select po.run_id, cell_id, entropy from po join q using (run_id) where round(entropy, 9) >= round(c, 9)),
-li as (select w.run_id, src as a, dst as b from w join h x on x.run_id = w.run_id and x.cell_id = src join h y on y.run_id = w.run_id and y.cell_id = dst),
-lk as (select run_id, a, b from li union select run_id, b, a from li),
-reach(run_id, a, b) as (select run_id, cell_id, cell_id from h union select r.run_id, r.a, lk.b from reach r join lk on lk.run_id = r.run_id and lk.a = r.b),
-g as (select run_id, a as cell_id, min(b) as region from reach group by all)
-select run_id, region, count(*) as size, round(avg(entropy) / count(*), 6) as density from g join h using (run_id, cell_id) group by all""",
+    "uncertain_parts": PARTS + "select run_id, region, size, round(density, 6) as density from rg",
+    "roi_components": CHOSEN + "select rg.run_id, region, size, round(density, 6) as density, k.selected from rg join walk k using (run_id, o)",
+    "refined_labels": MODES + "select * from fin",
+    "posterior_table": MODES + "select run_id, cell_id, round(entropy, 6) as entropy, round(confidence, 6) as confidence, in_roi::int as in_roi, (fin.label <> refined)::int as updated from po join fin using (run_id, cell_id)",
     "spatial_cluster_table": "with " + LAB + ", " + XY + """
 , k as (select run_id, cell_id, min(cell_type_unsupervised) as cell_type_unsupervised from umap_clusters_final group by all)
 select run_id, cell_id, cluster, cell_type_unsupervised, x as x_centroid_px, y as y_centroid_px from lab join k using (run_id, cell_id) join xy using (run_id, cell_id)""",

@@ -10,7 +10,7 @@ from spotweave.operators import clusters as c
 from spotweave.operators import markers as k
 from spotweave.operators.latest import latest_rows
 from spotweave.operators.matrix import normalised
-from spotweave.plans.base import CNT, LAB, NORM, RUN, counts, labels
+from spotweave.plans.base import CNT, LAB, NORM, RUN, counts, labels, tail_sql
 from spotweave.session import table
 
 CELL, GENE = "cell_id", "gene"
@@ -151,7 +151,7 @@ DE = EXP + """
 , g as (select *, count(*) over (partition by run_id, cluster) as sig, row_number() over (partition by run_id, cluster order by lfc desc, gene) as rn from e where lfc > 0 and q < 0.05),
 de as (select run_id, cluster, round(median(lfc), 6) as median_log2fc, round(avg(-log10(greatest(q, 1e-300))), 6) as mean_neglog10_fdr, count(*) as n_top, max(sig) as n_sig_markers from g where rn <= 20 group by all)
 """
-WILCOXON = NORM + ", " + LAB + """
+RANKED = NORM + ", " + LAB + """
 , c0 as (select distinct run_id, cell_id, cluster from cnt join lab using (run_id, cell_id)),
 c as (select *, count(*) over (partition by run_id, cluster) as k from c0 qualify k >= 5),
 v as (select run_id, cluster, gene, x, round(x, 9) as rx from nrm join c using (run_id, cell_id)),
@@ -160,9 +160,11 @@ t as (select run_id, cluster, gene, sum(r) as r, count(*) as p, sum(x) as s from
 w as (select run_id, gene, sum(p) as pa, sum(s) as sa from t group by all),
 sz0 as (select run_id, cluster, count(*)::double as n from c group by all), sz as (select *, sum(n) over (partition by run_id) as m from sz0),
 f as (select sz.run_id, sz.cluster, w.gene, n, m, m - pa as z0, sa, coalesce(r, 0) as r, coalesce(p, 0) as p, coalesce(s, 0) as s
-      from sz join w using (run_id) left join t on t.run_id = sz.run_id and t.cluster = sz.cluster and t.gene = w.gene where m > n)
-select run_id, cluster, gene, round((r + p * z0 + (n - p) * (z0 + 1) / 2 - n * (m + 1) / 2) / sqrt(n * (m - n) * (m + 1) / 12), 6) as score,
-       round(log2((exp(s / n) - 1 + 1e-9) / (exp((sa - s) / (m - n)) - 1 + 1e-9)), 6) as logfoldchange from f"""
+      from sz join w using (run_id) left join t on t.run_id = sz.run_id and t.cluster = sz.cluster and t.gene = w.gene where m > n),
+fz as (select run_id, cluster, gene, (r + p * z0 + (n - p) * (z0 + 1) / 2 - n * (m + 1) / 2) / sqrt(n * (m - n) * (m + 1) / 12) as score,
+       log2((exp(s / n) - 1 + 1e-9) / (exp((sa - s) / (m - n)) - 1 + 1e-9)) as lfc from f)
+"""
+WILCOXON = RANKED + "select run_id, cluster, gene, round(score, 6) as score, round(lfc, 6) as logfoldchange from fz"
 SQL = {
     "fast_markers": FAST + """
 select run_id, cluster, rank, gene, round(log2fc, 6) as log2fc, round(mean_in, 6) as mean_in, round(mean_out, 6) as mean_out, round(pct_in, 6) as pct_in, round(pct_out, 6) as pct_out, round(score, 6) as score, n_in as n_cells_in from fm
@@ -172,6 +174,11 @@ union all select distinct run_id, cluster, 1, '(cluster too small)', null, null,
 , z as (select run_id, cluster, rank, gene from fm union all select distinct run_id, cluster, 1, '(cluster too small)' from t where n_in < 10)
 select run_id, cluster, string_agg(gene, '_' order by rank) as label from z where rank <= 3 group by all""",
     "wilcoxon_scores": WILCOXON,
+    "wilcoxon_bh_significant": RANKED + f"""
+, wp as (select *, {tail_sql("score")} as p from fz),
+wr as (select *, row_number() over (partition by run_id, cluster order by p, gene) as rn, count(*) over (partition by run_id, cluster) as k from wp),
+wq as (select *, least(min(p * k / rn) over (partition by run_id, cluster order by rn desc rows unbounded preceding), 1.0) as q from wr)
+select run_id, cluster, gene, round(score, 6) as score, round(lfc, 6) as logfoldchange, round(p, 6) as pval, round(q, 6) as pval_adj, q < 0.05 and lfc > 0.5 as is_significant from wq""",
     "top20_markers": "select run_id, cluster, row_number() over (partition by run_id, cluster order by score desc, gene) as rank, gene, score from (" + WILCOXON + ") where logfoldchange > 0.5 qualify rank <= 20",
     "bh_readjusted": EXP + """
 , r as (select *, row_number() over (partition by run_id, cluster order by p, gene) as rn, count(*) over (partition by run_id, cluster) as m from e where p is not null)

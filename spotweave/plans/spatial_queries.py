@@ -9,7 +9,7 @@ from spotweave.operators import spatial as sp
 from spotweave.operators.knn import knn_plane, knn_vectors, local_density as density
 from spotweave.operators.markers import adjust_bh, two_sided_p
 from spotweave.operators.matrix import normalised
-from spotweave.plans.base import CNT, LAB, NORM, RUN, XY, centroids, counts, labels
+from spotweave.plans.base import CNT, LAB, NORM, RUN, XY, centroids, counts, labels, tail_sql
 from spotweave.session import checkpoint, table
 
 CELL, GENE = "cell_id", "gene"
@@ -208,6 +208,12 @@ select run_id, src, label, votes, round(share, 6) as share from (select *, votes
     "local_shannon": "with " + XY + ", " + LAB + ", " + e_sql(50) + ENT + "select run_id, src, round(entropy, 6) as entropy from h",
     "diversity_hotspots": "with " + XY + ", " + LAB + ", " + e_sql(50) + ENT + ", q as (select run_id, quantile_cont(entropy, 0.95) as c from h group by 1) select run_id, src, round(entropy, 6) as entropy from h join q using (run_id) where round(entropy, 9) >= round(c, 9)",
     "moran_i": NORM + ", " + XY + ", " + e_sql(6) + MORAN + moran_sql("nrm", "x", "mi") + "select run_id, gene, round(moran, 6) as moran, round(expected, 6) as expected, round(variance, 6) as variance, round((moran - expected) / sqrt(variance), 6) as z from mi",
+    "spatial_magnitude": NORM + ", " + XY + ", " + e_sql(6) + MORAN + moran_sql("nrm", "x", "mi") + f"""
+, mz as (select run_id, gene, moran, (moran - expected) / sqrt(variance) as z from mi), mt as (select *, {tail_sql("z")} / 2 as t from mz),
+mp as (select run_id, gene, moran, case when z > 0 then t else 1 - t end as p from mt),
+mk as (select *, row_number() over (partition by run_id order by p, gene) as rn, count(*) over (partition by run_id) as k from mp),
+mq as (select run_id, moran, (min(p * k / rn) over (partition by run_id order by rn desc rows unbounded preceding) < 0.05)::int as sig from mk)
+select run_id, round(median(moran), 6) as median_moran, round(avg(moran), 6) as mean_moran, round(100 * avg(sig), 6) as pct_sig, round(0.6 * median(moran) + 0.4 * avg(sig), 6) as magnitude from mq group by 1""",
     "paired_genes": PAIRS + "select run_id, gene, round(lognorm, 6) as lognorm, round(raw, 6) as raw from pr",
     "paired_bootstrap": PAIRS + """
 , rw as (select *, row_number() over (partition by run_id order by gene) - 1 as pos, count(*) over (partition by run_id) as n from pr),
