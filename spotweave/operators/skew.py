@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spotweave.session import checkpoint
+from spotweave.session import checkpoint, free_name
 
 
 def range_split(df: DataFrame, keys: list[str], order: list[str], partitions: int | None = None) -> DataFrame:
@@ -95,18 +95,19 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], weight: str |
 
     Rows are added up inside each range partition and shifted by what the same key has in the partitions before, which is read off one
     partial sum per key and partition. The split rows are checkpointed, so that both passes see the same partitions even if an executor is lost.
-    ``order`` has to be unique within a key for a reproducible result. Null weights count as 0, null keys are a key.
+    ``order`` has to be unique within a key for a reproducible result. Null weights count as 0, null keys are a key. A column called ``name`` is replaced; any other name may occur in df.
     """
-    pid, part = "__part", "__sum"
+    df = df.drop(name)
+    pid, part, shifted, local_sum, other = (free_name(df, stem) for stem in ("__part", "__sum", "__shift", "__local", "__k"))
     value = F.lit(1).cast("long") if weight is None else F.coalesce(F.col(weight), F.lit(0).cast(df.schema[weight].dataType))
     split = checkpoint(range_split(df, keys, order, partitions).withColumn(pid, F.spark_partition_id()))
     before = Window.partitionBy(*keys).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
-    shift = split.groupBy(pid, *keys).agg(F.sum(value).alias(part)).withColumn("__shift", F.sum(part).over(before)).filter("__shift is not null").drop(part)
-    shift = shift.toDF(*[f"__k{i}" for i in range(len(keys) + 1)], "__shift")
-    local = split.withColumn("__local", F.sum(value).over(Window.partitionBy(pid, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate([pid, *keys])]
+    shift = split.groupBy(pid, *keys).agg(F.sum(value).alias(part)).withColumn(shifted, F.sum(part).over(before)).filter(F.col(shifted).isNotNull()).drop(part)
+    shift = shift.toDF(*[f"{other}.{i}" for i in range(len(keys) + 1)], shifted)
+    local = split.withColumn(local_sum, F.sum(value).over(Window.partitionBy(pid, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    same = [F.col(c).eqNullSafe(F.col(f"`{other}.{i}`")) for i, c in enumerate([pid, *keys])]
     out = local.join(shift, same, "left")
-    return out.select(*[F.col(c) for c in df.columns], (F.col("__local") + F.coalesce("__shift", F.lit(0))).alias(name))
+    return out.select(*[F.col(c) for c in df.columns], (F.col(local_sum) + F.coalesce(shifted, F.lit(0))).alias(name))
 
 
 def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str, partitions: int | None = None) -> DataFrame:

@@ -47,6 +47,14 @@ def broadcast_if_small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """``stem``, with underscores behind it until ``df`` has no such column (names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 @functools.lru_cache(maxsize=1)
 def _archive(package: str) -> str:
     """A zip of the package, for the executors."""

@@ -1,10 +1,12 @@
 import collections
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from spotweave.operators.latest import latest_rows
-from spotweave.operators.skew import heavy_keys, number_rows, ordered_gaps, range_split, split_aggregate
+from spotweave.operators.skew import exact_quantiles, heavy_keys, number_rows, ordered_gaps, range_split, split_aggregate
 
 
 def rows(n=4000):
@@ -51,6 +53,24 @@ def test_number_rows(spark):
         assert [no for _, no in sorted(v)] == list(range(1, len(v) + 1))
 
 
+def test_running_sums_leave_clashing_columns_alone(spark):
+    df = spark.createDataFrame([("a", 1, 9, 5), ("a", 2, 9, 6), (None, 3, 9, 7)], "k string, o long, __part long, __shift long")
+    got = {tuple(r) for r in number_rows(df, ["k"], ["o"], "no").collect()}
+    assert got == {("a", 1, 9, 5, 1), ("a", 2, 9, 6, 2), (None, 3, 9, 7, 1)}
+    assert number_rows(df.withColumn("no", F.lit(0)), ["k"], ["o"], "no").columns == [*df.columns, "no"]
+    assert number_rows(df.limit(0), ["k"], ["o"], "no").count() == 0
+
+
+def test_exact_quantiles_equal_numpy(spark):
+    g = np.random.default_rng(5)
+    data = {k: [float(v) for v in g.integers(0, 40, n)] for k, n in (("hot", 900), ("one", 1), ("two", 2))}
+    rows = [(k, v) for k, vs in data.items() for v in vs] + [("hot", None), ("hot", float("nan")), ("none", None)]
+    got = {r["k"]: (r["low"], r["mid"], r["end"]) for r in exact_quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"low": 0.1, "mid": 0.5, "end": 1.0}).collect()}
+    assert set(got) == set(data)
+    for k, vs in data.items():
+        assert np.allclose(got[k], np.quantile(vs, [0.1, 0.5, 1.0]))
+
+
 def test_latest_rows_ties_nulls_and_clashing_names(spark):
     df = spark.createDataFrame([(1, 5, "a", 0), (1, 5, "b", 0), (1, None, "z", 0), (2, None, None, 0), (None, 1, "n", 0)], "id long, t long, v string, __best long")
     got = {r["id"]: (r["t"], r["v"]) for r in latest_rows(df, ["id"], "t", ["v"]).collect()}
