@@ -17,6 +17,13 @@ def test_top_n_equals_sorting_with_a_hot_group_and_ties(spark):
         assert [got[g][k] for k in range(1, 11)] == [i for _, i in best]
 
 
+def test_clashing_columns_and_repeated_rows(spark):
+    df = spark.createDataFrame([("a", "x", 1.0, 7, 8), ("a", "x", 1.0, 7, 8), ("a", "y", 2.0, 7, 8)], "g string, i string, s double, rank int, __salt int")
+    got = top_n(df, ["g"], F.col("s"), "i", 2)
+    assert sorted(got.columns) == sorted(df.columns)
+    assert {(r["i"], r["rank"], r["__salt"]) for r in got.collect()} == {("y", 1, 8), ("x", 2, 8)}
+
+
 def test_small_and_empty_groups(spark):
     df = spark.createDataFrame([("a", "x", 1.0), ("b", "y", None)], "g string, i string, s double")
     assert [tuple(r) for r in top_n(df, ["g"], F.col("s"), "i", 3).select("g", "i", "rank").collect()] == [("a", "x", 1)]
