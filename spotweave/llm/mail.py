@@ -113,6 +113,7 @@ def parts(text: str) -> list[str]:
     Transfer and header encodings and charsets are undone; an unknown or wrong charset falls back to UTF-8, then Windows-1252.
     A text is a message if the block of header fields at its start, however long, has a known one; any other text is one body. Attachments that
     are no text are left out. A message that has lost its line ends is read with line ends put back before headers and part marks, and once more as it stands.
+    A message that cannot be taken apart, such as one of very many messages within messages, is one body as it stands.
     """
     one_line = "\n" not in text and "\r" not in text
     if not (FLAT.search(" " + text) if one_line else KNOWN_LINE.search(BLOCK_OF_HEADERS.match(text)[0])):
@@ -123,9 +124,10 @@ def parts(text: str) -> list[str]:
         text = _inflate(text)
     try:
         message = email.message_from_string(text)
-    except (ValueError, TypeError, IndexError):
+        found = list(message.walk())
+    except (ValueError, TypeError, IndexError, RecursionError):
         return [*out, text]
-    for part in message.walk():
+    for part in found:
         if part is message or part.get_content_type() == "message/rfc822" or part.get("Subject"):
             if part.get("Subject") is not None:
                 out.append(_subject(part["Subject"]))

@@ -113,5 +113,15 @@ def test_blocks_of_items_find_the_same(spark):
     assert one == many and len(one) >= 20
 
 
+def test_messages_within_messages_and_damaged_ones():
+    nest = lambda n: "Subject: top\n" + "Content-Type: message/rfc822\n\n" * n + f"Subject: low\n\n{ITEM}"
+    assert [p for p in mail.parts(nest(20)) if p] == ["top", "low", ITEM]
+    assert mail.parts(nest(3000)) == [nest(3000)] and mail.words(ITEM)[-1] in mail.words(nest(3000))
+    whole = "Subject: =?utf-8?q?caf=C3=A9?=\nContent-Type: multipart/mixed; boundary=b\n\n--b\nContent-Type: text/plain; charset=none\nContent-Transfer-Encoding: base64\n\naGVsbG8=\n--b--\n"
+    for cut in range(len(whole)):
+        for text in (whole[:cut], whole[cut:], whole[:cut] + "\0\r=?=;" + whole[cut:]):
+            assert all(isinstance(p, str) for p in mail.parts(text))
+
+
 def test_words():
     assert mail.words("Ａb_c d­e—f") == ["ab", "c", "de", "f"]
