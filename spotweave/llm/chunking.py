@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spotweave.llm.tokens import VOCABULARY, encoding
+from spotweave.llm.tokens import VOCABULARY, encode, encoding
 
 WINDOW = 16
 LANDMARK_BITS = 8
@@ -122,7 +122,7 @@ def pieces(text: str, tokenizer, lengths: np.ndarray, gear: np.ndarray, limit: i
     raw = text.encode("utf-8", "replace")
     if len(raw) <= limit:  # a token has at least one byte
         return
-    tokens = np.array(tokenizer.encode_ordinary(text), dtype=np.int64)
+    tokens = np.array(encode(tokenizer, text), dtype=np.int64)
     if len(tokens) <= limit:
         return
     cutter, start = Cutter(tokens, raw, lengths, gear, limit, overlap, least), 0
@@ -132,7 +132,7 @@ def pieces(text: str, tokenizer, lengths: np.ndarray, gear: np.ndarray, limit: i
         piece = said(begin, end)
         if begin and not cutter.level[begin - 1] and end - begin > limit - 16:
             # The piece starts inside a word: alone it may have a few more tokens.
-            while end - start > 8 and len(tokenizer.encode_ordinary(piece)) > limit:
+            while end - start > 8 and len(encode(tokenizer, piece)) > limit:
                 end = cutter.before(start, end)
                 piece = said(begin, end)
         yield begin, end - begin, start - begin, len(said(begin, start)), piece

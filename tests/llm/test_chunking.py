@@ -1,9 +1,11 @@
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from spotweave.llm.chunking import _tables, pieces, split_texts
-from spotweave.llm.tokens import VOCABULARY, count_tokens, encoding
+from spotweave.llm.tokens import VOCABULARY, count_tokens, encode, encoding
 
 enc = encoding()
 LENGTHS, GEAR = _tables(VOCABULARY)
@@ -73,3 +75,15 @@ def test_short_null_and_empty_texts_have_no_piece(spark):
     assert split_texts(df.limit(0), "doc_id", "text").count() == 0
     n = {r["doc_id"]: r["n_tokens"] for r in count_tokens(df, "doc_id", "text").collect()}
     assert n[1] == 1 and n[3] == 0 and 2 not in n and n[4] == len(enc.encode_ordinary(prose(6, 1500)))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("ab1,. \n\t\u3000\x1c"), max_size=60), st.integers(2, 6))
+def test_long_white_space_is_split_as_the_pattern_does(text, long_run):
+    assert encode(enc, text, long_run) == enc.encode_ordinary(text)
+
+
+def test_a_million_blanks_are_read():
+    text = "begin" + " \n" * 500_000 + "end. " + " " * 1_000_000
+    got = list(pieces(text, enc, *_tables(VOCABULARY), 1024, 64, 320))
+    assert "".join(p[4][p[3] :] for p in got) == text and max(p[1] for p in got) <= 1024
