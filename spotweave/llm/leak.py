@@ -177,18 +177,19 @@ def _hits(automaton: ItemAutomaton, doc, no: int, part: str) -> list[tuple]:
 HIT = ["doc", "part_no", "part_words", "item", "first_word", "n_words", "start", "end"]
 
 
-def leaked_spans(docs: DataFrame, id_: str, text: str, items: DataFrame, item_id: str, item_text: str, least: int = 12, most_words: int = 500_000, most_bytes: int = 2**30) -> DataFrame:
+def leaked_spans(docs: DataFrame, id_: str, text: str, items: DataFrame, item_id: str, item_text: str, least: int = 12, most_words: int = 500_000, most_bytes: int = 2**30, part_no: str | None = None) -> DataFrame:
     """(id_, part_no, part_words, item_id, first_word, n_words, start, end): every leaked run in every document.
 
     Each message is read part by part (subject, bodies, attached texts), whole; parts are matched where the scan reads them, so nothing is
     shuffled and nothing about documents reaches the driver. Part 0 is the first text; ``start`` and ``end`` are characters of the part as it is read. Held-out items of more than
     ``most_words`` words come in blocks, one after the other: the messages are read once, their parts are written to the checkpoint folder, and each block is matched with these.
     Null or empty texts and items without words match nothing; an item listed twice is one item; repeated documents come out each.
+    With ``part_no`` (an int column) the rows of ``docs`` are parts that have been read already.
     """
     d, i = docs.schema[id_].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     schema = f"doc {d}, part_no int, part_words int, item {i}, first_word int, n_words int, start int, end int"
-    rows = docs.select(F.col(id_).alias("doc"), F.col(text).alias("text")).filter("text is not null")
-    read = None
+    mails = part_no is None
+    rows = docs.select(F.col(id_).alias("doc"), *([] if mails else [F.col(part_no).cast("int").alias("part_no")]), F.col(text).alias("text")).filter("text is not null")
 
     def read_parts(batches):
         for b in batches:
@@ -209,9 +210,9 @@ def leaked_spans(docs: DataFrame, id_: str, text: str, items: DataFrame, item_id
     if one is None:
         out = docs.sparkSession.createDataFrame([], schema)
     elif following is None:
-        out = matched(rows, one, True)
+        out = matched(rows, one, mails)
     else:
-        read = checkpoint(rows.mapInPandas(read_parts, f"doc {d}, part_no int, text string"))
+        read = checkpoint(rows.mapInPandas(read_parts, f"doc {d}, part_no int, text string") if mails else rows)
         for block in itertools.chain((one, following), blocks):
             found = checkpoint(matched(read, block, False))
             block.unpersist()
@@ -219,11 +220,12 @@ def leaked_spans(docs: DataFrame, id_: str, text: str, items: DataFrame, item_id
     return out.withColumnsRenamed({"doc": id_, "item": item_id})
 
 
-def without_leaks(docs: DataFrame, id_: str, text: str, items: DataFrame, item_id: str, item_text: str, least: int = 12, coverage: float = 0.5, most_words: int = 500_000, most_bytes: int = 2**30) -> DataFrame:
+def without_leaks(docs: DataFrame, id_: str, text: str, items: DataFrame, item_id: str, item_text: str, least: int = 12, coverage: float = 0.5, most_words: int = 500_000, most_bytes: int = 2**30, mark: str = " ") -> DataFrame:
     """(id_, part_no, n_words, n_leaked, decision, removed, text): every part of every document as it is read, its leaked runs cut out.
 
     A run is cut if it has ``least`` words of an item, or all of a shorter one; a part whose leaked words are at least ``coverage`` of its words is emptied.
-    ``decision`` is ``keep``, ``cut`` or ``drop``; ``removed`` lists the (start, end) characters that are gone, joined where they touch; a space is put in their place.
+    ``decision`` is ``keep``, ``cut`` or ``drop``; ``removed`` lists the (start, end) characters that are gone, joined where they touch; ``mark`` is put in their place. Words on both sides
+    of a cut become neighbours and may then continue a run, unless ``mark`` holds a word that no item has.
     Null texts have no part. Ids are unique.
     """
     d = docs.schema[id_].dataType.simpleString()
@@ -244,7 +246,7 @@ def without_leaks(docs: DataFrame, id_: str, text: str, items: DataFrame, item_i
             else:
                 cuts.append([start, end])
         edges = [0, *(x for cut in cuts for x in cut), len(part)]
-        return doc, no, n, gone, "cut", [{"start": a, "end": z} for a, z in cuts], " ".join(part[a:z] for a, z in zip(edges[::2], edges[1::2]))
+        return doc, no, n, gone, "cut", [{"start": a, "end": z} for a, z in cuts], mark.join(part[a:z] for a, z in zip(edges[::2], edges[1::2]))
 
     columns = ["doc", "part_no", "n_words", "n_leaked", "decision", "removed", "text"]
     blocks = item_blocks(items, item_id, item_text, least, most_words, most_bytes)

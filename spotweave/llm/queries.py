@@ -18,6 +18,8 @@ from spotweave.session import table
 MARKERS = "cluster_markers_all_cells_final"
 CAPACITY, PIECE, OVERLAP = 4096, 1024, 64
 STEP, LEAST = 0.30, 5
+#: What stands where a leaked run was cut out.
+REMOVED = " [removed] "
 
 
 def current_markers(spark: SparkSession, d: str) -> DataFrame:
@@ -136,7 +138,17 @@ def p7_decisions(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_cleaned(spark: SparkSession, d: str) -> DataFrame:
     """Every part of every message as it is read, leaked runs cut out, parts that are half leaked emptied."""
-    return without_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "item_text")
+    return without_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "item_text", mark=REMOVED)
+
+
+def p7_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Per document: whether its cleaned parts hold no leaked run any more."""
+    items = table(spark, d, "eval_items")
+    left = leaked_spans(p7_cleaned(spark, d), "doc_id", "text", items, "item_id", "item_text", part_no="part_no").select("doc_id").distinct().withColumn("clean", F.lit(False))
+    return table(spark, d, "documents").filter("text is not null").select("doc_id").join(left, "doc_id", "left").na.fill(True, ["clean"])
+
+
+P7_AUDIT = "select doc_id, true as clean from documents where text is not null"
 
 
 def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -156,7 +168,7 @@ def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 P8_ROUND_TRIP = "select doc_id, length(text) as n_chars, md5(text) as digest, true as within from documents where text is not null"
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_stale_lists, p4_found, p4_clusters, p4_members, p4_totals, p6_containers, p6_fill, p6_audit, p7_found, p7_spans, p7_decisions, p7_cleaned, p8_pieces, p8_round_trip)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_stale_lists, p4_found, p4_clusters, p4_members, p4_totals, p6_containers, p6_fill, p6_audit, p7_found, p7_spans, p7_decisions, p7_cleaned, p7_audit, p8_pieces, p8_round_trip)}
 P4_FOUND = """
 with recursive p0 as (select run_id, cell_id, max(struct_pack(x := umap1::double, y := umap2::double)) as p from umap_clusters_final
              where umap1 is not null and umap2 is not null and not isnan(umap1) and not isnan(umap2) group by all),
@@ -166,4 +178,4 @@ reach(run_id, a, b) as (select run_id, cell_id, cell_id from pts union select r.
 select run_id, b as cell_id, min(a) as head_cell_id from reach group by all having count(*) >= 5
 """
 
-SQL = {"p3_found": P3_FOUND, "p4_found": P4_FOUND, "p3_stale_lists": P3_STALE_LISTS, "p4_totals": P4_TOTALS, "p6_audit": P6_AUDIT, "p8_round_trip": P8_ROUND_TRIP}
+SQL = {"p3_found": P3_FOUND, "p4_found": P4_FOUND, "p3_stale_lists": P3_STALE_LISTS, "p4_totals": P4_TOTALS, "p6_audit": P6_AUDIT, "p7_audit": P7_AUDIT, "p8_round_trip": P8_ROUND_TRIP}

@@ -100,6 +100,17 @@ def test_leaks_are_cut_out_and_half_leaked_parts_emptied(spark):
     assert leaked_spans(again, "doc_id", "text", i, "item_id", "item_text").count() == 0
 
 
+def test_a_cut_does_not_make_a_new_run(spark):
+    own, other = " ".join(f"own{k}" for k in range(20)).split(), " ".join(f"other{k}" for k in range(12))
+    rest = " ".join(f"rest{k}" for k in range(60))
+    d = spark.createDataFrame([(1, f"{rest} {' '.join(own[:6])} {other} {' '.join(own[6:17])} {rest}")], "doc_id long, text string")
+    i = spark.createDataFrame([(1, " ".join(own)), (2, other)], "item_id long, item_text string")
+    for mark, left in ((" ", {1}), (" [removed] ", set())):
+        for most in (10**6, 15):
+            t = without_leaks(d, "doc_id", "text", i, "item_id", "item_text", most_words=most, mark=mark)
+            assert {r["item_id"] for r in leaked_spans(t, "doc_id", "text", i, "item_id", "item_text", most_words=most, part_no="part_no").collect()} == left
+
+
 def test_nothing_to_find(spark):
     assert found(spark, ["any"], ()) == set() and found(spark, [], ((1, ITEM),)) == set()
 
