@@ -185,17 +185,56 @@ def _together(edges: DataFrame, by: list[str], resolutions: list[float], rounds:
         e = checkpoint(e.join(a, [*keys, "src"]).join(b, [*keys, "dst"]).groupBy(*keys, "gamma", F.col("src_c").alias("src"), F.col("dst_c").alias("dst")).agg(F.sum("w").alias("w")))
 
 
-def choose_resolution(labels: DataFrame, points: DataFrame, by: list[str], id_: str, v: str, min_clusters: int = 3) -> DataFrame:
+def _mean_silhouettes(labels: DataFrame, points: DataFrame, by: list[str], id_: str, v: str, block: int) -> DataFrame:
+    """(by, resolution, silhouette): the mean of ``silhouettes`` for each resolution of ``labels``; the distances of a dataset of up to ``block`` points are taken once for all, in one task."""
+    from spotweave.operators.clusters import silhouettes
+
+    p = points.select(*by, F.col(id_).alias("node"), F.col(v).cast("array<double>").alias("v")).filter("v is not null")
+    large = checkpoint(p.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).select(*by))
+    some = labels.groupBy(*by, "node").agg(F.collect_list(F.struct("resolution", F.col("community").cast("string").alias("community"))).alias("found"))
+    kinds = {f.name: f.dataType.simpleString() for f in p.schema}
+
+    def means(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.stack(pdf["v"].to_numpy()).astype(float)
+        t = pd.DataFrame([(i, f["resolution"], f["community"]) for i, found in enumerate(pdf["found"]) for f in found], columns=["i", "r", "c"])
+        d = np.stack([np.sqrt(((m - row) ** 2).sum(1)) for row in m])
+        out = []
+        for r, one in t.groupby("r"):
+            i = one["i"].to_numpy()
+            names, own = np.unique(one["c"].to_numpy(dtype=str), return_inverse=True)
+            if len(names) < 2:
+                out.append((r, None))
+                continue
+            within, at, size = (d if len(i) == len(d) else d[np.ix_(i, i)]), np.arange(len(i)), np.bincount(own)
+            total = within @ (own[:, None] == np.arange(len(names))).astype(float)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                a, mean = total[at, own] / (size[own] - 1), total / size
+                mean[at, own] = np.inf
+                b = mean.min(1)
+                top = np.maximum(a, b)
+                s = np.where(size[own] == 1, 0.0, np.where(top > 0, (b - a) / top, 0.0))
+            s = s[~np.isnan(s)]
+            out.append((r, s.mean() if len(s) else None))
+        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in by}, "resolution": [x for x, _ in out], "silhouette": pd.Series([x for _, x in out], dtype=float)})
+
+    placed = p.join(some, [*by, "node"])
+    schema = f"{''.join(f'{c} {kinds[c]}, ' for c in by)}resolution double, silhouette double"
+    if large.isEmpty():
+        return placed.groupBy(*by).applyInPandas(means, schema)
+    small = placed.join(large, by, "left_anti").groupBy(*by).applyInPandas(means, schema)
+    rest = p.join(large, by, "left_semi").join(labels, [*by, "node"])
+    return small.unionByName(silhouettes(rest, [*by, "resolution"], "node", "community", "v").groupBy(*by, "resolution").agg(F.avg("silhouette").alias("silhouette")))
+
+
+def choose_resolution(labels: DataFrame, points: DataFrame, by: list[str], id_: str, v: str, min_clusters: int = 3, block: int = 4096) -> DataFrame:
     """(by, resolution, n_communities, silhouette, chosen): how many communities each resolution gives, their mean silhouette, and the one to take.
 
     Resolutions with one community are out. Among those with at least ``min_clusters`` the highest silhouette wins, ties to the smaller resolution; if there
     are none, most communities win. ``labels`` is that of ``communities`` with several resolutions, ``points`` (by, id_, v) the space silhouettes are taken in.
+    Datasets of more than ``block`` points take the blocks of ``silhouettes``.
     """
-    from spotweave.operators.clusters import silhouettes
-
     n = labels.groupBy(*by, "resolution").agg(F.countDistinct("community").alias("n_communities"))
-    placed = points.select(*by, F.col(id_).alias("node"), v).join(labels, [*by, "node"])
-    s = silhouettes(placed, [*by, "resolution"], "node", "community", v).groupBy(*by, "resolution").agg(F.avg("silhouette").alias("silhouette"))
+    s = _mean_silhouettes(labels, points, by, id_, v, block)
     t = n.join(s, [*by, "resolution"], "left")
     usable = F.col("n_communities") >= 2
     order = F.row_number().over(Window.partitionBy(*by).orderBy(usable.desc(), (F.col("n_communities") >= min_clusters).desc(), F.when(F.col("n_communities") >= min_clusters, F.round("silhouette", 9)).otherwise(F.col("n_communities").cast("double")).desc_nulls_last(), "resolution"))

@@ -1,6 +1,6 @@
 import numpy as np
 
-from spotweave.operators.community import communities
+from spotweave.operators.community import choose_resolution, communities
 from spotweave.operators.knn import knn_plane
 
 
@@ -36,3 +36,16 @@ def test_a_graph_that_halves_keep_in_motion_ends(spark):
     edges = spark.createDataFrame([("A", i, j) for i in range(13) for j in range(13) if i != j and (i + j) % 5], "run string, src int, dst int")
     one, both = (labels(communities(edges, ["run"], rounds=1, whole=k)) for k in (1_000_000, 0))
     assert one == both and len(one) == 13
+
+
+def test_silhouettes_of_all_resolutions_equal_those_by_blocks(spark):
+    g = np.random.default_rng(4)
+    df = spark.createDataFrame([(run, f"p{i:03d}", [float(x) for x in v]) for run, n in (("A", 50), ("B", 20), ("C", 5)) for i, v in enumerate(g.normal(size=(n, 3)))], "run string, id string, v array<double>")
+    some = spark.createDataFrame([(r["run"], x, r["id"], f"c{j % k}") for j, r in enumerate(df.collect()) for x, k in ((0.5, 1), (1.0, 4), (2.0, 9))], "run string, resolution double, node string, community string")
+    spark.sparkContext.setJobGroup("chosen", "")
+    whole = choose_resolution(some, df, ["run"], "id", "v").collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chosen"))
+    spark.sparkContext.setJobGroup("other", "")
+    parts = choose_resolution(some, df, ["run"], "id", "v", block=10).collect()
+    one, two = ({(r["run"], r["resolution"]): (r["n_communities"], r["chosen"], r["silhouette"] and round(r["silhouette"], 9)) for r in t} for t in (whole, parts))
+    assert one == two and len(one) == 9 and jobs < 20
