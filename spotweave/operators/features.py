@@ -39,7 +39,7 @@ def combined_features(points: DataFrame, by: list[str], id_: str, v: str, x: str
         near = knn_vectors(p, p, id_, "v", k - 1, by=by)
         near = near.unionByName(p.select(*by, F.col(id_).alias("src"), F.col(id_).alias("dst"), F.lit(0).cast("long").alias("rank"), F.lit(0.0).alias("dist")))
     density = local_density(near, by).select(*by, F.col("src").alias(id_), "density")
-    t = p.join(density, [*by, id_]).withColumn("soft", softmax(F.col("v"), 1.5))
+    t = checkpoint(p.join(density, [*by, id_])).withColumn("soft", softmax(F.col("v"), 1.5))
     t = standardised(standardised(t, by, id_, "v"), by, id_, "xy")
     t = t.select(*by, id_, F.concat(scaled(F.col("v"), 1.5), scaled(F.col("soft"), 0.8), scaled(F.col("xy"), 0.35 * place_weight), F.array(F.col("density") * 0.25 * place_weight)).alias("features"))
     return standardised(t, by, id_, "features")

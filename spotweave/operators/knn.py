@@ -168,6 +168,6 @@ def knn_vectors(vectors: DataFrame, queries: DataFrame, id_: str, v: str, k: int
 
 def local_density(edges: DataFrame, by: list[str]) -> DataFrame:
     """(by, src, density): 1 / (mean distance + 1e-8), standardised over the dataset by the population deviation."""
-    d = edges.groupBy(*by, "src").agg((1.0 / (F.avg("dist") + 1e-8)).alias("raw"))
+    d = checkpoint(edges.groupBy(*by, "src").agg((1.0 / (F.avg("dist") + 1e-8)).alias("raw")))
     m = d.groupBy(*by).agg(F.avg("raw").alias("mean"), F.stddev_pop("raw").alias("sd"))
     return d.join(m, by).select(*by, "src", ((F.col("raw") - F.col("mean")) / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)).alias("density"))

@@ -91,7 +91,8 @@ def coupled_posterior(s, d):
 
 def _space(s, d):
     """Principal components of each run's cells, standardised; 30 at most."""
-    return checkpoint(standardised(f.count_pca(normalised(counts(s, d), RUN, CELL), RUN, CELL, GENE, "x", variable_genes(counts(s, d), RUN, CELL, GENE, 2000), 30), RUN, CELL, "scores"))
+    n = checkpoint(counts(s, d))
+    return checkpoint(standardised(checkpoint(f.count_pca(normalised(n, RUN, CELL), RUN, CELL, GENE, "x", variable_genes(n, RUN, CELL, GENE, 2000), 30)), RUN, CELL, "scores"))
 
 
 def latent_neighbours(s, d):
@@ -110,7 +111,7 @@ def latent_density(s, d):
 def community_resolutions(s, d):
     """The sweep of resolutions on the cosine neighbour graph of each run: communities, silhouette, and the one to take."""
     v = _space(s, d)
-    e = checkpoint(knn_vectors(v, v, CELL, "scores", 15, cosine=True, by=RUN))
+    e = knn_vectors(v, v, CELL, "scores", 15, cosine=True, by=RUN)
     labels_ = g.communities(e, RUN, resolutions=[0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0])
     t = g.choose_resolution(labels_, v, RUN, CELL, "scores")
     return t.select(*RUN, "resolution", "n_communities", *r6("silhouette"), "chosen")
@@ -120,7 +121,7 @@ def spatial_domains(s, d):
     """Communities of each run's cells in the combined space of expression, soft labels, place and density, by 30 cosine neighbours at 1.25 times the resolution."""
     t = _space(s, d).join(centroids(s, d).select(*RUN, CELL, "x", "y"), [*RUN, CELL])
     v = checkpoint(combined_features(t, RUN, CELL, "scores", "x", "y", 15))
-    e = checkpoint(knn_vectors(v, v, CELL, "features", 30, cosine=True, by=RUN))
+    e = knn_vectors(v, v, CELL, "features", 30, cosine=True, by=RUN)
     return g.communities(e, RUN, 1.25).withColumnRenamed("community", "domain")
 
 

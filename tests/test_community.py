@@ -49,3 +49,12 @@ def test_silhouettes_of_all_resolutions_equal_those_by_blocks(spark):
     parts = choose_resolution(some, df, ["run"], "id", "v", block=10).collect()
     one, two = ({(r["run"], r["resolution"]): (r["n_communities"], r["chosen"], r["silhouette"] and round(r["silhouette"], 9)) for r in t} for t in (whole, parts))
     assert one == two and len(one) == 9 and jobs < 20
+
+
+def test_features_compare_the_points_once(spark):
+    from spotweave.operators.features import combined_features
+
+    g = np.random.default_rng(5)
+    df = spark.createDataFrame([("A", f"p{i:02d}", [float(x) for x in v], float(v[0]), float(v[1])) for i, v in enumerate(g.normal(size=(20, 3)))], "run string, id string, v array<double>, x double, y double")
+    found = combined_features(df, ["run"], "id", "v", "x", "y", 5)
+    assert "FlatMapCoGroupsInPandas" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 20
